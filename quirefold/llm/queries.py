@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, mixing, packing, store
+from quirefold.llm import chat, fingerprints, langid, mixing, packing, pii, store
+from quirefold.llm.common import bucket_of
 
 
 def _vocabulary(name: str) -> str:
@@ -58,6 +59,23 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 """
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_neighbour(_table(spark, sf_dir, "documents"))
+    n = F.length("text")
+    m = F.floor(n / 4).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.left("text", n - m), F.left("next_text", m)))
+    rows = fingerprints.with_sketch(rows, "edited", "edited_sketch")
+    return rows.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.write_store(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), cut="white_space", end_id=2)
     return store.read_checksums(spark, path)
@@ -67,13 +85,31 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.span_list(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), cut="before_space", end_id=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op10_pack": op10_pack}
+    return {"op2_chat_format": op2_chat_format, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
