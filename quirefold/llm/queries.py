@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, fingerprints, langid, mixing, packing, pii, store
+from quirefold.llm import chat, fingerprints, langid, mixing, ngram_lm, packing, pii, store
 from quirefold.llm.common import bucket_of
 
 
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -109,7 +113,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_pack": op10_pack}
+    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
