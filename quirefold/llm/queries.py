@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, fingerprints, langid, mixing, ngram_lm, packing, pii, store
+from quirefold.llm import chat, fingerprints, jaccard_join, langid, mixing, ngram_lm, packing, pii, store
 from quirefold.llm.common import bucket_of
 
 
@@ -63,6 +63,10 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.with_neighbour(_table(spark, sf_dir, "documents"))
     n = F.length("text")
@@ -113,7 +117,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_pack": op10_pack}
+    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op10_pack": op10_pack}
 
 
 def oracle_sql() -> dict[str, str]:
