@@ -12,11 +12,11 @@ often, so each worker remembers the ids of recent cuts; only unseen ones go to t
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-CACHE_LIMIT = 400_000
+#: Cuts a worker remembers: some 200 bytes each.
+CACHE_LIMIT = 1_600_000
 
 
 @lru_cache(maxsize=4)
@@ -38,7 +38,7 @@ class Encoder:
         self.tokenizer, self.cut, self.seen = _tokenizer(path), cut, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.cut == "white_space":
