@@ -2,7 +2,7 @@
 
 A store is a folder of three Parquet tables:
 
-    chunks    chunk_id (sha256 of the ids), n, payload (the ids, deflated)                each chunk once
+    chunks    chunk_id (sha256 of the ids), n, payload (the ids, compressed)              each chunk once
     recipes   part, start_in_part, doc_id, n_tokens, chunk_ids, chunk_lengths, doc_root   ascending doc_id
     manifest  part, tokens, documents, part_root                                          ascending part
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,14 +65,24 @@ def cut_points(ids: np.ndarray, gear: np.ndarray, shortest: int, mask: int, long
     return ends
 
 
-def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_id: int = 2, path: str | None = None, shortest: int = 64, mask: int = 255, longest: int = 2048) -> str:
+def _narrow(body: bytes) -> bytes:
+    """ids as 16-bit where they fit."""
+    ids = np.frombuffer(body, "<u4")
+    return ids.astype("<u2").tobytes() if int(ids.max()) < 1 << 16 else body
+
+
+def _wide(data: bytes, n: int) -> bytes:
+    return data if len(data) == 4 * n else np.frombuffer(data, "<u2").astype("<u4").tobytes()
+
+
+def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_id: int = 2, path: str | None = None, shortest: int = 256, mask: int = 1023, longest: int = 4096) -> str:
     """Writes the store and returns its folder (in the shared folder unless named)."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     end = int(end_id).to_bytes(4, "little")
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, gear, sent = encoder(vocabulary, cut), _gear(), set()
+        coder, gear, sent, press = encoder(vocabulary, cut), _gear(), set(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -89,7 +100,7 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
                         else:
                             if len(sent) < 200_000:
                                 sent.add(name)
-                            fresh.append(zlib.compress(body, 1))
+                            fresh.append(press.compress(_narrow(body)))
                         at = e
                     rows.append((key, at, names, lengths, hashlib.sha256(b"".join(names)).digest(), fresh))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED, strict=True)], schema=_STAGED)
@@ -170,8 +181,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, n, ids): every stored chunk, its bytes checked against its address."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            bodies = [zlib.decompress(p) for p in batch.column("payload").to_pylist()]
+            bodies = [_wide(press.decompress(p), n) for p, n in zip(batch.column("payload").to_pylist(), batch.column("n").to_pylist(), strict=True)]
             for name, body in zip(batch.column("chunk_id").to_pylist(), bodies, strict=True):
                 if hashlib.sha256(body).digest() != name:
                     raise ValueError(f"chunk {name.hex()} does not match its address")
