@@ -34,7 +34,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     known = _WORDS
     if len(known) > _WORDS_LIMIT:
         known.clear()
-    for w in set(words) - known.keys():
+    for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 

@@ -101,7 +101,7 @@ class Encoder:
         missing = set()
         for cuts in lists:
             missing.update(cuts)
-        missing -= seen.keys()
+        missing = missing.difference(seen)  # walks the few, not the memory
         if missing:
             if len(seen) + len(missing) > CACHE_LIMIT:
                 seen.clear()
