@@ -20,10 +20,18 @@ from pyspark.sql import functions as F
 
 LOW = np.uint64(0xFFFFFF)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_WORDS: dict[bytes, int] = {}
 _WORDS_LIMIT = 700_000
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_WORDS = _Hashes()
+
+
 def tokens(text: str | None) -> list[bytes]:
     """A-Z lower-cased; maximal runs without ASCII white space."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -34,8 +42,6 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     known = _WORDS
     if len(known) > _WORDS_LIMIT:
         known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

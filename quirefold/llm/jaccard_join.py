@@ -42,7 +42,8 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     out = h[: len(h) - take + 1].copy()
     for k in range(1, take):
         out = grams.mix(out, h[k : len(h) - take + 1 + k])
-    return np.unique(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def _required(n: int, percent: int) -> int:
