@@ -6,7 +6,7 @@ language with the lowest wins. Letters are lower-cased; every run of other chara
 letters of the labelled text have symbols of their own, the rest share one that matches nothing.
 
 The automata become one dense table whose entry for (state, symbol) holds the next state after restarting where the match
-ends, and a bit that tells whether a phrase ended. So all texts of a batch advance together, one symbol of each at a
+ends, and how many phrases ended. So all texts of a batch advance together, one symbol of each at a
 time. Texts are parsed in segments of `segment` symbols, which adds at most one phrase per segment and language alike.
 
 The fit reads a bounded sample: about `docs_per_lang` labelled rows a language, dealt by a hash of doc_id, at most
@@ -38,7 +38,7 @@ class Model:
     langs: list[str]
     bits: np.ndarray  # log2 of each language's labelled size
     roots: np.ndarray
-    table: np.ndarray  # (states, symbols): next state * 2 + phrase bit
+    table: np.ndarray  # (states, symbols): next state * 4 + phrases that end
     symbols: np.ndarray  # of code points
 
 
@@ -105,9 +105,10 @@ def build(samples: dict[str, list[str]], letters: int = 46) -> Model:
         read = _read(" ".join(lowered[k]), symbols)
         go = _automaton(read.tolist(), width)
         restart = go[0]  # after a failed match the symbol starts the next phrase
-        again = np.where(restart >= 0, restart, 0)
-        step = np.where(go >= 0, (go + base) * 2, (again[None, :] + base) * 2 + 1).astype(np.int32)
-        step[:, OTHER] = base * 2 + 1
+        known = restart >= 0
+        open_ = (np.arange(len(go)) > 0).astype(np.int32)[:, None]  # a phrase that a failure ends; an unknown symbol is one of its own
+        failed = np.where(known[None, :], (restart[None, :] + base) * 4 + open_, base * 4 + open_ + 1)
+        step = np.where(go >= 0, (go + base) * 4, failed).astype(np.int32)
         tables.append(step)
         roots.append(base)
         bits.append(np.log2(max(2, len(read))))
@@ -138,12 +139,13 @@ def entropies(model: Model, texts: list[str], segment: int = 256) -> tuple[np.nd
         grid, size, owner = np.ascontiguousarray(grid[order].T), size[order], owner[order]
         flat = model.table.reshape(-1)
         state = np.tile(model.roots[:, None], (1, len(owner)))
-        ended = np.ones((n, len(owner)), np.int32)
+        ended = np.zeros((n, len(owner)), np.int32)
         for k in range(int(size[0])):
             live = int(np.searchsorted(-size, -k, side="left"))  # those longer than k
             x = flat[state[:, :live] * width + grid[k, :live]]
-            ended[:, :live] += x & 1
-            state[:, :live] = x >> 1
+            ended[:, :live] += x & 3
+            state[:, :live] = x >> 2
+        ended += state != model.roots[:, None]
         for j in range(n):
             phrases[:, j] = np.bincount(owner, ended[j], len(texts))
     return phrases * model.bits[None, :] / np.maximum(lengths, 1)[:, None], lettered
