@@ -59,9 +59,15 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def in_blocks(docs: DataFrame, block_bytes: int, shard_tokens: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) and the number of shards."""
+    """(doc_id, text, block) and the number of shards.
+
+    The sizes given are least sizes. With T tokens in all, a block or shard grows to 10 * sqrt(T) tokens, so that a list from
+    a block to a shard holds some 100 n-grams at any scale (16 million tokens, about 1.5 GB of a task, for 10 TB of text).
+    """
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total = (size["b"] or 0) + 16 * size["n"]
+    grown = int(10 * (total / 6) ** 0.5)
+    block_bytes, shard_tokens = max(block_bytes, 6 * grown), max(shard_tokens, grown)
     blocks, shards = max(1, -(-total // block_bytes)), max(1, -(-total // (6 * shard_tokens)))
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     block = F.pmod(key, F.lit(blocks)).cast("int")

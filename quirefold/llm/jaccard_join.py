@@ -154,7 +154,7 @@ def verified_links(names: list[str], sets: list[np.ndarray], percent: int, sides
     return links
 
 
-def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: int = 1000, block_bytes: int = 12_000_000, shard_tokens: int = 1_000_000) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: int = 1000, block_bytes: int = 4_000_000, shard_tokens: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     rows = records(docs, percent, width, block_bytes, shard_tokens)
     shared = rows.where("shingles is not null")

@@ -74,7 +74,7 @@ def _keys(table: pa.Table, shards: int):
     return texts, weight, (grams.shard_of(pair, shards), tri), (grams.shard_of(words, shards), words >> np.uint64(24))
 
 
-def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight: float = 0.2, block_bytes: int = 12_000_000, shard_tokens: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight: float = 0.2, block_bytes: int = 4_000_000, shard_tokens: int = 500_000) -> DataFrame:
     """SCORED rows. held_out: a condition on doc_id and text; those rows are scored but not learnt."""
     rows, shards = grams.in_blocks(docs, block_bytes, shard_tokens)
     rows = rows.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
