@@ -279,13 +279,13 @@ def with_retries(call: Callable[[], str], retries: int = 10, delay: float = 3.0,
     raise AssertionError("unreachable")
 
 
-def generate(df: DataFrame, settings: ModelSettings, prompt: str = "prompt", images: str | None = None, backend: str | None = None) -> DataFrame:
-    """df with `value` and `error` per row; one backend per task. QuotaExhausted ends the job, other failures stay in their row."""
+def generate(df: DataFrame, settings: ModelSettings, prompt: str = "prompt", images: str | None = None, backend: str | None = None, factory: Callable[[ModelSettings], Backend] | None = None) -> DataFrame:
+    """df with `value` and `error` per row; one backend per task, by name or by a factory. QuotaExhausted ends the job, other failures stay in their row."""
     name = backend or settings.provider
     plain = df.withColumns({"value": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make(BACKENDS, name, settings)
+        model = factory(settings) if factory else make(BACKENDS, name, settings)
         for batch in batches:
             values, errors = [], []
             shown = batch[images] if images else [None] * len(batch)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +19,25 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.select("id", "prediction").write.mode("overwrite").parquet(path)
 
 
-def write_text_per_id(df: DataFrame, folder: str, text: str = "text") -> None:
-    """<folder>/<id>.txt for each row, through Spark's committer: one partition folder per id, written whole, so a lost task leaves no half file.
+def write_text_per_id(df: DataFrame, folder: str, text: str = "text") -> int:
+    """<folder>/<id>.txt for each row, in UTF-8 and to the byte; returns the number of files.
 
-    One file per document is an export for small corpora; the table forms are for large ones.
+    An export for small corpora, to a folder that all executors mount. Each file is written beside its place and moved there, so
+    a task that runs again, or dies, leaves only whole files. The table forms are for large corpora and other stores.
     """
-    df.select(F.col("id"), F.col(text).alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy("id").text(folder)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for i, t in zip(batch["id"], batch["value"], strict=True):
+                handle, path = tempfile.mkstemp(dir=folder, prefix=".")
+                with os.fdopen(handle, "wb") as f:
+                    f.write((t or "").encode())
+                os.replace(path, os.path.join(folder, f"{i}.txt"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    written = df.select(F.col("id"), F.col(text).alias("value")).mapInPandas(write, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def evaluation_csv(rows: DataFrame, legacy: bool = False) -> DataFrame:
