@@ -10,8 +10,9 @@ quantised to a byte (finer near 1, reaching down to 2**-40), counts of contexts
 
 Flow: blocks of documents send their distinct trigrams to shards by the hash of the first two words, and their distinct
 words to word shards. A trigram shard merges the training counts, builds its memory-mapped trie, looks up
-what each block sent and answers with codes; then each block is read again and scored. Every n-gram of the
-corpus counts; no table is sent whole to any task or to the driver.
+what each block sent and answers with codes; then each block is read again and scored, from the same exchange of the
+documents. N and V come from a pass of their own. Every n-gram of the corpus counts; no table is sent whole to any task or to
+the driver.
 
 Defined results: null text is empty and scores its end token; held-out texts are scored, not learnt; without training
 rows every token has probability 1 / (0 + 0.1 * 1) * 0.1 = 1; repeated rows each count; an empty table gives no rows; other
@@ -21,6 +22,7 @@ columns are ignored; a very long text is scored whole in its block.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import grams
-from quirefold.llm.common import bucket_of, materialize
+from quirefold.llm.common import bucket_of
 from quirefold.llm.elias_fano import TrieShard
 
 START, END, PAST = (np.uint64(x) for x in (0x51A7, 0xE0D, 0x9A57))
@@ -74,6 +76,35 @@ def _keys(table: pa.Table, shards: int):
     return texts, weight, (grams.shard_of(pair, shards), tri), (grams.shard_of(words, shards), words >> np.uint64(24))
 
 
+def training_size(rows: DataFrame, shards: int) -> tuple[int, int]:
+    """N and V: tokens and distinct tokens of the training rows (text, held_out). Only sums reach the driver."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            train = [t for t, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True) if not held]
+            if not train:
+                continue
+            h = np.concatenate([np.append(grams.word_hashes(grams.tokens(t)), END) for t in train])
+            n = len(h)
+            h.sort()
+            h = h[np.r_[True, h[1:] != h[:-1]]]
+            shard = grams.shard_of(h, shards)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
+            names = [int(shard[order[a]]) for a in cuts[:-1]]
+            keys = [grams.pack5(h[order[a:b]] >> np.uint64(24)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(keys, pa.binary()), pa.array([n] + [0] * (len(names) - 1), pa.int64())], names=["shard", "keys", "n"])
+
+    def count(table: pa.Table) -> pa.Table:
+        every = np.sort(np.concatenate([grams.unpack5(d) for d in table.column("keys").to_pylist()]))
+        v = 1 + int((every[1:] != every[:-1]).sum())
+        return pa.table([pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([v], pa.int64())], names=["n", "v"])
+
+    sent = rows.select("text", "held_out").mapInArrow(distinct, "shard long, keys binary, n long")
+    total = sent.groupBy("shard").applyInArrow(count, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return int(total["n"] or 0), int(total["v"] or 0)
+
+
 def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight: float = 0.2, block_bytes: int = 4_000_000, shard_tokens: int = 500_000) -> DataFrame:
     """SCORED rows. held_out: a condition on doc_id and text; those rows are scored but not learnt."""
     rows, shards = grams.in_blocks(docs, block_bytes, shard_tokens)
@@ -111,11 +142,10 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
         first = np.flatnonzero(np.r_[True, np.diff(every[order]) != 0])
         keys, total = every[order[first]], np.add.reduceat(counts[order], first)
         del every, order, counts
-        learnt = total > 0
         if kind == 1:
             codes = [grams.squeeze(total[np.searchsorted(keys, k)].astype("<u8")) for k in lists]
-            n, v = int(total.sum()), int(learnt.sum())
         else:
+            learnt = total > 0
             k, c = keys[learnt], total[learnt]
             context = k >> np.uint64(24)
             begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(k) else np.zeros(0, np.int64)
@@ -125,13 +155,12 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
             trie = TrieShard(context[begin], begin, k & grams.LOW, value_code(discount * each / np.maximum(whole, 1)), grams.count_code(whole), prob)
             found = np.stack(trie.look_up(keys >> np.uint64(24), keys & grams.LOW), 1)
             codes = [grams.squeeze(found[np.searchsorted(keys, q)]) for q in lists]
-            n = v = 0
         size = len(blocks)
-        return pa.table([pa.array([kind] * size, pa.int32()), pa.array([shard] * size, pa.int64()), pa.array(blocks, pa.int32()), pa.array(codes, pa.binary()), pa.array([n] + [0] * (size - 1), pa.int64()), pa.array([v] + [0] * (size - 1), pa.int64())], names=["kind", "shard", "block", "codes", "n", "v"])
+        return pa.table([pa.array([kind] * size, pa.int32()), pa.array([shard] * size, pa.int64()), pa.array(blocks, pa.int32()), pa.array(codes, pa.binary())], names=["kind", "shard", "block", "codes"])
 
-    answers = materialize(sent.groupBy("kind", "shard").applyInArrow(answer, "kind int, shard long, block int, codes binary, n long, v long"), "lm-answers")
-    totals = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_train, floor = int(totals["n"] or 0), (totals["n"] or 0) + 0.1 * ((totals["v"] or 0) + 1)
+    answers = sent.groupBy("kind", "shard").applyInArrow(answer, "kind int, shard long, block int, codes binary")
+    n_train, v_train = training_size(rows, shards)
+    floor = n_train + 0.1 * (v_train + 1)
 
     def combine(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         texts, _, tri, uni = _keys(table, shards)
