@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 LOW = np.uint64(0xFFFFFF)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_WORDS_LIMIT = 700_000
+_WORDS_LIMIT = 300_000
 
 
 class _Hashes(dict):

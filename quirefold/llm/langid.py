@@ -151,7 +151,7 @@ def entropies(model: Model, texts: list[str], segment: int = 256) -> tuple[np.nd
     return phrases * model.bits[None, :] / np.maximum(lengths, 1)[:, None], lettered
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 300, excerpt: int = 1000, total_chars: int = 240_000) -> Model:
+def fit(labelled: DataFrame, docs_per_lang: int = 300, excerpt: int = 1000, total_chars: int = 120_000) -> Model:
     """labelled: doc_id, text, lang. Only the bounded sample described above reaches the driver."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}

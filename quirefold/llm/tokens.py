@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Cuts a worker remembers: some 200 bytes each.
-CACHE_LIMIT = 900_000
+CACHE_LIMIT = 450_000
 MARK = "~"
 
 
