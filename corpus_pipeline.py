@@ -1,7 +1,8 @@
 """A training corpus from documents in five stages: language, near copies, personal data, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Rows are told apart
-by a number given to them where they are first written, so null and repeated doc_ids are handled like any other.
+by a hash of all their columns, so null and repeated doc_ids are handled like any other; equal rows are copies of each other.
+A stage begins by deleting the tables that earlier stages left in the shared folder, but for what its docs read.
 """
 
 from __future__ import annotations
@@ -10,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import jaccard_join, langid, mixing, packing, pii
-from quirefold.llm.common import WORD, bucket_of, materialize
+from quirefold.llm.common import WORD, bucket_of, drop_tables, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _numbered(docs: DataFrame, tag: str) -> DataFrame:
-    return materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), tag)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a hash of the whole row."""
+    return docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told; gives documents without a language the predicted one."""
+    drop_tables(spark, docs)
     model = langid.fit(docs.where(bucket_of(F.col("doc_id"), 3) != 1))
     judged = langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -28,16 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of similar documents the one with the smallest doc_id."""
-    rows = _numbered(docs, "copies-in")
+    drop_tables(spark, docs)
+    rows = _keyed(docs)
     found = jaccard_join.join_components(rows.select(F.col("_row").alias("doc_id"), "text"))
     found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
-    stay = rows.select("_row", "doc_id").join(found, "_row").groupBy("_component").agg(least.alias("_row")).select("_row")
-    return rows.join(stay, "_row", "left_semi").select(*COLUMNS)
+    stay = rows.select("_row", "doc_id").distinct().join(found.distinct(), "_row").groupBy("_component").agg(least.alias("_row")).select("_row")
+    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row", *COLUMNS]).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Generalises personal data and removes terms that give it away."""
+    drop_tables(spark, docs)
     found = pii.find(docs.select(*COLUMNS)).withColumn("text", pii.clean(F.col("text"), F.col("spans")))
     return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -47,9 +52,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies are parts of one text, divided by an empty line; documents of which nothing is taken go.
     """
-    rows = _numbered(docs, "mix-in")
+    drop_tables(spark, docs)
+    rows = _keyed(docs)
     plan = mixing.mix(rows.select(F.col("_row").alias("doc_id"), "text", "source"))
-    plan = plan.where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "first_word", "blocks", "quota", "offset", "multiplier", "block_words", "taken")
+    plan = plan.dropDuplicates(["doc_id"]).where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "first_word", "blocks", "quota", "offset", "multiplier", "block_words", "taken")
     both = rows.join(plan, "_row")
     whole = F.floor(F.col("quota") / F.col("blocks")).cast("int")
     extra = F.col("taken") - whole * F.col("size")
@@ -64,6 +70,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     import public_tokenizers
 
+    drop_tables(spark, docs)
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cut="before_space", end_id=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -21,14 +21,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, but_for: DataFrame) -> None:
+    """Deletes the tables that materialize() wrote so far, but for those that a DataFrame reads."""
+    read = but_for.inputFiles()
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_MADE):
+        if not any(path.rsplit("/", 1)[-1] in f for f in read):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+            _MADE.remove(path)
+
+
 def word_count(text: Column) -> Column:
     """Number of WORD runs; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
