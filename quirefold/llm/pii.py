@@ -127,7 +127,8 @@ def revealing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, r
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = texts.select(F.md5(F.col("text").cast("binary")).alias("text_key")).distinct().count()
     wanted = pairs.select("term").distinct()
-    used = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    # explode_outer: a plain explode would be preceded by a filter that finds the terms a second time
+    used = texts.select(F.explode_outer(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
     frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))  # summed in each task before the exchange
     content = F.log(F.lit(float(max(n, 1))) / F.col("c_e"))
     share = F.when(content > 0, 1 - F.log(F.greatest("c_t", "c_et") / F.col("c_et")) / content).otherwise(F.lit(0.0))
