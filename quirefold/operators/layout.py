@@ -35,6 +35,12 @@ def split_pages(text: Column, pages: Column) -> Column:
     return F.when((pages <= 1) | (F.size(words) == 0), F.array(X.strip(text))).otherwise(padded)
 
 
+def explode_made(df: DataFrame, keys: list[str], array: Column, at: str, item: str) -> DataFrame:
+    """posexplode of a computed array of non-null items. A plain explode makes the optimizer filter on the array's size first, which repeats
+    the whole computation below; the outer form is not filtered, and its empty rows go afterwards."""
+    return df.select(*keys, F.posexplode_outer(array).alias(at, item)).where(F.col(item).isNotNull())
+
+
 def page_chunks(df: DataFrame, text: str, images: str, htr: str | None = None) -> DataFrame:
     """One row per page that has text: page, image, chunk (and htr_chunk): positions of images and chunks zipped, the
     shorter side wins; empty chunks and their images are left out."""
@@ -44,7 +50,7 @@ def page_chunks(df: DataFrame, text: str, images: str, htr: str | None = None) -
         zipped["htr_chunk"] = split_pages(F.coalesce(F.col(htr), F.lit("")), n)
     short = F.least(*[F.size(c) for c in zipped.values()])
     arrays = F.arrays_zip(*[F.slice(c, F.lit(1), short).alias(k) for k, c in zipped.items()])
-    out = df.select("*", F.posexplode(arrays).alias("page", "_z"))
+    out = explode_made(df, ["*"], arrays, "page", "_z")
     out = out.select(*df.columns, "page", *[F.col(f"_z.{k}").alias(k) for k in zipped])
     return out.where("chunk <> ''")
 

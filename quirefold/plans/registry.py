@@ -186,13 +186,14 @@ def _inclusion_sql(method: str) -> str:
 
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("pages", (1 + F.floor(F.col("n_chars") / 2000)).cast("int"))
-    return docs.select("doc_id", F.posexplode(layout.split_pages(F.col("text"), F.col("pages"))).alias("page", "chunk")).select("doc_id", "page", "chunk")
+    return layout.explode_made(docs, ["doc_id"], layout.split_pages(F.col("text"), F.col("pages")), "page", "chunk")
 
 
 def page_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken apart to lines, ten to a page, and put together again."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select(F.col("doc_id").cast("string").alias("id"), F.posexplode(X.lines(F.col("text"))).alias("n", "text"))
+    docs = docs.select(F.col("doc_id").cast("string").alias("id"), X.lines(F.col("text")).alias("l"))
+    lines = layout.explode_made(docs, ["id"], F.col("l"), "n", "text")
     lines = lines.select("id", F.floor(F.col("n") / 10).cast("int").alias("page"), (F.col("n") % 10).alias("line_index"), "text")
     out = layout.assemble(lines)
     return out.select("id", F.md5(F.col("ocr").cast("binary")).alias("ocr_md5"), "num_pages", F.col("num_lines").cast("long").alias("num_lines"))
@@ -212,12 +213,12 @@ def _page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_merge_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = layout.merge_lines(_page_boxes(spark, sf_dir), "boxes")
-    return merged.select("page", F.posexplode("lines").alias("line_index", "b")).select("page", "line_index", "b.*")
+    return layout.explode_made(merged, ["page"], F.col("lines"), "line_index", "b").select("page", "line_index", "b.*")
 
 
 def line_merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _page_boxes(spark, sf_dir).withColumn("lines", layout.merge_same_line(F.col("boxes"), F.lit(600)))
-    return pages.select("page", F.posexplode("lines").alias("line_index", "b")).select("page", "line_index", "b.*")
+    return layout.explode_made(pages, ["page"], F.col("lines"), "line_index", "b").select("page", "line_index", "b.*")
 
 
 def line_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
