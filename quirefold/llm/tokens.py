@@ -2,8 +2,10 @@
 
 Both vocabularies used here split a text into pieces that are encoded on their own. Where a text is cut at a place that
 is always a border between pieces, encoding the cuts one by one gives the ids of the whole. A cut recurs
-often, so each worker remembers the ids of recent cuts; only unseen ones go to the library, many in one call with a
-mark between them that is one id and a piece of its own.
+often, so each worker remembers the ids of recent cuts; only unseen ones go to the library: words of Latin letters with
+punctuation behind them piece by piece to its model, all others many in one call with a mark between them that is one id and
+a piece of its own. Memory has two generations: when the young one is full it becomes the
+old one, and what is found there again moves to the young one, so common cuts are never forgotten.
 
 - "before_space": the byte-level pattern starts a piece at each single space before another character. Texts with three
   spaces in a row are encoded whole.
@@ -12,14 +14,20 @@ mark between them that is one id and a piece of its own.
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Cuts a worker remembers: some 200 bytes each.
-CACHE_LIMIT = 450_000
+#: Cuts in a generation of a worker's memory, of which it keeps two: some 200 bytes each.
+GENERATION = 180_000
 MARK = "~"
+#: Letters whose normal form and lower case are one code point each, then punctuation; with LF between two words.
+PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*))?"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write bytes as characters: printable ones as themselves, the others from 256 on.
+BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 @lru_cache(maxsize=4)
@@ -38,13 +46,44 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, cut: str):
-        self.tokenizer, self.cut, self.seen = _tokenizer(path), cut, {}
+        self.tokenizer, self.cut, self.seen, self.old = _tokenizer(path), cut, {}, {}
+        self.plain, self.pieces = re.compile(PLAIN), {}
         mark = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, piece: str) -> bytes:
+        """ids of one piece, from the vocabulary's model itself."""
+        written = piece if piece.isascii() and piece.isalpha() else "".join(map(BYTES.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+
+    def _short(self, piece: str) -> bytes:
+        """_model() of punctuation or a line break, remembered."""
+        if not piece:
+            return b""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self._model(piece)
+            if len(piece) < 8:  # few such runs of the six signs recur
+                self.pieces[piece] = ids
+        return ids
+
+    def _by_pieces(self, fresh: list[str]) -> list[str]:
+        """Learns the plain cuts; returns the others."""
+        words, rest = self.cut == "white_space", []
+        for c in fresh:
+            m = self.plain.fullmatch(c)
+            if m is None or words and m[3]:
+                rest.append(c)
+            elif words:
+                self.seen[c] = self._model(m[1].lower()) + self._short(m[2])
+            else:
+                ids = self._model(" " + m[1]) + self._short(m[2])
+                self.seen[c] = ids + self._short(m[3]) + self._model(m[4]) + self._short(m[5]) if m[3] else ids
+        return rest
+
     def _marked(self, forms: list[str], per_call: int = 256) -> list[bytes]:
         """ids of forms without MARK that begin with a space (or hold no white space at all)."""
         if self.mark is None:
@@ -82,6 +121,7 @@ class Encoder:
         return cuts
 
     def _learn(self, fresh: list[str]) -> None:
+        fresh = self._by_pieces(fresh)
         if self.cut == "white_space":
             alone = [c for c in fresh if MARK in c or len(c.split()) != 1]
             forms = alone
@@ -97,17 +137,15 @@ class Encoder:
             self.seen.update(zip(part, self._marked([space + c for c in part]), strict=True))
 
     def _by_cuts(self, lists: list[list[str]]) -> list[bytes]:
-        seen = self.seen
-        missing = set()
-        for cuts in lists:
-            missing.update(cuts)
-        missing = missing.difference(seen)  # walks the few, not the memory
+        if len(self.seen) > GENERATION:
+            self.old, self.seen = self.seen, {}
+        wanted = set().union(*lists)
+        missing = wanted.difference(self.seen)  # walks the few, not the memory
         if missing:
-            if len(seen) + len(missing) > CACHE_LIMIT:
-                seen.clear()
-                missing = set().union(*lists)
-            self._learn(list(missing))
-        get = seen.__getitem__
+            again = missing.intersection(self.old)
+            self.seen.update((c, self.old[c]) for c in again)
+            self._learn(list(missing - again))
+        get = self.seen.__getitem__
         return [b"".join(map(get, cuts)) for cuts in lists]
 
 
