@@ -30,10 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of similar documents the one with the smallest doc_id."""
+    """Keeps of each component of documents alike to 0.8 or more in five-word shingles the one with the smallest doc_id."""
     drop_tables(spark, docs)
     rows = _keyed(docs)
-    found = jaccard_join.join_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = jaccard_join.join_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80, width=5)
     found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
     stay = rows.select("_row", "doc_id").distinct().join(found.distinct(), "_row").groupBy("_component").agg(least.alias("_row")).select("_row")
