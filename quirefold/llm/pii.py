@@ -2,9 +2,8 @@
 
 Base kinds email, ip, card and phone are found leftmost and non-overlapping per kind, then checked (parts of at most
 255, Luhn, digit counts). Their normalised values are the protected entities. A term is a run of three or more letters of a
-word without digits or @, within `reach` code points of a mention. With n distinct texts, c_e of them with the entity and
-c_et with the term near the entity, and c_t documents with the term (copies count, so a term is never held for
-more telling than it is), its disclosure is
+word without digits or @, within `reach` code points of a mention. With n distinct texts, c_e of them with the entity,
+c_t with the term and c_et with the term near the entity, its disclosure is
 
     PMI(e; t) / IC(e) = 1 - log(c_t / c_et) / log(n / c_e),
 
@@ -124,12 +123,12 @@ def revealing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, r
     entities = near.groupBy("entity").agg(F.countDistinct("text_key").alias("c_e"))
     pairs = near.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
     pairs = materialize(pairs.join(entities, "entity"), "pii-pairs")
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = texts.select(F.md5(F.col("text").cast("binary")).alias("text_key")).distinct().count()
-    wanted = pairs.select("term").distinct()
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    n = texts.select("text_key").distinct().count()
+    # The exchange is of texts, one of each task's copies; terms are summed in each task before theirs.
     # explode_outer: a plain explode would be preceded by a filter that finds the terms a second time
-    used = texts.select(F.explode_outer(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))  # summed in each task before the exchange
+    used = texts.dropDuplicates(["text_key"]).select(F.explode_outer(_terms(F.col("text"))).alias("term"))
+    frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
     content = F.log(F.lit(float(max(n, 1))) / F.col("c_e"))
     share = F.when(content > 0, 1 - F.log(F.greatest("c_t", "c_et") / F.col("c_et")) / content).otherwise(F.lit(0.0))
     flagged = pairs.join(frequency, "term").withColumn("disclosure", share).where(F.col("disclosure") >= threshold)

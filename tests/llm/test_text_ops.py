@@ -106,3 +106,11 @@ def test_pii_revealing_terms(spark):
         assert f"term:{at}:{at + 11}" in got[i][0] and "Zanzibarian" not in got[i][1] and "[EMAIL]" in got[i][1]
         assert "today" in got[i][1] and "the" in got[i][1]
     assert all(got[i] == ("", rows[i][1]) for i in range(5, 65))
+
+
+def test_pii_exact_copies_count_once(spark):
+    told = [f"note {i} the keeper Zanzibarian wrote to jo@ex.org today about ships {i * 7}" for i in range(4)]
+    plain = [f"nothing here today about the ships and the harbour number {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(told + plain + told[:1] * 300)), "doc_id long, text string")
+    got = pii.find(df).select("text", pii.clean(F.col("text"), F.col("spans")).alias("clean")).where("text like 'note%'").collect()
+    assert len(got) == 304 and not any("Zanzibarian" in r["clean"] for r in got) and all("today" in r["clean"] for r in got)
