@@ -2,13 +2,13 @@
 
 Base kinds email, ip, card and phone are found leftmost and non-overlapping per kind, then checked (parts of at most
 255, Luhn, digit counts). Their normalised values are the protected entities. A term is a run of three or more letters of a
-word without digits or @, within `reach` code points of a mention. With n distinct texts, c_e of them with the entity,
-c_t with the term and c_et with the term near the entity, its disclosure is
+word without digits or @. With n distinct texts, c_e of them with the entity, c_t with the term and c_et with both, its
+disclosure is
 
     PMI(e; t) / IC(e) = 1 - log(c_t / c_et) / log(n / c_e),
 
 the share of the entity's information content that the term gives away. A term with c_et >= `support` and disclosure
->= `threshold` is removed in every text where it stands near that entity; base spans are generalised to their kind.
+>= `threshold` for any entity is removed from every text; base spans are generalised to their kind.
 
 Defined results: null text is empty and has no spans; texts without mentions are unchanged; repeated rows get equal
 results and count once in the corpus; ties of start are in the order of the kinds; an empty table gives no rows; all
@@ -17,6 +17,8 @@ input columns are kept, clashing ones (spans, base_spans, clean_text) replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,16 @@ def _valid(kind: str, m: Column) -> Column:
 def _value(kind: str, m: Column) -> Column:
     if kind == "email":
         return F.lower(m)
+    if kind == "term":
+        return F.lower(m)
     if kind == "ip":
         return F.regexp_replace(m, r"(^|\.)0+(?=[0-9])", "$1")
     return _digits(m)
 
 
-def _located(text: Column, pattern: str | Column, kind: str, at_all: Column) -> Column:
+def _located(text: Column, pattern: str, kind: str, at_all: Column, valid: Callable[[Column], Column] | None = None) -> Column:
     """Spans of a pattern: matches and the gaps between them give the places."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    p = F.lit(pattern)
     none = F.array().cast("array<string>")
     both = F.when(at_all, F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, p, -1).alias("g"))).otherwise(F.arrays_zip(none.alias("m"), none.alias("g")))
     rank = KINDS.index(kind)
@@ -78,7 +82,8 @@ def _located(text: Column, pattern: str | Column, kind: str, at_all: Column) ->
         start = a["at"] + F.length(x["g"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), _value(kind, x["m"]).alias("value")).cast(_SPAN)
-        keep = x["m"].isNotNull() & _valid(kind, F.coalesce(x["m"], F.lit("")))
+        m = F.coalesce(x["m"], F.lit(""))
+        keep = x["m"].isNotNull() & (valid(m) if valid else _valid(kind, m))
         return F.struct(end.alias("at"), F.when(keep, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
@@ -103,50 +108,45 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"\p{L}{3,}"), F.lit(0)), F.lower))
 
 
-def _near(text: Column, span: Column, reach: int) -> Column:
-    """The terms within `reach` code points of a span; words that the border cuts are left out."""
-    begin = F.greatest(span["start"] - reach, F.lit(0))
-    left = F.substring(text, (begin + 1).cast("int"), (span["start"] - begin).cast("int"))
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(reach))
-    right = F.when(span["end"] + reach < F.length(text), F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    return F.array_union(_terms(left), _terms(right))
-
-
-def revealing_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, reach: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(mentions, disclosed). mentions: text_key, text, base_spans of each distinct text with base spans. disclosed:
-    text_key and the terms to remove there."""
-    held = with_base(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).where(F.size("base_spans") > 0)
-    mentions = materialize(held.dropDuplicates(["text_key"]).select("text_key", "text", "base_spans"), "pii-mentions")
-    near = mentions.select("text_key", "text", F.explode("base_spans").alias("s")).select("text_key", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode_outer(_near(F.col("text"), F.col("s"), reach)).alias("term"))
-    near = materialize(near.distinct(), "pii-near")
-    entities = near.groupBy("entity").agg(F.countDistinct("text_key").alias("c_e"))
-    pairs = near.where("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
-    pairs = materialize(pairs.join(entities, "entity"), "pii-pairs")
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.md5(F.col("text").cast("binary")))
+def flagged_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9) -> DataFrame:
+    """(term, disclosure): the terms that give an entity away, with the most that each tells of any."""
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(whole.alias("text")).withColumn("text_key", F.md5(F.col("text").cast("binary")))
     n = texts.select("text_key").distinct().count()
+    entity = F.explode(F.array_distinct(F.transform("base_spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))))
+    mentions = materialize(with_base(texts.select("text")).where(F.size("base_spans") > 0).dropDuplicates(["text_key"]).select("text_key", "text", "base_spans"), "pii-mentions")
+    held = materialize(mentions.select("text_key", entity.alias("entity")), "pii-held")
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where((F.col("c_e") >= support) & (F.col("c_e") < n))  # in all texts: nothing to tell
+    held = materialize(held.join(entities, "entity"), "pii-entities")
     # The exchange is of texts, one of each task's copies; terms are summed in each task before theirs.
     # explode_outer: a plain explode would be preceded by a filter that finds the terms a second time
     used = texts.dropDuplicates(["text_key"]).select(F.explode_outer(_terms(F.col("text"))).alias("term"))
-    frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"))
-    content = F.log(F.lit(float(max(n, 1))) / F.col("c_e"))
-    share = F.when(content > 0, 1 - F.log(F.greatest("c_t", "c_et") / F.col("c_et")) / content).otherwise(F.lit(0.0))
-    flagged = pairs.join(frequency, "term").withColumn("disclosure", share).where(F.col("disclosure") >= threshold)
-    flagged = materialize(flagged.select("entity", "term", "disclosure"), "pii-flagged")
-    disclosed = near.join(flagged, ["entity", "term"], "left_semi").groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    return mentions, disclosed
+    frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).where(F.col("c_t") >= support)
+
+    def share(both: Column | str) -> Column:
+        return 1 - F.log(F.col("c_t") / both) / F.log(F.lit(float(n)) / F.col("c_e"))
 
+    # c_et is c_e and c_t at most: a term too common for the most common entity of a text can be left out before pairs are made.
+    near = mentions.join(held.groupBy("text_key").agg(F.max("c_e").alias("c_e")), "text_key")
+    near = near.select("text_key", "c_e", F.explode_outer(_terms(F.col("text"))).alias("term")).join(frequency, "term")
+    near = near.where(share(F.least("c_e", "c_t")) >= threshold).select("text_key", "term", "c_t")
+    pairs = near.join(held, "text_key").where(share(F.least("c_e", "c_t")) >= threshold)
+    pairs = pairs.groupBy("entity", "term", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
+    told = pairs.withColumn("disclosure", share(F.col("c_et"))).where(F.col("disclosure") >= threshold)
+    return materialize(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-flagged")
 
-def find(docs: DataFrame, support: int = 3, threshold: float = 0.9, reach: int = 100) -> DataFrame:
+
+def find(docs: DataFrame, support: int = 3, threshold: float = 0.9) -> DataFrame:
     """docs with base_spans and spans (base and term spans), arrays of {start, rank, end, kind, value}."""
-    mentions, disclosed = revealing_terms(docs, support, threshold, reach)
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    located = mentions.join(disclosed, "text_key").select("text_key", "base_spans", _located(F.col("text"), pattern, "term", F.lit(True)).alias("t"))
-    clear = F.filter("t", lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    extra = materialize(located.select("text_key", clear.alias("term_spans")), "pii-terms")
-    joined = with_base(docs.drop("spans", "base_spans", "text_key")).join(extra, "text_key", "left").drop("text_key")
-    none = F.array().cast(f"array<{_SPAN}>")
-    return joined.withColumn("spans", F.sort_array(F.concat("base_spans", F.coalesce("term_spans", none)))).drop("term_spans")
+    flagged = flagged_terms(docs, support, threshold).select("term")
+    rows = docs.drop("spans", "base_spans", "text_key", "_terms")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = rows.select(F.md5(text.cast("binary")).alias("text_key"), F.explode_outer(_terms(text)).alias("term")).join(flagged, "term", "left_semi")
+    told = materialize(told.groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("_terms")), "pii-terms")
+    joined = with_base(rows).join(told, "text_key", "left")
+    found = _located(text, r"\p{L}{3,}+", "term", F.col("_terms").isNotNull(), lambda m: F.array_contains("_terms", F.lower(m)))
+    clear = F.filter(found, lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return joined.withColumn("spans", F.sort_array(F.concat("base_spans", clear))).drop("text_key", "_terms")
 
 
 def clean(text: Column, spans: Column) -> Column:

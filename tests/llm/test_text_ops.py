@@ -114,3 +114,17 @@ def test_pii_exact_copies_count_once(spark):
     df = spark.createDataFrame(list(enumerate(told + plain + told[:1] * 300)), "doc_id long, text string")
     got = pii.find(df).select("text", pii.clean(F.col("text"), F.col("spans")).alias("clean")).where("text like 'note%'").collect()
     assert len(got) == 304 and not any("Zanzibarian" in r["clean"] for r in got) and all("today" in r["clean"] for r in got)
+
+
+def test_pii_terms_of_the_whole_text(spark):
+    """A name far from the address, and in a text without it."""
+    far = " ".join(f"about the ships and harbours number {k}" for k in range(8))
+    told = [f"The keeper Zanzibarian {i} writes. {far} {i * 7} jo@ex.org" for i in range(5)]
+    alone = "today the ships of Zanzibarian are here"
+    plain = [f"{far} nothing writes here today keeper are number {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate([*told, alone, *plain])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["s"], r["clean"]) for r in pii.find(df).select("doc_id", pii.span_list(F.col("spans")).alias("s"), pii.clean(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    for i, t in enumerate([*told, alone]):
+        at = t.index("Zanzibarian")
+        assert f"term:{at}:{at + 11}" in got[i][0] and got[i][1] == t.replace("Zanzibarian", "").replace("jo@ex.org", "[EMAIL]")
+    assert all(got[i] == ("", t) for i, t in enumerate(plain, 6))
