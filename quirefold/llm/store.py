@@ -132,12 +132,17 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
     ordered = staged.drop("fresh").repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc_root")
     ordered.mapInArrow(number, "part int, start_in_part long, doc_id long, n_tokens long, chunk_ids array<binary>, chunk_lengths array<int>, doc_root binary").write.parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start_in_part", "doc_id", "doc_root"))), lambda x: F.hex(x["doc_root"]))
-    parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sha2(F.concat_ws("", roots).cast("binary"), 256).alias("part_root"))
+    parts = _manifest(recipes)
     parts.sort("part").write.parquet(f"{path}/manifest")
     return path
 
 
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """tokens, documents and part_root of each part."""
+    roots = F.transform(F.array_sort(F.collect_list(F.struct("start_in_part", "doc_id", "doc_root"))), lambda x: F.hex(x["doc_root"]))
+    return recipes.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sha2(F.concat_ws("", roots).cast("binary"), 256).alias("part_root"))
+
+
 def _crc_tables(levels: int = 40) -> np.ndarray:
     """tables[k, b, v]: byte v at place b of a CRC-32 after 2**k further zero bytes."""
     poly = 0xEDB88320
@@ -193,13 +198,22 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with `start`, the ids of all documents before."""
+    """Recipes with `start`, the ids of all documents before; every part is held against the manifest."""
     from pyspark.sql import Window
 
     recipes = spark.read.parquet(f"{path}/recipes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part file
-    parts = spark.read.parquet(f"{path}/manifest").select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return recipes.join(parts, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "chunk_ids", "chunk_lengths", "doc_root")
+    parts = spark.read.parquet(f"{path}/manifest").withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    found = _manifest(recipes).select("part", *[F.col(k).alias(f"found_{k}") for k in ("tokens", "documents", "part_root")])
+    same = (F.col("tokens") == F.col("found_tokens")) & (F.col("documents") == F.col("found_documents")) & (F.col("part_root") == F.col("found_part_root"))
+    parts = parts.join(found, "part", "full").select("part", F.when(same, F.col("base")).otherwise(F.raise_error(F.lit("a part does not match the manifest")).cast("long")).alias("base"))
+    return parts.join(recipes, "part", "left").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "chunk_ids", "chunk_lengths", "doc_root")
+
+
+def _with_chunks(uses: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each use with its chunk; one that is not there fails the read."""
+    here = F.when(F.col("n").isNotNull(), F.col("n")).otherwise(F.raise_error(F.lit("a chunk is missing")).cast("int"))
+    return uses.join(chunks, "chunk_id", "left").withColumn("n", here)
 
 
 def _uses(recipes: DataFrame) -> DataFrame:
@@ -213,9 +227,11 @@ def _uses(recipes: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document put together from its verified chunks."""
-    uses = _uses(_recipes(spark, path)).join(read_chunks(spark, path), "chunk_id")
+    uses = _with_chunks(_uses(_recipes(spark, path)), read_chunks(spark, path))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: F.hex(x["ids"]))
-    return uses.groupBy("doc_id", "start", "n_tokens").agg(F.unhex(F.concat_ws("", parts)).alias("ids"))
+    whole = uses.groupBy("doc_id", "start", "n_tokens").agg(F.unhex(F.concat_ws("", parts)).alias("ids"), F.sum("n").alias("found"))
+    complete = F.when(F.col("found") == F.col("n_tokens"), F.col("ids")).otherwise(F.raise_error(F.lit("lengths do not add up")).cast("binary"))
+    return whole.select("doc_id", "start", "n_tokens", complete.alias("ids"))
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
@@ -235,8 +251,8 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
             moved = crc_shift(batch.column("crc").to_numpy(zero_copy_only=False), 4 * batch.column("after").to_numpy(zero_copy_only=False).astype(np.int64), tables)
             yield pa.record_batch([batch.column(k) for k in ("doc_id", "start", "n_tokens", "n")] + [pa.array(moved.astype(np.int64))], names=["doc_id", "start", "n_tokens", "n", "crc"])
 
-    uses = _uses(_recipes(spark, path)).join(read_chunks(spark, path).mapInArrow(sums, "chunk_id binary, n int, crc long"), "chunk_id")
+    uses = _with_chunks(_uses(_recipes(spark, path)), read_chunks(spark, path).mapInArrow(sums, "chunk_id binary, n int, crc long"))
     moved = uses.select("doc_id", "start", "n_tokens", "n", "crc", "after").mapInArrow(shift, "doc_id long, start long, n_tokens long, n int, crc long")
     whole = moved.groupBy("doc_id", "start", "n_tokens").agg(F.sum("n").alias("found"), F.expr("bit_xor(crc)").alias("ids_crc32"))
-    complete = F.when(F.col("found") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a chunk is missing")).cast("long"))
+    complete = F.when(F.col("found") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("lengths do not add up")).cast("long"))
     return whole.select("doc_id", "start", "n_tokens", complete.alias("ids_crc32"))

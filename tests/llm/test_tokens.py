@@ -116,3 +116,18 @@ def test_edit_moves_only_near_cuts():
 
     edited = np.concatenate([ids[:5000], np.array([7], "<u4"), ids[5000:]])
     assert len(cut(ids) - cut(edited)) <= 3
+
+
+def test_store_misses_nothing(spark, docs, vocabularies, tmp_path):
+    """A document without any chunk left, and a recipe that is gone."""
+    folder = store.write_store(docs.limit(4), vocabularies["word_bpe_49k.json"], path=str(tmp_path / "m"))
+    recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
+    one = recipes.select("doc_id", F.explode("chunk_ids").alias("chunk_id")).where("doc_id = 1").select("chunk_id")
+    for name, r, c in (("chunk", recipes, chunks.join(one, "chunk_id", "left_anti")), ("part", recipes.where("doc_id <> 1"), chunks)):
+        bad = str(tmp_path / name)
+        r.write.parquet(f"{bad}/recipes")
+        c.write.parquet(f"{bad}/chunks")
+        spark.read.parquet(f"{folder}/manifest").write.parquet(f"{bad}/manifest")
+        for read in (store.read_documents, store.read_checksums):
+            with pytest.raises(Exception, match=f"a {name} "):
+                read(spark, bad).collect()
