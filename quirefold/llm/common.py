@@ -44,6 +44,14 @@ def drop_tables(spark: SparkSession, but_for: DataFrame) -> None:
             _MADE.remove(path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lowers the session's Arrow batches to `size` bytes: 10,000 long texts at once fill an executor."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > size or now <= 0:
+        spark.conf.set(key, str(size))
+
+
 def word_count(text: Column) -> Column:
     """Number of WORD runs; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quirefold.llm.common import small_batches
 from quirefold.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -93,10 +94,9 @@ def pack(docs: DataFrame, vocabulary: str, cut: str = "before_space", end_id: in
 
         coder = encoder(vocabulary, cut)
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), 500):
-                for key, stream in zip(keys[i : i + 500], coder.encode([t or "" for t in texts[i : i + 500]]), strict=True):
+            keys = iter(batch.column("doc_id").to_pylist())
+            for part in coder.encode_array(batch.column("text")):
+                for stream, key in zip(part.to_pylist(), keys):  # noqa: B905  keys go on with the next part
                     ids.append(key)
                     streams.append(stream + end)
                     tokens += len(stream) // 4 + 1
@@ -106,4 +106,5 @@ def pack(docs: DataFrame, vocabulary: str, cut: str = "before_space", end_id: in
             yield from flush()
 
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return narrow.mapInArrow(run, SCHEMA)

@@ -1,14 +1,16 @@
 """Content-addressed store of token id streams.
 
-A store is a folder of three Parquet tables:
+A store is a folder of four Parquet tables:
 
-    chunks    chunk_id (sha256 of the ids), n, payload (the ids, compressed)              each chunk once
-    recipes   part, start_in_part, doc_id, n_tokens, chunk_ids, chunk_lengths, doc_root   ascending doc_id
-    manifest  part, tokens, documents, part_root                                          ascending part
+    chunks    chunk_id (sha256 of the ids), n, payload (the ids, compressed)                     each chunk once
+    recipes   part, place, start_in_part, doc_id, n_tokens, chunk_ids, chunk_lengths, doc_root   ascending doc_id
+    manifest  part, tokens, documents, part_root                                                 ascending part
+    root      parts, tokens, documents, root                                                     one row
 
 A rolling hash of the last 16 ids cuts a stream where its low bits are 0, so an edit moves only nearby cuts and
-equal passages share chunks. doc_root hashes the chunk ids of a document, part_root the doc_roots of a part: a Merkle
-tree by which read_documents() verifies chunks, recipes and parts.
+equal passages share chunks. doc_root hashes the chunk ids of a document; doc_roots are hashed a thousand at a time, those
+hashes to part_root, and part_roots to root: a Merkle tree of bounded nodes, by which both readers verify chunks, recipes,
+parts and the whole. A chunk, recipe or part that is missing or altered fails the read.
 
 Defined results: null text is empty, its stream is the end id alone; repeated rows and ids are stored apart, in the order
 (doc_id, doc_root), null ids first; very long streams are many chunks, none over `longest`; an empty table makes an
@@ -26,15 +28,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialize, shared_dir, shuffle_width
+from quirefold.llm.common import materialize, shared_dir, shuffle_width, small_batches
 from quirefold.llm.tokens import encoder
 
 _STAGED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("chunk_ids", pa.list_(pa.binary())), ("chunk_lengths", pa.list_(pa.int32())), ("doc_root", pa.binary()), ("fresh", pa.list_(pa.binary()))])
-_RECIPE = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), *[_STAGED.field(k) for k in ("doc_id", "n_tokens", "chunk_ids", "chunk_lengths", "doc_root")]])
+_RECIPE = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("start_in_part", pa.int64()), *[_STAGED.field(k) for k in ("doc_id", "n_tokens", "chunk_ids", "chunk_lengths", "doc_root")]])
 _CHUNK = pa.schema([("chunk_id", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])
+_USE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("place", pa.int32()), ("chunk_id", pa.binary()), ("after", pa.int64())])
 _SUM = pa.schema([("chunk_id", pa.binary()), ("n", pa.int32()), ("crc", pa.int64())])
 
 
@@ -42,15 +45,36 @@ def _gear(size: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32)
 
 
-def cut_points(ids: np.ndarray, gear: np.ndarray, shortest: int, mask: int, longest: int) -> list[int]:
-    """Ends of the chunks of a stream."""
+def _candidates(ids: np.ndarray, gear: np.ndarray, mask: int) -> np.ndarray:
+    """Ends of the windows of 16 ids (fewer at the start) whose hash has zero bits under the mask."""
     h = gear[ids & (len(gear) - 1)]
     for k in (1, 2, 4, 8):  # after these, h sums the shifted values of 16 ids
         more = h.copy()
         more[k:] += h[:-k] << np.uint32(k) if len(h) > k else 0
         h = more
-    ends, last, n = [], 0, len(ids)
-    for c in (np.flatnonzero((h >> np.uint32(12)) & np.uint32(mask) == 0) + 1).tolist():
+    return np.flatnonzero((h >> np.uint32(12)) & np.uint32(mask) == 0) + 1
+
+
+def cut_points(ids: np.ndarray, gear: np.ndarray, shortest: int, mask: int, longest: int) -> list[int]:
+    """Ends of the chunks of a stream."""
+    return _chunk_ends(len(ids), _candidates(ids, gear, mask).tolist(), shortest, longest)
+
+
+def cuts_of(streams: list[bytes], gear: np.ndarray, shortest: int, mask: int, longest: int) -> list[list[int]]:
+    """cut_points() of each stream. Windows that reach into the stream before end no chunk where chunks are longer than a window."""
+    if shortest < 16:
+        return [cut_points(np.frombuffer(s, "<u4"), gear, shortest, mask, longest) for s in streams]
+    size = np.array([len(s) // 4 for s in streams], np.int64)
+    begin = np.cumsum(size) - size
+    found = _candidates(np.frombuffer(b"".join(streams), "<u4"), gear, mask)
+    a, b = np.searchsorted(found, begin, "right"), np.searchsorted(found, begin + size, "right")
+    return [_chunk_ends(n, (found[i:j] - at).tolist(), shortest, longest) for n, at, i, j in zip(size.tolist(), begin.tolist(), a.tolist(), b.tolist(), strict=True)]
+
+
+def _chunk_ends(n: int, cuts: list[int], shortest: int, longest: int) -> list[int]:
+    """Ends of the chunks of n ids with candidates for cuts: none under `shortest` but the last, none over `longest`."""
+    ends, last = [], 0
+    for c in cuts:
         while c - last > longest:
             last += longest
             ends.append(last)
@@ -75,7 +99,7 @@ def _wide(data: bytes, n: int) -> bytes:
     return data if len(data) == 4 * n else np.frombuffer(data, "<u2").astype("<u4").tobytes()
 
 
-def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_id: int = 2, path: str | None = None, shortest: int = 256, mask: int = 1023, longest: int = 4096) -> str:
+def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_id: int = 2, path: str | None = None, shortest: int = 256, mask: int = 1023, longest: int = 4096, part_tokens: int = 50_000_000) -> str:
     """Writes the store and returns its folder (in the shared folder unless named)."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
@@ -84,13 +108,13 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, gear, sent, press = encoder(vocabulary, cut), _gear(), set(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            keys = iter(batch.column("doc_id").to_pylist())
+            for part in coder.encode_array(batch.column("text")):
                 rows = []
-                for key, stream in zip(part.column("doc_id").to_pylist(), coder.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    stream += end
+                streams = [ids + end for ids in part.to_pylist()]
+                for stream, ends, key in zip(streams, cuts_of(streams, gear, shortest, mask, longest), keys):  # noqa: B905  keys go on with the next part
                     names, lengths, fresh, at = [], [], [], 0
-                    for e in cut_points(np.frombuffer(stream, "<u4"), gear, shortest, mask, longest):
+                    for e in ends:
                         body = stream[4 * at : 4 * e]
                         name = hashlib.sha256(body).digest()
                         names.append(name)
@@ -106,6 +130,7 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED, strict=True)], schema=_STAGED)
 
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    small_batches(spark)
     staged = materialize(narrow.mapInArrow(chunk, "doc_id long, n_tokens long, chunk_ids array<binary>, chunk_lengths array<int>, doc_root binary, fresh array<binary>"), "staged")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,25 +147,39 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
     rows.repartition(shuffle_width(spark), "chunk_id").mapInArrow(once, "chunk_id binary, n int, payload binary").write.option("compression", "none").parquet(f"{path}/chunks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ctx, at = TaskContext.get(), 0
+        part, at, place = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.int64)
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.record_batch([pa.array(np.full(len(n), ctx.partitionId(), np.int32)), pa.array(starts), *[batch.column(f.name).cast(f.type) for f in list(_RECIPE)[2:]]], schema=_RECIPE)
-
-    ordered = staged.drop("fresh").repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc_root")
-    ordered.mapInArrow(number, "part int, start_in_part long, doc_id long, n_tokens long, chunk_ids array<binary>, chunk_lengths array<int>, doc_root binary").write.parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    parts = _manifest(recipes)
-    parts.sort("part").write.parquet(f"{path}/manifest")
+            starts, places = at + np.cumsum(n) - n, place + np.arange(len(n))
+            at, place = at + int(n.sum()), place + len(n)
+            yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(places), pa.array(starts), *[batch.column(f.name).cast(f.type) for f in list(_RECIPE)[3:]]], schema=_RECIPE)
+
+    tokens = staged.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    parts = shuffle_width(spark, -(-tokens // part_tokens))
+    ordered = staged.drop("fresh").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc_root")
+    ordered.mapInArrow(number, "part int, place long, start_in_part long, doc_id long, n_tokens long, chunk_ids array<binary>, chunk_lengths array<int>, doc_root binary").write.parquet(f"{path}/recipes")
+    _manifest(spark.read.parquet(f"{path}/recipes")).sort("part").write.parquet(f"{path}/manifest")
+    _root(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/root")
     return path
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """tokens, documents and part_root of each part."""
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start_in_part", "doc_id", "doc_root"))), lambda x: F.hex(x["doc_root"]))
-    return recipes.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sha2(F.concat_ws("", roots).cast("binary"), 256).alias("part_root"))
+def _joined(*fields: str) -> Column:
+    """sha256 over the last field of a group's rows, in the order of the others."""
+    rows = F.array_sort(F.collect_list(F.struct(*fields)))
+    return F.sha2(F.concat_ws("", F.transform(rows, lambda x: x[fields[-1]])).cast("binary"), 256)
+
+
+def _manifest(recipes: DataFrame, each: int = 1000) -> DataFrame:
+    """tokens, documents and part_root of each part; no row gathers more than `each` documents, or their thousandth part."""
+    own = F.sha2(F.concat_ws(":", "place", "start_in_part", "doc_id", F.hex("doc_root")).cast("binary"), 256)
+    nodes = recipes.select("part", F.floor(F.col("place") / each).alias("node"), "place", "n_tokens", own.alias("own"))
+    nodes = nodes.groupBy("part", "node").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), _joined("place", "own").alias("node_root"))
+    return nodes.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"), _joined("node", "node_root").alias("part_root"))
+
+
+def _root(manifest: DataFrame) -> DataFrame:
+    """One row over the parts, of which there are few."""
+    return manifest.agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), _joined("part", "part_root").alias("root"))
 
 
 def _crc_tables(levels: int = 40) -> np.ndarray:
@@ -198,12 +237,14 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with `start`, the ids of all documents before; every part is held against the manifest."""
+    """Recipes with `start`, the ids of all documents before; every part is held against the manifest, the manifest against the root."""
     from pyspark.sql import Window
 
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    if _root(manifest).exceptAll(spark.read.parquet(f"{path}/root")).count():
+        raise ValueError("the manifest does not match the root")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part file
-    parts = spark.read.parquet(f"{path}/manifest").withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    parts = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     found = _manifest(recipes).select("part", *[F.col(k).alias(f"found_{k}") for k in ("tokens", "documents", "part_root")])
     same = (F.col("tokens") == F.col("found_tokens")) & (F.col("documents") == F.col("found_documents")) & (F.col("part_root") == F.col("found_part_root"))
     parts = parts.join(found, "part", "full").select("part", F.when(same, F.col("base")).otherwise(F.raise_error(F.lit("a part does not match the manifest")).cast("long")).alias("base"))
@@ -217,12 +258,21 @@ def _with_chunks(uses: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _uses(recipes: DataFrame) -> DataFrame:
-    """One row per use of a chunk: doc_id, start, n_tokens, place, after (ids of the document behind it)."""
-    root = F.sha2(F.unhex(F.concat_ws("", F.transform("chunk_ids", F.hex))), 256)
-    kept = recipes.where(F.when(root == F.lower(F.hex("doc_root")), True).otherwise(F.raise_error(F.lit("a recipe does not match its root")).cast("boolean")))
-    c = kept.select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("chunk_ids", "chunk_lengths")).alias("place", "c"), "chunk_lengths")
-    after = F.aggregate(F.slice("chunk_lengths", F.col("place") + 2, F.size("chunk_lengths")), F.lit(0).cast("long"), lambda a, n: a + n)
-    return c.select("doc_id", "start", "n_tokens", "place", F.col("c.chunk_ids").alias("chunk_id"), after.alias("after"))
+    """One row per use of a chunk: doc_id, start, n_tokens, place, chunk_id, after (ids of the document behind it)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, start, n, names, lengths, root in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "start", "n_tokens", "chunk_ids", "chunk_lengths", "doc_root")], strict=True):
+                if hashlib.sha256(b"".join(names)).digest() != root or sum(lengths) != n:
+                    raise ValueError("a recipe does not match its root")
+                after = n
+                for place, (name, length) in enumerate(zip(names, lengths, strict=True)):
+                    after -= length
+                    rows.append((doc_id, start, n, place, name, after))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _USE, strict=True)] if rows else [pa.array([], f.type) for f in _USE], schema=_USE)
+
+    return recipes.mapInArrow(spread, "doc_id long, start long, n_tokens long, place int, chunk_id binary, after long")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -1,155 +1,186 @@
-"""Encoding by the tokenizers library with a bounded memory of pieces already seen.
-
-Both vocabularies used here split a text into pieces that are encoded on their own. Where a text is cut at a place that
-is always a border between pieces, encoding the cuts one by one gives the ids of the whole. A cut recurs
-often, so each worker remembers the ids of recent cuts; only unseen ones go to the library: words of Latin letters with
-punctuation behind them piece by piece to its model, all others many in one call with a mark between them that is one id and
-a piece of its own. Memory has two generations: when the young one is full it becomes the
-old one, and what is found there again moves to the young one, so common cuts are never forgotten.
-
-- "before_space": the byte-level pattern starts a piece at each single space before another character. Texts with three
-  spaces in a row are encoded whole.
-- "white_space": the word-end vocabulary drops white space and never joins characters across it. Cuts at space and LF.
+"""Encoding by the tokenizers library, word by word, in Arrow arrays.
+
+Both vocabularies used here split a text into pieces that are encoded on their own. A cut is made only where a border between
+pieces is certain: around a single space or line break between two characters that are not white space. So the ids
+of the words in a row are the ids of the text. Arrow splits a batch of texts into words and numbers the distinct ones; each
+worker remembers the ids of words (bounded; common ones stay), and what it has not seen goes to the library in a few calls.
+Texts with other white space beside a space or line break, or with a special string of the vocabulary, are encoded whole.
+
+- "before_space": byte-level pieces that carry the space before them; a line break is a piece of its own.
+- "white_space": a vocabulary with word ends that drops white space; words are what stands between spaces and line breaks.
+
+Special strings of the vocabulary in a text become their ids, as the library does unless told otherwise;
+special_strings=False encodes them as ordinary text.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
-
-#: Cuts in a generation of a worker's memory, of which it keeps two: some 200 bytes each.
-GENERATION = 180_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space of Unicode in RE2 syntax: fixed value.
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Where cuts are not certain, or a text is empty.
+UNSAFE = rf"^[ \n]|{SPACES}[ \n]|[ \n]{SPACES}|[ \n]$|^$"
+#: A space (start of a text), a line break or nothing; letters whose normal form and lower case are one code point each; signs.
+PLAIN = r"^(?P<lead>[ \n]?)(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?]*)$"
+#: Words in a generation of a worker's memory, of which it keeps two: some 200 bytes each.
+GENERATION = 250_000
 MARK = "~"
-#: Letters whose normal form and lower case are one code point each, then punctuation; with LF between two words.
-PLAIN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*))?"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write bytes as characters: printable ones as themselves, the others from 256 on.
 BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, cut: str):
-        self.tokenizer, self.cut, self.seen, self.old = _tokenizer(path), cut, {}, {}
-        self.plain, self.pieces = re.compile(PLAIN), {}
-        mark = self.tokenizer.encode(f" {MARK}", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+    def __init__(self, path: str, cut: str, special_strings: bool = True):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        if cut not in ("before_space", "white_space"):
+            raise ValueError(f"unknown cut {cut!r}")
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), cut == "white_space"
+        self.tokenizer.encode_special_tokens = not special_strings
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Words of letters are pieces already: the vocabulary's own model, without the search for pieces.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        (self.mark,) = self.model.encode(MARK, add_special_tokens=False).ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _model(self, piece: str) -> bytes:
-        """ids of one piece, from the vocabulary's model itself."""
-        written = piece if piece.isascii() and piece.isalpha() else "".join(map(BYTES.__getitem__, piece.encode()))
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
-
-    def _short(self, piece: str) -> bytes:
-        """_model() of punctuation or a line break, remembered."""
-        if not piece:
-            return b""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self._model(piece)
-            if len(piece) < 8:  # few such runs of the six signs recur
-                self.pieces[piece] = ids
-        return ids
-
-    def _by_pieces(self, fresh: list[str]) -> list[str]:
-        """Learns the plain cuts; returns the others."""
-        words, rest = self.cut == "white_space", []
-        for c in fresh:
-            m = self.plain.fullmatch(c)
-            if m is None or words and m[3]:
-                rest.append(c)
-            elif words:
-                self.seen[c] = self._model(m[1].lower()) + self._short(m[2])
-            else:
-                ids = self._model(" " + m[1]) + self._short(m[2])
-                self.seen[c] = ids + self._short(m[3]) + self._model(m[4]) + self._short(m[5]) if m[3] else ids
-        return rest
-
-    def _marked(self, forms: list[str], per_call: int = 256) -> list[bytes]:
-        """ids of forms without MARK that begin with a space (or hold no white space at all)."""
-        if self.mark is None:
-            return self._whole(forms)
-        lead = " " if self.cut == "white_space" else ""
-        groups = [forms[i : i + per_call] for i in range(0, len(forms), per_call)]
-        joined = [f" {MARK}".join(lead + f for f in g) for g in groups]
+    def _pieces(self, words: list[str], per_call: int = 256) -> list[bytes]:
+        """ids of words of letters, which may begin with the sign for a space; by the model, with a mark between them."""
+        space = "" if self.by_words else "Ġ"
+        shown = [w if (bare := w.removeprefix(space)).isascii() else w[: len(w) - len(bare)] + "".join(map(BYTES.__getitem__, bare.encode())) for w in words]
+        groups = [shown[i : i + per_call] for i in range(0, len(shown), per_call)]
         out: list[bytes] = []
-        for group, data in zip(groups, self._whole(joined), strict=True):
-            ids = np.frombuffer(data, "<u4")
-            ends = (4 * np.flatnonzero(ids == self.mark)).tolist()
-            if len(ends) != len(group) - 1:
-                out += self._whole(group)
-                continue
-            out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)]
+        for group, e in zip(groups, self.model.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            data = array("I", e.ids)
+            marks = (4 * np.flatnonzero(np.frombuffer(data, "<u4") == self.mark)).tolist()
+            data = data.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(m + 4 for m in marks)], [*marks, len(data)], strict=True)]
+            if len(marks) != len(group) - 1:
+                raise ValueError("the mark is part of a word")
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut == "white_space":
-            return self._by_cuts([t.replace("\n", " ").split(" ") for t in texts])
-        out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, t in enumerate(texts) if "   " not in t]
-        for i, ids in zip(plain, self._by_cuts([self._before_spaces(texts[i]) for i in plain]), strict=True):
-            out[i] = ids
-        rest = [i for i, t in enumerate(texts) if "   " in t]
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = ids
+    def _remembered(self, words: list[str], learn) -> list[bytes]:
+        """ids of distinct words; what neither generation holds is learnt."""
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = [w for w in words if w not in young]
+        if missing:
+            young.update((w, old[w]) for w in missing if w in old)
+            fresh = [w for w in missing if w not in young]
+            young.update(zip(fresh, learn(fresh), strict=True))
+        return list(map(young.__getitem__, words))
+
+    def _coded(self, words: pa.Array, learn) -> pa.Array:
+        d = words.dictionary_encode()
+        return pa.array(self._remembered(d.dictionary.to_pylist(), learn), pa.binary()).take(d.indices)
+
+    def _distinct_words(self, words: pa.Array) -> pa.Array:
+        """ids of distinct words: as they stand after a space, with LF in front after a line break, with a space in front at the start of a text."""
+        parts = pc.extract_regex(words, PLAIN)
+        plain = parts.is_valid()
+        n = pc.sum(plain).as_py() or 0
+        found = parts.filter(plain)
+        lead, stem, signs = (found.field(k) for k in range(3))
+        if self.by_words:
+            shown = pc.utf8_lower(stem)
+        else:
+            shown = pc.binary_join_element_wise(pc.if_else(pc.equal(lead, ""), "Ġ", ""), stem, "")
+        # In memory signs begin with a tab and other words with CR, which plain words never hold.
+        bare = lambda x: self._whole([s[1:] for s in x])
+        tail = self._coded(pc.binary_join_element_wise("\t", signs, ""), bare)
+        broken = self._remembered(["\t\n"], bare)[0]
+        head = pc.if_else(pc.equal(lead, "\n"), pa.scalar(broken, pa.binary()), pa.scalar(b"", pa.binary()))
+        ids = pc.binary_join_element_wise(head, self._coded(shown, self._pieces), tail, pa.scalar(b"", pa.binary()))
+        if n == len(words):
+            return ids
+
+        def learn(rest: list[str]) -> list[bytes]:
+            if self.by_words:
+                return self._whole([w[1:] for w in rest])
+            return self._whole([w[2:] if w[1:2] == " " else w[1:] if w[1:2] == "\n" else " " + w[1:] for w in rest])
+
+        other = self._coded(pc.binary_join_element_wise("\r", words.filter(pc.invert(plain)), ""), learn)
+        mask = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), np.int64)
+        place[mask], place[~mask] = np.arange(n), np.arange(n, len(words))
+        return pa.concat_arrays([ids, other]).take(pa.array(place))
+
+    def _by_words(self, texts: pa.Array) -> pa.Array:
+        broken = pc.replace_substring(texts, "\n", " " if self.by_words else " \n")
+        lists = pc.split_pattern(broken, " ")
+        words, offsets = lists.flatten(), lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        if not self.by_words:  # the first word of a text has no space before it
+            first = pc.binary_join_element_wise(" ", words.take(pa.array(offsets[:-1])), "")
+            words = pa.concat_arrays([words, first])
+        coded = words.dictionary_encode()
+        place = coded.indices.to_numpy()
+        if not self.by_words:
+            n = int(offsets[-1])
+            place = place.copy()
+            place[offsets[:-1]] = place[n:]
+            place = place[:n]
+        out = self._distinct_words(coded.dictionary).take(pa.array(place))
+        ends = np.frombuffer(out.buffers()[1], np.int32)[out.offset : out.offset + len(out) + 1]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends[offsets])), out.buffers()[2]])
+
+    def encode_array(self, texts: pa.Array, part_bytes: int = 8_000_000) -> list[pa.Array]:
+        """Binary arrays with the ids of the texts in order; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        out = []
+        for part in slices(texts, part_bytes):
+            odd = pc.match_substring_regex(part, UNSAFE)
+            for s in self.special:
+                odd = pc.or_(odd, pc.match_substring(part, s))
+            n = pc.sum(odd).as_py()
+            if not n:
+                out.append(self._by_words(part))
+                continue
+            whole = pa.array(self._whole(part.filter(odd).to_pylist()), pa.binary())
+            if n == len(part):
+                out.append(whole)
+                continue
+            both = pa.concat_arrays([self._by_words(part.filter(pc.invert(odd))), whole])
+            mask = odd.to_numpy(zero_copy_only=False)
+            place = np.empty(len(part), np.int64)
+            place[~mask], place[mask] = np.arange(len(part) - n), np.arange(len(part) - n, len(part))
+            out.append(both.take(pa.array(place)))
         return out
 
-    @staticmethod
-    def _before_spaces(text: str) -> list[str]:
-        # No cut holds a space, so a space in front marks the first one: it is encoded as it is, the rest after a space.
-        cuts = text.split(" ")
-        cuts[0] = " " + cuts[0]
-        return cuts
-
-    def _learn(self, fresh: list[str]) -> None:
-        fresh = self._by_pieces(fresh)
-        if self.cut == "white_space":
-            alone = [c for c in fresh if MARK in c or len(c.split()) != 1]
-            forms = alone
-        else:
-            alone = [c for c in fresh if MARK in c or c == "" or c[0] == " "]
-            forms = [c[1:] if c[:1] == " " else " " + c for c in alone]
-        self.seen.update(zip(alone, self._whole(forms), strict=True))
-        held = set(alone)
-        together = [c for c in fresh if c not in held] if held else fresh
-        space = "" if self.cut == "white_space" else " "
-        for i in range(0, len(together), 20_000):
-            part = together[i : i + 20_000]
-            self.seen.update(zip(part, self._marked([space + c for c in part]), strict=True))
-
-    def _by_cuts(self, lists: list[list[str]]) -> list[bytes]:
-        if len(self.seen) > GENERATION:
-            self.old, self.seen = self.seen, {}
-        wanted = set().union(*lists)
-        missing = wanted.difference(self.seen)  # walks the few, not the memory
-        if missing:
-            again = missing.intersection(self.old)
-            self.seen.update((c, self.old[c]) for c in again)
-            self._learn(list(missing - again))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, cuts)) for cuts in lists]
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [ids for part in self.encode_array(pa.array(texts, pa.string())) for ids in part.to_pylist()]
+
+
+def slices(texts: pa.Array, part_bytes: int) -> list[pa.Array]:
+    """The array in runs of about part_bytes, one text at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(texts):
+        before = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + part_bytes, "right")))
+        out.append(texts.slice(at, end - at))
+        at = end
+    return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, cut: str, special_strings: bool = True) -> Encoder:
     """One per worker process, kept between tasks."""
-    return Encoder(path, cut)
+    return Encoder(path, cut, special_strings)

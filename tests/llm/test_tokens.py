@@ -12,26 +12,37 @@ from quirefold.llm import packing, store
 from quirefold.llm.tokens import Encoder
 
 CUTS = {"byte_bpe_50k.json": "before_space", "word_bpe_49k.json": "white_space"}
-TEXT = st.text(alphabet=st.sampled_from(list("abAB12.,'~ \n\té̈ΣİßÄ\x1c  ")), max_size=40)
+PIECES = list("abAB12.,'~_ \n\té̈ΣİßÄ\x1c\x85\u00a0日") + [" ", " word", " Don't", "\nThat", "x.", "<|endoftext|>", "<|startoftext|>", "  "]
+TEXT = st.lists(st.sampled_from(PIECES), max_size=25).map("".join)
 
 
 @pytest.mark.parametrize("name", CUTS)
-def test_cuts_encode_like_whole_texts(name, vocabularies):
-    coder = Encoder(vocabularies[name], CUTS[name])
+@pytest.mark.parametrize("special", [True, False])
+def test_words_encode_like_whole_texts(name, special, vocabularies):
+    from tokenizers import Tokenizer
+
+    coder, plain = Encoder(vocabularies[name], CUTS[name], special), Tokenizer.from_file(vocabularies[name])
+    plain.encode_special_tokens = not special
 
-    @settings(max_examples=150, deadline=None)
-    @given(st.lists(TEXT, max_size=4))
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(TEXT, max_size=6))
     def check(texts):
-        assert coder.encode(texts) == coder._whole(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
     check()
+    many = [f"word{k % 7}. Und" + "ab" * (k % 90) + " é" for k in range(400)]
+    assert coder.encode([*many, None]) == [*coder._whole(many), b""]
+
+
+def test_special_strings_as_the_library_encodes_them(vocabularies):
+    coder = Encoder(vocabularies["byte_bpe_50k.json"], "before_space")
+    assert np.frombuffer(coder.encode(["hello <|endoftext|> world"])[0], "<u4").tolist() == [31373, 220, 50256, 995]
 
 
 def expected(all_rows, path, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [(i, np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4")) for i, x, *_ in all_rows]
 
 
@@ -122,12 +133,32 @@ def test_store_misses_nothing(spark, docs, vocabularies, tmp_path):
     """A document without any chunk left, and a recipe that is gone."""
     folder = store.write_store(docs.limit(4), vocabularies["word_bpe_49k.json"], path=str(tmp_path / "m"))
     recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    assert store.read_checksums(spark, folder).count() == 4
     one = recipes.select("doc_id", F.explode("chunk_ids").alias("chunk_id")).where("doc_id = 1").select("chunk_id")
-    for name, r, c in (("chunk", recipes, chunks.join(one, "chunk_id", "left_anti")), ("part", recipes.where("doc_id <> 1"), chunks)):
+    fewer = manifest.withColumn("documents", F.col("documents") + 1)
+    shorter = recipes.withColumn("chunk_lengths", F.transform("chunk_lengths", lambda n: n - 1))
+    altered = recipes.withColumn("doc_root", F.sha2("doc_root", 256).cast("binary"))
+    cases = [
+        ("chunk", "a chunk is missing", recipes, chunks.join(one, "chunk_id", "left_anti"), manifest),
+        ("recipe", "a part does not match", recipes.where("doc_id <> 1"), chunks, manifest),
+        ("altered", "a part does not match", altered, chunks, manifest),
+        ("lengths", "a recipe does not match", shorter, chunks, manifest),
+        ("manifest", "the manifest does not match", recipes, chunks, fewer),
+        ("part", "the manifest does not match", recipes, chunks, manifest.limit(0)),
+    ]
+    for name, says, r, c, m in cases:
         bad = str(tmp_path / name)
-        r.write.parquet(f"{bad}/recipes")
-        c.write.parquet(f"{bad}/chunks")
-        spark.read.parquet(f"{folder}/manifest").write.parquet(f"{bad}/manifest")
+        for table, rows in (("recipes", r), ("chunks", c), ("manifest", m), ("root", spark.read.parquet(f"{folder}/root"))):
+            rows.write.parquet(f"{bad}/{table}")
         for read in (store.read_documents, store.read_checksums):
-            with pytest.raises(Exception, match=f"a {name} "):
+            with pytest.raises(Exception, match=says):
                 read(spark, bad).collect()
+
+
+def test_cuts_of_many_streams_are_those_of_each():
+    rng = np.random.default_rng(4)
+    streams = [rng.integers(0, 300, n).astype("<u4").tobytes() for n in (1, 15, 16, 40, 3000, 17, 0, 900)]
+    gear = store._gear()
+    for shortest in (8, 16, 20):
+        assert store.cuts_of(streams, gear, shortest, 7, 100) == [store.cut_points(np.frombuffer(s, "<u4"), gear, shortest, 7, 100) for s in streams]
