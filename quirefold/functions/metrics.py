@@ -36,15 +36,25 @@ def coded(words: Column, vocabulary: Column) -> Column:
     return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Edit distance, without the table for equal texts."""
+    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))
+
+
+def word_distance(r: Column, h: Column, vocabulary: Column) -> Column:
+    """Edit distance over words; equal lists are not coded."""
+    return F.when(r == h, F.lit(0)).otherwise(F.levenshtein(coded(r, vocabulary), coded(h, vocabulary)))
+
+
 def cer(ref: Column, hyp: Column) -> Column:
     r, h = X.strip(ref), X.strip(hyp)
-    return error_rate(F.levenshtein(r, h), F.length(r), F.length(h))
+    return error_rate(distance(r, h), F.length(r), F.length(h))
 
 
 def wer(ref: Column, hyp: Column) -> Column:
     r, h = X.tokens(ref), X.tokens(hyp)
     both = F.array_distinct(F.concat(r, h))
-    return error_rate(F.levenshtein(coded(r, both), coded(h, both)), F.size(r), F.size(h))
+    return error_rate(word_distance(r, h, both), F.size(r), F.size(h))
 
 
 def line_accuracy(ref: Column, hyp: Column) -> Column:
@@ -60,8 +70,17 @@ def reverse_line_accuracy(ref: Column, hyp: Column) -> Column:
 
 def line_hits(ref: Column, hyp: Column) -> Column:
     """Size of the multiset intersection of two arrays of lines."""
-    count = lambda arr, line: F.size(F.filter(arr, lambda x: x == line))
-    return F.aggregate(F.array_distinct(ref), F.lit(0), lambda a, line: a + F.least(count(ref, line), count(hyp, line)))
+    sided = lambda arr, side: F.transform(arr, lambda x: F.struct(x.alias("line"), F.lit(side).alias("side")))
+    state = "struct<line:string,open:int,hits:int>"
+
+    def step(a: Column, x: Column) -> Column:
+        open_ = F.when(a["line"] == x["line"], a["open"]).otherwise(0)
+        hit = (x["side"] == 1) & (open_ > 0)
+        return F.struct(x["line"].alias("line"), (open_ + F.when(x["side"] == 0, 1).when(hit, -1).otherwise(0)).alias("open"), (a["hits"] + hit.cast("int")).alias("hits")).cast(state)
+
+    # In order, the lines of ref stand before equal ones of hyp, each of which uses one up.
+    begin = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("open"), F.lit(0).alias("hits")).cast(state)
+    return F.aggregate(F.array_sort(F.concat(sided(ref, 0), sided(hyp, 1))), begin, step, lambda a: a["hits"])
 
 
 def prf(hits: Column, n_ref: Column, n_hyp: Column) -> tuple[Column, Column, Column]:
@@ -92,12 +111,12 @@ def with_metrics(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     df = df.withColumns({"_voc": F.array_distinct(F.concat("_rw", "_hw")), "_rn": F.array_join("_rw", " "), "_hn": F.array_join("_hw", " ")})
     df = df.withColumns({"_rln": F.transform("_rl", X.normalize), "_hln": F.transform("_hl", X.normalize)})
     df = df.withColumns({"_hits": line_hits(F.col("_rl"), F.col("_hl")), "_hits_norm": line_hits(F.col("_rln"), F.col("_hln"))})
-    word = F.levenshtein(coded(F.col("_rw"), F.col("_voc")), coded(F.col("_hw"), F.col("_voc")))
+    word = word_distance(F.col("_rw"), F.col("_hw"), F.col("_voc"))
     df = df.withColumns(
         {
             "wer": error_rate(word, F.size("_rw"), F.size("_hw")),
-            "cer": error_rate(F.levenshtein("_r", "_h"), F.length("_r"), F.length("_h")),
-            "cer_norm": error_rate(F.levenshtein("_rn", "_hn"), F.length("_rn"), F.length("_hn")),
+            "cer": error_rate(distance(F.col("_r"), F.col("_h")), F.length("_r"), F.length("_h")),
+            "cer_norm": error_rate(distance(F.col("_rn"), F.col("_hn")), F.length("_rn"), F.length("_hn")),
             "line_acc": line_accuracy(F.col("_rl"), F.col("_hl")),
             "line_acc_norm": line_accuracy(F.col("_rln"), F.col("_hln")),
             "rev_line_acc": reverse_line_accuracy(F.col("_rl"), F.col("_hl")),

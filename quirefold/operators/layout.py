@@ -18,21 +18,36 @@ def split_pages(text: Column, pages: Column) -> Column:
     One page or blank text keeps the stripped text as it is. A chunk closes when the next word would pass the
     target and pages are left; the rest is then shared anew (the space at the cut is not taken off).
     """
-    words = X.tokens(text)
-    state = "struct<done:array<string>,cur:array<string>,len:bigint,rest:double,left:int>"
-    total = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)) + F.size(words) - 1
-    begin = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).cast("bigint").alias("len"), total.cast("double").alias("rest"), pages.cast("int").alias("left")).cast(state)
-
-    def step(a: Column, w: Column) -> Column:
-        more = F.length(w) + F.when(F.size(a["cur"]) > 0, 1).otherwise(0)
-        close = (F.size(a["cur"]) > 0) & (a["len"] + more > a["rest"] / a["left"]) & (a["left"] > 1)
-        closed = F.struct(F.concat(a["done"], F.array(F.array_join(a["cur"], " "))).alias("done"), F.array(w).alias("cur"), F.length(w).cast("bigint").alias("len"), (a["rest"] - a["len"]).alias("rest"), (a["left"] - 1).alias("left")).cast(state)
-        grown = F.struct(a["done"].alias("done"), F.concat(a["cur"], F.array(w)).alias("cur"), (a["len"] + more).cast("bigint").alias("len"), a["rest"].alias("rest"), a["left"].alias("left")).cast(state)
-        return F.when(close, closed).otherwise(grown)
-
-    chunks = F.aggregate(words, begin, step, lambda a: F.concat(a["done"], F.array(F.array_join(a["cur"], " "))))
-    padded = F.concat(chunks, F.array_repeat(F.lit(""), F.greatest(pages - F.size(chunks), F.lit(0)).cast("int")))
-    return F.when((pages <= 1) | (F.size(words) == 0), F.array(X.strip(text))).otherwise(padded)
+    state = "struct<at:int,begin:int,cuts:array<int>,len:bigint,rest:double,left:int>"
+
+    def step(a: Column, n: Column) -> Column:
+        inside = a["at"] > a["begin"]
+        more = n + F.when(inside, 1).otherwise(0)
+        close = inside & (a["len"] + more > a["rest"] / a["left"]) & (a["left"] > 1)
+        pick = lambda yes, no: F.when(close, yes).otherwise(no)
+        return F.struct(
+            (a["at"] + 1).alias("at"),
+            pick(a["at"], a["begin"]).alias("begin"),
+            pick(F.concat(a["cuts"], F.array(a["at"])), a["cuts"]).alias("cuts"),
+            pick(n, a["len"] + more).cast("bigint").alias("len"),
+            pick(a["rest"] - a["len"], a["rest"]).alias("rest"),
+            pick(a["left"] - 1, a["left"]).alias("left"),
+        ).cast(state)
+
+    def cut(words: Column) -> Column:
+        """The fold carries numbers and the places of the few cuts; words are joined once, at the end."""
+        sizes = F.transform(words, F.length)
+        total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, n: a + n) + F.size(words) - 1
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<int>").alias("cuts"), F.lit(0).cast("bigint").alias("len"), total.cast("double").alias("rest"), pages.cast("int").alias("left")).cast(state)
+        places = F.aggregate(sizes, begin, step, lambda a: F.arrays_zip(F.concat(F.array(F.lit(0)), a["cuts"]).alias("a"), F.concat(a["cuts"], F.array(a["at"])).alias("b")))
+        chunks = F.transform(places, lambda p: F.array_join(F.slice(words, p["a"] + 1, p["b"] - p["a"]), " "))
+        return F.concat(chunks, F.array_repeat(F.lit(""), F.greatest(pages - F.size(places), F.lit(0)).cast("int")))
+
+    def split(words: Column) -> Column:
+        return F.when((pages <= 1) | (F.size(words) == 0), F.array(X.strip(text))).otherwise(cut(words))
+
+    # An array of one binds the words to a name, so that they are made once.
+    return F.element_at(F.transform(F.array(X.tokens(text)), split), 1)
 
 
 def explode_made(df: DataFrame, keys: list[str], array: Column, at: str, item: str) -> DataFrame:
