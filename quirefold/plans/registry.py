@@ -75,13 +75,68 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-    pairs = turn_pairs(spark, sf_dir)
-    return pairs.select("id", F.round(M.cer(fold(F.col("gt")), fold(F.col("prediction"))), 6).alias("cer"))
+    return turn_pairs(spark, sf_dir).select("id", F.round(M.cer(F.col("gt"), F.col("prediction")), 6).alias("cer"))
 
 
 def wer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turn_pairs(spark, sf_dir).select("id", M.wer(F.col("gt"), F.col("prediction")).alias("wer"))
+    return turn_pairs(spark, sf_dir).select("id", F.round(M.wer(F.col("gt"), F.col("prediction")), 6).alias("wer"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in df.dtypes])
+
+
+#: Pairs of turns with their line arrays, word arrays and texts. DuckDB's levenshtein counts bytes, so the letters beyond ASCII of the
+#: table (up to 26) become control signs, one for each; word distances are the rows of the table of edit distances, one row a step.
+TURNS_SQL = r"""
+WITH RECURSIVE letters AS (
+  SELECT coalesce(string_agg(ch, '' ORDER BY ch), '') AS alpha FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM conversations) WHERE ord(ch) > 127
+), pairs AS (
+  SELECT c.conv_id || '-' || c.turn AS id, c.role, c.text AS gt, n.text AS prediction, trim(c.text, ' ' || chr(10)) AS r, trim(n.text, ' ' || chr(10)) AS h
+  FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
+), p AS (
+  SELECT *, list_filter(regexp_split_to_array(r, '\s+'), lambda x: x <> '') AS rw, list_filter(regexp_split_to_array(h, '\s+'), lambda x: x <> '') AS hw,
+    CASE WHEN r = '' THEN [] ELSE list_transform(string_split(r, chr(10)), lambda x: trim(x)) END AS rl,
+    CASE WHEN h = '' THEN [] ELSE list_transform(string_split(h, chr(10)), lambda x: trim(x)) END AS hl
+  FROM pairs
+), steps AS (
+  SELECT id, rw, hw, 0 AS i, range(0, len(hw) + 1) AS d FROM p
+  UNION ALL
+  SELECT id, rw, hw, i, list_transform(range(0, len(hw) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: t[k + 1] - k))) FROM (
+    SELECT id, rw, hw, i + 1 AS i, list_transform(range(0, len(hw) + 1), lambda k: CASE WHEN k = 0 THEN d[1] + 1 ELSE least(d[k + 1] + 1, d[k] + CASE WHEN hw[k] = rw[i + 1] THEN 0 ELSE 1 END) END) AS t
+    FROM steps WHERE i < len(rw)
+  )
+), words AS (SELECT id, d[len(hw) + 1] AS distance FROM steps WHERE i = len(rw)),
+single AS (
+  SELECT p.*, translate(r, alpha, signs) AS rs, translate(h, alpha, signs) AS hs,
+    translate(array_to_string(rw, ' '), alpha, signs) AS rn, translate(array_to_string(hw, ' '), alpha, signs) AS hn
+  FROM p, letters, (SELECT string_agg(chr(CAST(k AS INTEGER)), '' ORDER BY k) AS signs FROM range(1, 32) t(k) WHERE k < 9 OR k > 13)
+)
+"""
+
+
+def _rate_sql(distance: str, r: str, h: str, size: str = "length") -> str:
+    return f"CASE WHEN {size}({r}) = 0 THEN (CASE WHEN {size}({h}) = 0 THEN 0.0 ELSE 1.0 END) ELSE {distance} / {size}({r}) END"
+
+
+def _metrics_sql(legacy: bool = False, extra: str = "", digits: int | None = 6) -> str:
+    """SELECT of evaluation rows after TURNS_SQL."""
+    bare = "list_transform({c}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
+    shown = (lambda e: f"round({e}, {digits})") if digits else (lambda e: e)
+    wer = _rate_sql("w.distance", "rw", "hw", "len")
+    columns = {"wer": wer, "cer": _rate_sql("levenshtein(rs, hs)", "rs", "hs"), "wer_norm": wer, "cer_norm": _rate_sql("levenshtein(rn, hn)", "rn", "hn")}
+    for name, r, h in (("line_acc", "{}", "{}"), ("rev_line_acc", "list_reverse({})", "list_reverse({})")):
+        columns[name] = _accuracy_sql(r.format("rl"), h.format("hl"))
+        columns[f"{name}_norm"] = _accuracy_sql(r.format("rln"), h.format("hln"))
+    if not legacy:
+        for suffix, r, h in (("", "rl", "hl"), ("_norm", "rln", "hln")):
+            hits = f"coalesce(list_sum(list_transform(list_distinct({r}), lambda x: least(len(list_filter({r}, lambda y: y = x)), len(list_filter({h}, lambda y: y = x))))), 0)"
+            columns[f"exact_line_precision{suffix}"] = f"CASE WHEN len({h}) > 0 THEN {hits} / len({h}) ELSE 0.0 END"
+            columns[f"exact_line_recall{suffix}"] = f"CASE WHEN len({r}) > 0 THEN {hits} / len({r}) ELSE 0.0 END"
+            columns[f"exact_line_f1{suffix}"] = f"CASE WHEN {hits} > 0 THEN 2.0 * {hits} / (len({r}) + len({h})) ELSE 0.0 END"
+    gt, prediction = ("r", "h") if legacy else ("gt", "prediction")
+    sized = f"s.id, CAST(length({gt}) AS INTEGER) AS len_gt, CAST(length({prediction}) AS INTEGER) AS len_pred"
+    return f"SELECT {extra}{sized}, " + ", ".join(f"{shown(e)} AS {c}" for c, e in columns.items()) + f" FROM (SELECT *, {bare.format(c='rl')} AS rln, {bare.format(c='hl')} AS hln FROM single) s JOIN words w ON w.id = s.id"
 
 
 def _line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,16 +171,16 @@ def exact_line_prf_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evaluation_rows(turn_pairs(spark, sf_dir))
+    return _rounded(evaluate.evaluation_rows(turn_pairs(spark, sf_dir)))
 
 
 def eval_rows_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.evaluation_rows(turn_pairs(spark, sf_dir), legacy=True)
+    return _rounded(evaluate.evaluation_rows(turn_pairs(spark, sf_dir), legacy=True))
 
 
 def eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluate.evaluation_rows(turn_pairs(spark, sf_dir), extra=("role",))
-    return evaluate.macro_average(rows, by=("role",))
+    return _rounded(evaluate.macro_average(rows, by=("role",)))
 
 
 def micro_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +244,27 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.explode_made(docs, ["doc_id"], layout.split_pages(F.col("text"), F.col("pages")), "page", "chunk")
 
 
+#: From each cut the next one is the first word that would pass the target, found by the places where words end.
+PAGE_SPLIT_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, trim(text, ' ' || chr(10)) AS text, CAST(1 + floor(n_chars / 2000) AS INTEGER) AS pages, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents
+), many AS (SELECT * FROM d WHERE pages > 1 AND len(w) > 0),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM many),
+c AS (SELECT *, ends - length(word) AS begins, lag(ends) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM (SELECT *, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i) + i AS ends FROM x)),
+s AS (
+  SELECT doc_id, 0 AS page, CAST(0 AS BIGINT) AS b, CAST(0 AS HUGEINT) AS begins, CAST(max(ends) AS DOUBLE) AS rest, any_value(pages) AS left_ FROM c JOIN many USING (doc_id) GROUP BY doc_id
+  UNION ALL
+  SELECT s.doc_id, any_value(s.page) + 1, min(c.i), min(c.begins), any_value(s.rest) - CAST(min(c.before) - any_value(s.begins) AS DOUBLE), any_value(s.left_) - 1
+  FROM s JOIN c ON c.doc_id = s.doc_id AND c.i > s.b AND c.ends - s.begins > s.rest / s.left_ WHERE s.left_ > 1 GROUP BY s.doc_id
+), spans AS (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY page) AS e FROM s),
+full_ AS (SELECT spans.doc_id, page, string_agg(word, ' ' ORDER BY i) AS chunk FROM spans JOIN x ON x.doc_id = spans.doc_id AND i >= b AND (e IS NULL OR i < e) GROUP BY ALL),
+places AS (SELECT doc_id, CAST(unnest(range(pages)) AS INTEGER) AS page FROM many)
+SELECT places.doc_id, places.page, coalesce(chunk, '') AS chunk FROM places LEFT JOIN full_ ON full_.doc_id = places.doc_id AND full_.page = places.page
+UNION ALL SELECT doc_id, 0, text FROM d WHERE pages <= 1 OR len(w) = 0
+"""
+
+
 def page_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents taken apart to lines, ten to a page, and put together again."""
     docs = table(spark, sf_dir, "documents")
@@ -216,6 +292,34 @@ def line_merge_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.explode_made(merged, ["page"], F.col("lines"), "line_index", "b").select("page", "line_index", "b.*")
 
 
+def _merge_sql(kept: str, joins: str, tail: str) -> str:
+    """Boxes taken one after the other, each into the running line or to a new one. kept: (page, k, x1, y1, x2, y2, ...) with k from 1."""
+    gap = "CASE WHEN s.y2 <= n.y1 THEN n.y1 - s.y2 WHEN n.y2 <= s.y1 THEN s.y1 - n.y2 ELSE -1 END"
+    overlap = "CASE WHEN least(s.y2, n.y2) <= greatest(s.y1, n.y1) OR least(s.y2 - s.y1, n.y2 - n.y1) <= 0 THEN 0.0 ELSE (least(s.y2, n.y2) - greatest(s.y1, n.y1)) / least(s.y2 - s.y1, n.y2 - n.y1) END"
+    same = joins.format(overlap=overlap, gap=gap)
+    return f"""
+    WITH RECURSIVE b AS ({BOX_SQL}), {kept},
+    s AS (
+      SELECT page, k, 1 AS line, x1, y1, x2, y2 FROM kept WHERE k = 1
+      UNION ALL
+      SELECT page, k, CASE WHEN same THEN line ELSE line + 1 END, CASE WHEN same THEN least(sx1, x1) ELSE x1 END, CASE WHEN same THEN least(sy1, y1) ELSE y1 END, CASE WHEN same THEN greatest(sx2, x2) ELSE x2 END, CASE WHEN same THEN greatest(sy2, y2) ELSE y2 END
+      FROM (SELECT n.page, n.k, s.line, n.x1, n.y1, n.x2, n.y2, s.x1 AS sx1, s.y1 AS sy1, s.x2 AS sx2, s.y2 AS sy2, {same} AS same FROM s JOIN kept n ON n.page = s.page AND n.k = s.k + 1)
+    ), m AS (SELECT page, line, arg_max(x1, k) AS x1, arg_max(y1, k) AS y1, arg_max(x2, k) AS x2, arg_max(y2, k) AS y2 FROM s GROUP BY page, line)
+    {tail}"""
+
+
+ADAPTIVE_KEPT = """
+r AS (SELECT page, CAST(CASE WHEN count(*) >= 4 THEN list_sort(list(y2 - y1))[count(*) * 3 // 4 + 1] ELSE list_sort(list(y2 - y1))[count(*) // 2 + 1] END AS INTEGER) AS ref FROM b GROUP BY page),
+kept AS (SELECT b.*, ref, CAST(row_number() OVER (PARTITION BY b.page ORDER BY y1, x1, pos, x2, y2) AS INTEGER) AS k FROM b JOIN r ON r.page = b.page WHERE y2 - y1 > CAST(floor(ref * 0.2) AS INTEGER)),
+g AS (SELECT page, CASE WHEN y2 <= ny1 THEN ny1 - y2 WHEN ny2 <= y1 THEN y1 - ny2 ELSE -1 END AS gap FROM (SELECT page, y1, y2, lead(y1) OVER w AS ny1, lead(y2) OVER w AS ny2 FROM kept WINDOW w AS (PARTITION BY page ORDER BY k)) WHERE ny1 IS NOT NULL),
+most AS (SELECT r.page, ref, least(CAST(floor(ref * 0.5) AS INTEGER), coalesce(CAST(floor(list_sort(list(gap) FILTER (WHERE gap >= 0))[count(gap) FILTER (WHERE gap >= 0) // 2 + 1] * 0.3) AS INTEGER), 2147483647)) AS most FROM r LEFT JOIN g ON g.page = r.page GROUP BY r.page, ref)"""
+ADAPTIVE_TAIL = """, tall AS (SELECT m.*, ref FROM m JOIN r ON r.page = m.page WHERE y2 - y1 >= CAST(floor(ref * 0.3) AS INTEGER)),
+highest AS (SELECT page, line, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y2 - y1 DESC, line) AS n FROM m) WHERE n = 1 AND page NOT IN (SELECT page FROM tall)),
+bare AS (SELECT page, 1 AS line, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y2 - y1 DESC, y1, x1, pos) AS n FROM b WHERE page NOT IN (SELECT page FROM kept)) WHERE n = 1),
+found AS (SELECT page, line, x1, y1, x2, y2 FROM tall UNION ALL SELECT * FROM highest UNION ALL SELECT * FROM bare)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y1, x1, x2, y2) - 1 AS INTEGER) AS line_index, x1, y1, x2, y2 FROM found"""
+
+
 def line_merge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _page_boxes(spark, sf_dir).withColumn("lines", layout.merge_same_line(F.col("boxes"), F.lit(600)))
     return layout.explode_made(pages, ["page"], F.col("lines"), "line_index", "b").select("page", "line_index", "b.*")
@@ -352,13 +456,18 @@ def oracle_sql() -> dict[str, str]:
     normed = f"SELECT doc_id, lang, {norm.format(c='r')} AS r, {norm.format(c='h')} AS h FROM ({ARRAYS})"
     acc = f"SELECT doc_id, round({_accuracy_sql('r', 'h')}, 6) AS line_acc, round({_accuracy_sql('rn', 'hn')}, 6) AS line_acc_norm FROM (SELECT *, {norm.format(c='r')} AS rn, {norm.format(c='h')} AS hn FROM ({ARRAYS}))"
     rev = f"SELECT doc_id, round({_accuracy_sql('r', 'h')}, 6) AS rev_line_acc, round({_accuracy_sql('rn', 'hn')}, 6) AS rev_line_acc_norm FROM (SELECT doc_id, list_reverse(r) AS r, list_reverse(h) AS h, list_reverse({norm.format(c='r')}) AS rn, list_reverse({norm.format(c='h')}) AS hn FROM ({ARRAYS}))"
-    fold = "trim(regexp_replace({c}, '[^\\x00-\\x7F]', '?', 'g'), ' ' || chr(10))"
-    ref, hyp = fold.format(c="c.text"), fold.format(c="n.text")
     named = "CASE WHEN regexp_matches(stem, '^.+?_eval_.+$') THEN regexp_extract(stem, '^(.+?)_eval_(.+)$', {a}) WHEN regexp_matches(stem, '^evaluation_m[123]_.+$') THEN regexp_extract(stem, '^evaluation_(m[123])_(.+)$', {b}) WHEN starts_with(stem, 'evaluation_') THEN {c} ELSE {d} END"
     found = {
         "tokens_norm": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_words, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm_md5 FROM documents",
         "split_lines": f"SELECT doc_id, CAST(len(r) AS INTEGER) AS n_lines, md5(array_to_string(r, '|')) AS lines_md5 FROM ({ARRAYS})",
-        "cer_turns": f"SELECT c.conv_id || '-' || c.turn AS id, round(CASE WHEN length({ref}) = 0 THEN (CASE WHEN length({hyp}) = 0 THEN 0.0 ELSE 1.0 END) ELSE levenshtein({ref}, {hyp}) / length({ref}) END, 6) AS cer FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1",
+        "cer_turns": TURNS_SQL + f"SELECT id, round({_rate_sql('levenshtein(rs, hs)', 'rs', 'hs')}, 6) AS cer FROM single",
+        "wer_turns": TURNS_SQL + f"SELECT p.id, round({_rate_sql('w.distance', 'rw', 'hw', 'len')}, 6) AS wer FROM p JOIN words w ON w.id = p.id",
+        "eval_rows": TURNS_SQL + _metrics_sql(),
+        "eval_rows_legacy": TURNS_SQL + _metrics_sql(legacy=True),
+        "eval_macro": TURNS_SQL + f", e AS ({_metrics_sql(extra='role, ', digits=None)}) SELECT role, 'macro_avg' AS id, CAST(NULL AS INTEGER) AS len_gt, CAST(NULL AS INTEGER) AS len_pred, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in M.METRICS) + ", count(*) AS n_docs FROM e GROUP BY role",
+        "page_split": PAGE_SPLIT_SQL,
+        "line_merge_adaptive": _merge_sql(ADAPTIVE_KEPT, "({overlap} >= 0.4 OR {gap} BETWEEN 0 AND (SELECT most FROM most WHERE most.page = n.page))", ADAPTIVE_TAIL),
+        "line_merge_overlap": _merge_sql("kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY y1, x1, pos, x2, y2) AS INTEGER) AS k FROM b WHERE y2 - y1 >= 12)", "({overlap} >= 0.3)", "SELECT page, CAST(line - 1 AS INTEGER) AS line_index, x1, y1, x2, y2 FROM m"),
         "line_acc": acc,
         "rev_line_acc": rev,
         "exact_line_prf": _prf_sql(ARRAYS) + f"SELECT doc_id, {_SCORES} FROM d",
