@@ -57,13 +57,15 @@ def assistant_reply(raw: Column) -> Column:
     return F.when(after.startswith("assistant"), F.regexp_replace(after, rf"^assistant{WS}*", "")).otherwise(after)
 
 
+#: Signs of a daily quota in a message: fixed values.
+DAILY_SIGNS = ("requests_per_day", "per_day", "daily", "GenerateRequestsPerDayPerProjectPerModel")
+
+
 def quota_exhausted(message: Column) -> Column:
     """Does an error message speak of a daily quota?"""
-    # Signs of a daily quota.
-    signs = ("requests_per_day", "per_day", "daily", "GenerateRequestsPerDayPerProjectPerModel")
     low = F.lower(F.coalesce(message, F.lit("")))
     found = F.lit(False)
-    for s in signs:
+    for s in DAILY_SIGNS:
         found = found | F.contains(low, F.lit(s.lower()))
     return found
 

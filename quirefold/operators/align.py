@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from quirefold.functions import prompts
 from quirefold.functions import text as X
 from quirefold.operators import layout
 from quirefold.operators.fewshot import prompt_images
-from quirefold.operators.plugins import ModelSettings, generate
+from quirefold.operators.plugins import Backend, ModelSettings, generate
 
 
 def prompts_for(method: str, df: DataFrame, examples: bool = False) -> DataFrame:
@@ -26,23 +28,24 @@ def prompts_for(method: str, df: DataFrame, examples: bool = False) -> DataFrame
     return rows.withColumn("images", prompt_images("examples", "image") if examples else F.array("image"))
 
 
-def align(method: str, df: DataFrame, settings: ModelSettings, backend: str | None = None, examples: bool = False) -> DataFrame:
+def align(method: str, df: DataFrame, settings: ModelSettings, backend: str | None = None, examples: bool = False, factory: Callable[[ModelSettings], Backend] | None = None) -> DataFrame:
     """(id, prediction, error) by a model. m3 leaves a blank transcription blank without a call; pages join by one LF.
 
     A document fails as a whole if one of its calls does.
     """
     if method == "m3":
         blank = X.strip(F.col("transcription")) == ""
-        asked = generate(prompts_for("m3", df.where(~blank), examples), settings, backend=backend)
+        asked = generate(prompts_for("m3", df.where(~blank), examples), settings, backend=backend, factory=factory)
         done = asked.select("id", F.col("value").alias("prediction"), "error")
         return done.unionByName(df.where(blank).select("id", F.lit("").alias("prediction"), F.lit(None).cast("string").alias("error")))
-    calls = generate(prompts_for(method, df, examples).select("id", "page", "prompt", "images"), settings, images="images", backend=backend)
+    asked = prompts_for(method, df, examples).select("id", "page", "prompt", "images")
+    calls = generate(asked, settings, images="images", backend=backend, factory=factory)
     pages = F.sort_array(F.collect_list(F.struct("page", "value", "error")))
     docs = calls.groupBy("id").agg(pages.alias("p")).select("id", "p", F.array_join(F.filter(F.transform("p", lambda x: x["error"]), lambda e: e.isNotNull()), "; ").alias("e"))
     error = F.when(F.col("e") != "", F.col("e"))
     text = X.join_outputs(F.transform("p", lambda x: x["value"]))
     found = docs.select("id", F.when(error.isNull(), text).alias("prediction"), error.alias("error"))
-    rest = df.select("id").join(found.select("id"), "id", "left_anti")  # documents without any page text
+    rest = df.select("id").join(asked.select("id"), "id", "left_anti")  # documents without any page text; no model is called for this
     return found.unionByName(rest.select("id", F.lit("").alias("prediction"), F.lit(None).cast("string").alias("error")))
 
 

@@ -1,7 +1,8 @@
 """Model calls as Arrow-batched functions: backends, segmenters, recognizers behind registries.
 
 A plugin is made once per task from its settings and then called per batch. Failures are kept per record
-as {value, error}; a spent daily quota stops the run after finished rows are committed (see streaming.incremental).
+as {value, error}. A spent daily quota is such a failure too: the rest of the task's rows get it without a call, finished rows
+stay, and raise_if_spent() stops the run on the driver once they are committed (see streaming.incremental).
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import DAILY_SIGNS
+
 
 class QuotaExhausted(RuntimeError):
     """A daily quota is spent; running on later makes sense, retrying now does not."""
 
     #: Exit code that asks a scheduler to submit again: fixed value.
     EXIT_CODE = 75
+    #: How the error of a row begins that was stopped by a quota.
+    SIGN = "QuotaExhausted: "
 
 
 class Transient(RuntimeError):
@@ -77,6 +82,18 @@ def make(table: dict, name: str, *args, **kwargs):
     return table[name](*args, **kwargs)
 
 
+def fit_within(image, longest: int = 1280):
+    """A Pillow image with no side over `longest`, its proportions kept."""
+    side = max(image.size)
+    return image if side <= longest else image.resize(tuple(int(x * longest / side) for x in image.size))
+
+
+def open_image(path: str, longest: int = 1280):
+    from PIL import Image
+
+    return fit_within(Image.open(path).convert("RGB"), longest)
+
+
 def _image_url(path: str) -> str:
     import base64
 
@@ -135,17 +152,25 @@ class GeminiBackend:
 
 @register(BACKENDS, "hf")
 class LocalBackend:
+    """A local model: in 4 bits on a GPU unless options["load_in_4bit"] is False; images at most options["max_side"] wide or high."""
+
     def __init__(self, settings: ModelSettings):
         import torch
         from transformers import AutoModelForImageTextToText, AutoProcessor
 
         self.torch, self.s = torch, settings
         self.processor = AutoProcessor.from_pretrained(settings.name)
-        self.model = AutoModelForImageTextToText.from_pretrained(settings.name, device_map=settings.device or "auto")
+        more = {}
+        if settings.options.get("load_in_4bit", torch.cuda.is_available()):
+            from transformers import BitsAndBytesConfig
+
+            more["quantization_config"] = BitsAndBytesConfig(load_in_4bit=True, bnb_4bit_compute_dtype=torch.float16, bnb_4bit_quant_type="nf4", bnb_4bit_use_double_quant=True)
+        self.model = AutoModelForImageTextToText.from_pretrained(settings.name, device_map=settings.device or "auto", **more)
 
     def generate(self, prompt: str, images: list[str] | None = None) -> str:
-        content = [*({"type": "image", "path": i} for i in images or []), {"type": "text", "text": prompt}]
-        inputs = self.processor.apply_chat_template([{"role": "user", "content": content}], tokenize=True, add_generation_prompt=True, return_dict=True, return_tensors="pt").to(self.model.device)
+        shown = [{"type": "image", "image": open_image(i, self.s.options.get("max_side", 1280))} for i in images or []]
+        chat = [{"role": "user", "content": [*shown, {"type": "text", "text": prompt}]}]
+        inputs = self.processor.apply_chat_template(chat, tokenize=True, add_generation_prompt=True, return_dict=True, return_tensors="pt").to(self.model.device)
         with self.torch.inference_mode():
             out = self.model.generate(**inputs, max_new_tokens=self.s.max_new_tokens, do_sample=False, repetition_penalty=1.05)
         return self.processor.batch_decode(out[:, inputs["input_ids"].shape[1] :], skip_special_tokens=True)[0].strip()
@@ -164,29 +189,29 @@ class EchoBackend:
 
 @register(SEGMENTERS, "passthrough")
 class PassthroughSegmenter:
-    """The whole page as one line; existing crops come from sources.corpus.crops_or_page."""
+    """The whole page as one line; existing crops are joined on by recognize_documents()."""
 
     def segment_page(self, image: str) -> list[dict]:
-        return [{"path": image, "x1": None, "y1": None, "x2": None, "y2": None, "line_index": 0, "confidence": None}]
+        return [{"path": image, "x1": None, "y1": None, "x2": None, "y2": None, "height": None, "confidence": None}]
 
 
 @register(SEGMENTERS, "kraken")
 class KrakenSegmenter:
-    """Raw boxes of the kraken detector; operators.layout.merge_lines makes lines of them."""
+    """Raw boxes of the kraken detector; line_boxes() makes lines of them."""
 
     def segment_page(self, image: str) -> list[dict]:
         from kraken import binarization, pageseg
         from PIL import Image
 
         with Image.open(image) as page:
-            found = pageseg.segment(binarization.nlbin(page))
-        boxes = [line.bbox for line in found.lines]
-        return [{"path": image, "x1": b[0], "y1": b[1], "x2": b[2], "y2": b[3], "line_index": i, "confidence": None} for i, b in enumerate(boxes)]
+            height = page.size[1]
+            found = pageseg.segment(binarization.nlbin(page.convert("L")))
+        return [{"path": image, "x1": b[0], "y1": b[1], "x2": b[2], "y2": b[3], "height": height, "confidence": None} for b in (line.bbox for line in found.lines)]
 
 
 @register(SEGMENTERS, "doctr")
 class DoctrSegmenter:
-    """Word boxes of the docTR detector; operators.layout.merge_same_line makes lines of them."""
+    """Word boxes of the docTR detector; line_boxes() makes lines of them."""
 
     def __init__(self):
         from doctr.models import detection_predictor
@@ -200,17 +225,40 @@ class DoctrSegmenter:
         h, w = page.shape[:2]
         found = self.model([page])[0]
         boxes = next(iter(found.values())) if isinstance(found, dict) else found
-        return [{"path": image, "x1": int(b[0] * w), "y1": int(b[1] * h), "x2": int(b[2] * w), "y2": int(b[3] * h), "line_index": i, "confidence": float(b[4])} for i, b in enumerate(boxes)]
+        return [{"path": image, "x1": int(b[0] * w), "y1": int(b[1] * h), "x2": int(b[2] * w), "y2": int(b[3] * h), "height": h, "confidence": float(b[4])} for b in boxes]
+
+
+#: How a segmenter's raw boxes become lines: by operators.layout.merge_lines, merge_same_line, or not at all.
+MERGES = {"kraken": "adaptive", "doctr": "same_line"}
+CUTTERS: dict[str, Callable[..., Callable[[str, list[tuple[tuple[int, int, int, int], str]]], None]]] = {}
+
+
+@register(CUTTERS, "pillow")
+def pillow_cutter():
+    """Cuts boxes out of a page into PNG files, each written beside its place and moved there."""
+    import os
+
+    from PIL import Image
+
+    def cut(image: str, jobs: list[tuple[tuple[int, int, int, int], str]]) -> None:
+        with Image.open(image) as page:
+            for box, path in jobs:
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                page.crop(box).save(f"{path}.part", format="PNG")
+                os.replace(f"{path}.part", path)
+
+    return cut
 
 
-@register(RECOGNIZERS, "trocr_handwritten")
-@register(RECOGNIZERS, "trocr_printed")
 class TrocrRecognizer:
-    def __init__(self, model_id: str = "microsoft/trocr-base-handwritten", batch_size: int = 4, num_beams: int = 1):
+    model_id = "microsoft/trocr-base-handwritten"
+
+    def __init__(self, model_id: str | None = None, batch_size: int = 4, num_beams: int = 1, max_new_tokens: int = 128):
         import torch
         from transformers import TrOCRProcessor, VisionEncoderDecoderModel
 
-        self.torch, self.batch_size, self.num_beams = torch, batch_size, num_beams
+        model_id = model_id or self.model_id
+        self.torch, self.batch_size, self.options = torch, batch_size, {"num_beams": num_beams, "max_new_tokens": max_new_tokens}
         self.processor, self.model = TrOCRProcessor.from_pretrained(model_id), VisionEncoderDecoderModel.from_pretrained(model_id)
 
     def recognize_lines(self, paths: list[str]) -> list[str]:
@@ -220,10 +268,42 @@ class TrocrRecognizer:
         for part in chunks(paths, self.batch_size):
             pixels = self.processor(images=[Image.open(p).convert("RGB") for p in part], return_tensors="pt").pixel_values
             with self.torch.inference_mode():
-                out += self.processor.batch_decode(self.model.generate(pixels, num_beams=self.num_beams), skip_special_tokens=True)
+                out += self.processor.batch_decode(self.model.generate(pixels, **self.options), skip_special_tokens=True)
         return out
 
 
+@register(RECOGNIZERS, "trocr_handwritten")
+class HandwrittenTrocr(TrocrRecognizer):
+    pass
+
+
+@register(RECOGNIZERS, "trocr_printed")
+class PrintedTrocr(TrocrRecognizer):
+    model_id = "microsoft/trocr-base-printed"
+
+
+#: Prompt of the transcriber of whole pages: fixed value.
+PAGE_PROMPT = "Transcribe this handwritten page to plain text. Output ONLY the transcription. Preserve line breaks. No extra words."
+
+
+def transcribe_pages(df: DataFrame, settings: ModelSettings, backend: str | None = None, factory: Callable[[ModelSettings], Backend] | None = None) -> DataFrame:
+    """Documents (id, images) to (id, prediction, error): each page image by one call, page texts in order, joined by LF and stripped.
+
+    A document without images has an empty text; it fails as a whole if one of its calls does.
+    """
+    from quirefold.functions import text as X
+
+    pages = df.select("id", F.posexplode("images").alias("page", "image")).select("id", "page", F.lit(PAGE_PROMPT).alias("prompt"), F.array("image").alias("images"))
+    calls = generate(pages, settings, images="images", backend=backend, factory=factory)
+    ordered = F.sort_array(F.collect_list(F.struct("page", "value", "error")))
+    docs = calls.groupBy("id").agg(ordered.alias("p"))
+    errors = F.filter(F.transform("p", lambda x: x["error"]), lambda e: e.isNotNull())
+    text = X.strip(F.array_join(F.transform("p", lambda x: x["value"]), "\n"))
+    found = docs.select("id", F.when(F.size(errors) == 0, text).alias("prediction"), F.when(F.size(errors) > 0, F.array_join(errors, "; ")).alias("error"))
+    rest = df.where(F.coalesce(F.size("images"), F.lit(0)) <= 0)
+    return found.unionByName(rest.select("id", F.lit("").alias("prediction"), F.lit(None).cast("string").alias("error")))
+
+
 @register(RECOGNIZERS, "tesseract")
 class TesseractRecognizer:
     def recognize_lines(self, paths: list[str]) -> list[str]:
@@ -257,8 +337,6 @@ class Throttle:
         self.last = self.clock()
 
 
-#: Signs of a daily quota in a message: fixed values.
-DAILY_SIGNS = ("requests_per_day", "per_day", "daily", "GenerateRequestsPerDayPerProjectPerModel")
 
 
 def with_retries(call: Callable[[], str], retries: int = 10, delay: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> str:
@@ -280,21 +358,27 @@ def with_retries(call: Callable[[], str], retries: int = 10, delay: float = 3.0,
 
 
 def generate(df: DataFrame, settings: ModelSettings, prompt: str = "prompt", images: str | None = None, backend: str | None = None, factory: Callable[[ModelSettings], Backend] | None = None) -> DataFrame:
-    """df with `value` and `error` per row; one backend per task, by name or by a factory. QuotaExhausted ends the job, other failures stay in their row."""
+    """df with `value` and `error` per row; one backend per task, by name or by a factory. Failures stay in their row; after a spent quota no more calls are made."""
     name = backend or settings.provider
     plain = df.withColumns({"value": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory(settings) if factory else make(BACKENDS, name, settings)
+        model, spent = factory(settings) if factory else make(BACKENDS, name, settings), None
         for batch in batches:
             values, errors = [], []
             shown = batch[images] if images else [None] * len(batch)
             for p, i in zip(batch[prompt], shown, strict=True):
+                if spent is not None:
+                    values.append(None)
+                    errors.append(spent)
+                    continue
                 try:
                     values.append(model.generate(p, None if i is None else list(i)))
                     errors.append(None)
-                except QuotaExhausted:
-                    raise
+                except QuotaExhausted as e:
+                    spent = f"{QuotaExhausted.SIGN}{e}"
+                    values.append(None)
+                    errors.append(spent)
                 except Exception as e:
                     values.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
@@ -303,19 +387,65 @@ def generate(df: DataFrame, settings: ModelSettings, prompt: str = "prompt", ima
     return df.mapInPandas(run, plain.schema)
 
 
+def raise_if_spent(done: DataFrame) -> None:
+    """Raises QuotaExhausted if a row of committed results (error) was stopped by a quota. A main program exits with EXIT_CODE then."""
+    stopped = done.where(F.col("error").contains(QuotaExhausted.SIGN)).select("error").head(1)
+    if stopped:
+        raise QuotaExhausted(stopped[0]["error"])
+
+
 def segment(pages: DataFrame, segmenter: str, **settings) -> DataFrame:
-    """Pages (id, page, image) to raw boxes (id, page, image, path, x1, y1, x2, y2, line_index, confidence); a page without any gives no rows."""
-    schema = "id string, page int, image string, path string, x1 int, y1 int, x2 int, y2 int, line_index int, confidence double"
+    """Pages (id, page, image) to raw boxes (id, page, image, path, pos, x1, y1, x2, y2, height, confidence); a page without any gives no rows."""
+    schema = "id string, page int, image string, path string, pos int, x1 int, y1 int, x2 int, y2 int, height int, confidence double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make(SEGMENTERS, segmenter, **settings)
         for batch in batches:
-            rows = [{"id": i, "page": p, "image": m, **crop} for i, p, m in zip(batch["id"], batch["page"], batch["image"], strict=True) for crop in model.segment_page(m)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            rows = [{"id": i, "page": p, "image": m, "pos": k, **crop} for i, p, m in zip(batch["id"], batch["page"], batch["image"], strict=True) for k, crop in enumerate(model.segment_page(m))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({c: "Int32" for c in ("pos", "x1", "y1", "x2", "y2", "height")})
 
     return pages.select("id", "page", "image").mapInPandas(run, schema)
 
 
+def line_boxes(raw: DataFrame, merge: str | None, padding: int = 0, **thresholds) -> DataFrame:
+    """Raw boxes of segment() to numbered line boxes (id, page, image, line_index, x1, y1, x2, y2), by (y1, x1), padded but for the page's left and top."""
+    from quirefold.functions import geometry as G
+    from quirefold.operators import layout
+
+    box = F.struct("y1", "x1", "pos", "x2", "y2")
+    pages = raw.where("x1 is not null").groupBy("id", "page", "image").agg(F.collect_list(box).alias("boxes"), F.max("height").alias("height"))
+    if merge == "adaptive":
+        pages = layout.merge_lines(pages, "boxes", "lines", **thresholds)
+    elif merge == "same_line":
+        pages = pages.withColumn("lines", layout.merge_same_line(F.col("boxes"), F.col("height"), **thresholds))
+    elif merge is None:
+        pages = pages.withColumn("lines", F.transform("boxes", lambda b: G.box(b["x1"], b["y1"], b["x2"], b["y2"])))
+    else:
+        raise ValueError(f"unknown merge {merge!r}")
+    each = layout.explode_made(pages, ["id", "page", "image"], F.col("lines"), "at", "b").select("id", "page", "image", "b.*")
+    numbered = layout.number_lines(each.withColumn("_page", F.struct("id", "page")), "_page")
+    padded = G.pad(F.struct("x1", "y1", "x2", "y2"), padding)
+    return numbered.select("id", "page", "image", "line_index", padded.alias("b")).select("id", "page", "image", "line_index", "b.*")
+
+
+def cut_lines(lines: DataFrame, cache_root: str, cutter: str = "pillow") -> DataFrame:
+    """Line boxes with `path`, each cut to <cache_root>/<id>/<page stem>/<page stem>_lineNNN.png, in a folder that all executors mount."""
+    from quirefold.functions.naming import crop_name, stem
+
+    schema = "id string, page int, image string, line_index int, x1 int, y1 int, x2 int, y2 int, path string"
+    path = F.concat_ws("/", F.lit(cache_root.rstrip("/")), "id", stem(F.col("image")), crop_name(stem(F.col("image")), F.col("line_index")))
+    named = lines.withColumn("path", path).select(*[c.split()[0] for c in schema.split(", ")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = make(CUTTERS, cutter)
+        for batch in batches:
+            for image, rows in batch.groupby("image", sort=False):
+                cut(image, [((int(r.x1), int(r.y1), int(r.x2), int(r.y2)), r.path) for r in rows.itertuples()])
+            yield batch
+
+    return named.mapInPandas(run, schema)
+
+
 def recognize(crops: DataFrame, recognizer: str, **settings) -> DataFrame:
     """Crops (id, page, line_index, path) with `text`; a batch is one call."""
     schema = "id string, page int, line_index int, path string, text string"
@@ -328,12 +458,50 @@ def recognize(crops: DataFrame, recognizer: str, **settings) -> DataFrame:
     return crops.select("id", "page", "line_index", "path").mapInPandas(run, schema)
 
 
-def recognize_documents(pages: DataFrame, segmenter: str, recognizer: str, max_pages: int | None = None) -> DataFrame:
-    """Pages (id, page, image) to documents (id, ocr, num_pages, num_lines): segment, recognise, assemble in order."""
+def recognize_documents(
+    pages: DataFrame,
+    segmenter: str,
+    recognizer: str,
+    max_pages: int | None = None,
+    cache_root: str | None = None,
+    crops: DataFrame | None = None,
+    done: DataFrame | None = None,
+    cutter: str = "pillow",
+    merge: str | None = "",
+    padding: int = 0,
+    settings: dict | None = None,
+) -> DataFrame:
+    """Pages (id, page, image) to documents (id, ocr, num_pages, num_lines): segment, merge to lines, cut, recognise, assemble in order.
+
+    crops: existing crops of sources.corpus.line_crops (page, crops), which the passthrough segmenter takes in place of the page.
+    done: ids that have a result already and are left out. Other segmenters cut their lines into files below cache_root.
+    merge: "adaptive", "same_line", None for raw boxes, "" for what the segmenter needs. settings: of the recognizer.
+    """
     from quirefold.operators.layout import assemble
+    from quirefold.sources.corpus import crops_or_page
+
+    pages = planned_pages(pages, max_pages, done)
+    if segmenter == "passthrough":
+        if crops is not None:
+            found = crops_or_page(pages.withColumnRenamed("page", "number"), crops).select("id", F.col("number").alias("page"), F.posexplode("crops").alias("line_index", "path"))
+        else:
+            found = pages.select("id", "page", F.lit(0).alias("line_index"), F.col("image").alias("path"))
+    else:
+        if cache_root is None:
+            raise ValueError("cache_root must name a folder for the cut lines")
+        found = cut_lines(line_boxes(segment(pages, segmenter), MERGES.get(segmenter) if merge == "" else merge, padding), cache_root, cutter)
+    read = recognize(found, recognizer, **settings or {})
+    lines = pages.select("id", "page").join(read.select("id", "page", "line_index", "text"), ["id", "page"], "left")
+    return assemble(lines)
+
 
+def planned_pages(pages: DataFrame, max_pages: int | None = None, done: DataFrame | None = None) -> DataFrame:
+    """The pages that recognize_documents() would read."""
     if max_pages is not None:
         pages = pages.where(F.col("page") < max_pages)
-    read = recognize(segment(pages, segmenter), recognizer)
-    lines = pages.select("id", "page").join(read.select("id", "page", "line_index", "text"), ["id", "page"], "left")
-    return assemble(lines)
+    return pages if done is None else pages.join(done.select("id").distinct(), "id", "left_anti")
+
+
+def dry_run(pages: DataFrame, max_pages: int | None = None, done: DataFrame | None = None) -> DataFrame:
+    """(id, num_pages) of the documents that would be recognised; nothing is read, called or written."""
+    return planned_pages(pages, max_pages, done).groupBy("id").agg(F.count(F.lit(1)).alias("num_pages"))

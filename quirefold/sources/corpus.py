@@ -78,12 +78,18 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
 
 
+def _below(spark: SparkSession, root: str) -> Column:
+    """The part of `path` below a folder, whatever the folder's name holds."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
+    return F.substring("path", len(whole) + 2, 2**31 - 1)
+
+
 def page_images(spark: SparkSession, root: str) -> DataFrame:
     """(id, images): images in <root>/<id> and <root>/<id>/page, sorted by path parts."""
     at = F.regexp_extract("path", r"/([^/]+)(?:/page)?/[^/]+$", 1)
     ext = F.regexp_extract("path", r"\.([^./]*)$", 1)
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    depth = F.regexp_extract("path", rf"/{base}/(.*)$", 1)
+    depth = _below(spark, root)
     df = _listing(spark, root).where(ext.isin(*SHARED_EXTENSIONS) & depth.rlike(r"^[^/]+/(?:page/)?[^/]+$"))
     parts = F.sort_array(F.collect_list(F.struct(F.split("path", "/").alias("parts"), "path")))
     return df.groupBy(at.alias("id")).agg(F.transform(parts, lambda x: x["path"]).alias("images"))
@@ -91,8 +97,7 @@ def page_images(spark: SparkSession, root: str) -> DataFrame:
 
 def legacy_page_images(spark: SparkSession, root: str) -> DataFrame:
     """(id, images): folders <id>, then page, images, img within; by extension order, then name; any depth where those are empty; no repeats."""
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    rest = F.regexp_extract("path", rf"/{base}/(.*)$", 1)
+    rest = _below(spark, root)
     inner = F.regexp_replace(F.regexp_replace(rest, r"^[^/]+/", ""), r"[^/]+$", "")
     rank = F.when(inner == "", 0).when(inner == "page/", 1).when(inner == "images/", 2).when(inner == "img/", 3).otherwise(9)
     ext = F.array_position(F.array(*[F.lit(x) for x in SHARED_EXTENSIONS]), F.regexp_extract("path", r"\.([^./]*)$", 1))

@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.select("id", "prediction").write.mode("overwrite").parquet(path)
 
 
-def write_text_per_id(df: DataFrame, folder: str, text: str = "text") -> int:
-    """<folder>/<id>.txt for each row, in UTF-8 and to the byte; returns the number of files.
+def write_text_per_id(df: DataFrame, folder: str, text: str = "text", suffix: str = ".txt") -> int:
+    """<folder>/<id><suffix> for each row, in UTF-8 and to the byte; returns the number of files.
 
     An export for small corpora, to a folder that all executors mount. Each file is written beside its place and moved there, so
     a task that runs again, or dies, leaves only whole files. The table forms are for large corpora and other stores.
@@ -33,7 +34,7 @@ def write_text_per_id(df: DataFrame, folder: str, text: str = "text") -> int:
                 handle, path = tempfile.mkstemp(dir=folder, prefix=".")
                 with os.fdopen(handle, "wb") as f:
                     f.write((t or "").encode())
-                os.replace(path, os.path.join(folder, f"{i}.txt"))
+                os.replace(path, os.path.join(folder, f"{i}{suffix}"))
             yield pd.DataFrame({"n": [len(batch)]})
 
     written = df.select(F.col("id"), F.col(text).alias("value")).mapInPandas(write, "n long")
@@ -92,6 +93,21 @@ def ocr_metadata(docs: DataFrame, dataset: str, segmenter: str, recognizer: str,
     return docs.select("id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("meta"))
 
 
+def write_ocr(docs: DataFrame, root: str, dataset: str, segmenter: str, recognizer: str, model: str | None, cache_root: str) -> int:
+    """<root>/ocr/<id>.txt and <id>.meta.json for recognised documents (id, ocr, num_pages, num_lines); returns the number of documents.
+
+    Recognised documents are kept for both writes, so models run once.
+    """
+    docs = docs.persist(StorageLevel.DISK_ONLY)
+    try:
+        n = write_text_per_id(docs, f"{root}/ocr", "ocr")
+        meta = ocr_metadata(docs, dataset, segmenter, recognizer, model, cache_root, root)
+        write_text_per_id(meta, f"{root}/ocr", "meta", suffix=".meta.json")
+        return n
+    finally:
+        docs.unpersist()
+
+
 def write_manifest(df: DataFrame, folder: str) -> None:
     """Unquoted TSV per part."""
     df.select("part", F.concat_ws("\t", "image_path", "text").alias("value")).write.mode("overwrite").partitionBy("part").text(folder)

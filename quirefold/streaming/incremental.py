@@ -1,17 +1,20 @@
 """Resumable evaluation as a stream of new documents.
 
 The stream's checkpoint remembers which input files were taken; finished rows go to a keyed result table, and an anti-join drops
-ids that are there already, so a rerun after a stop (a spent quota) goes on where it ended.
+ids that are there already, so a rerun after a stop (a spent quota) goes on where it ended. Documents that failed are kept in a
+table beside the results and come again with the next run.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.operators.evaluate import evaluation_rows
+from quirefold.operators.plugins import QuotaExhausted, raise_if_spent
 from quirefold.sources.corpus import exists
 
 KEYS = ("method", "dataset", "model", "n_shots")
@@ -30,21 +33,42 @@ def done_ids(spark: SparkSession, results: str, key: dict) -> DataFrame:
 def evaluate_new(spark: SparkSession, documents: str, schema: str, predict: Callable[[DataFrame], DataFrame], results: str, checkpoint: str, key: dict) -> int:
     """Evaluates documents (id, gt, ...) that have no result, in micro-batches, until the input is read; returns the batches run.
 
-    predict maps documents to (id, prediction, error). Rows that failed are not written and come again with the next run of
-    a fresh stream checkpoint.
+    predict maps documents to (id, prediction, error); its rows are written before they are used, so each model call is made once.
+    Finished rows are committed even where a quota ends the run: QuotaExhausted is raised after the batch that met it.
     """
-    ran = []
+    ran, failures, tried = [], f"{results}_failed", f"{checkpoint}_predictions"
 
-    def batch(df: DataFrame, number: int) -> None:
+    def evaluate(df: DataFrame, name: str) -> DataFrame:
         new = df.join(done_ids(spark, results, key), "id", "left_anti").dropDuplicates(["id"])
-        got = predict(new)
+        predict(new).write.mode("overwrite").parquet(f"{tried}/{name}")
+        got = spark.read.parquet(f"{tried}/{name}")
         ok = new.join(got.where("error is null").select("id", "prediction"), "id")
         rows = evaluation_rows(ok)
         for k, v in key.items():
             rows = rows.withColumn(k, F.lit(v))
         rows.write.mode("append").partitionBy(*key).parquet(results)
+        return got
+
+    def again() -> None:
+        failed = spark.read.parquet(failures)
+        for k, v in key.items():
+            failed = failed.where(F.col(k) == v)
+        raise_if_spent(evaluate(failed.drop(*key), f"again-{uuid.uuid4().hex}"))
+
+    def batch(df: DataFrame, number: int) -> None:
+        got = evaluate(df, f"batch-{number}")
+        failed = df.join(got.where("error is not null").select("id"), "id", "left_semi").dropDuplicates(["id"])
+        for k, v in key.items():
+            failed = failed.withColumn(k, F.lit(v))
+        failed.write.mode("append").partitionBy(*key).parquet(failures)
         ran.append(number)
+        stopped.extend(r["error"] for r in got.where(F.col("error").contains(QuotaExhausted.SIGN)).select("error").head(1))
 
+    stopped: list[str] = []
+    if exists(spark, failures):
+        again()
     query = spark.readStream.schema(schema).parquet(documents).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    if stopped:
+        raise QuotaExhausted(stopped[0])
     return len(ran)

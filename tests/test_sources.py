@@ -1,6 +1,7 @@
 """Sources, sinks, converters, summaries, prompts, plugins, alignment and streaming on small files."""
 
 import json
+import os
 import random
 
 import pytest
@@ -181,10 +182,116 @@ def test_incremental(spark, tmp_path):
     run()
     done = spark.read.parquet(str(tmp_path / "r"))
     assert sorted(r["id"] for r in done.collect()) == ["a", "b"]
+    whole = lambda df: df.select("id", F.col("gt").alias("prediction"), F.lit(None).cast("string").alias("error"))
+    incremental.evaluate_new(spark, docs, "id string, gt string", whole, str(tmp_path / "r"), str(tmp_path / "cp"), key)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "r")).collect()) == ["a", "b", "c"]  # the failed one came again
+    done = spark.read.parquet(str(tmp_path / "r")).where("id <> 'c'")
     state = sinks.checkpoint_state(done).first()
     assert state["processed_ids"] == ["a", "b"] and state["sums"]["wer"] == 0.0
 
 
+def test_quota_keeps_finished_rows(spark, tmp_path):
+    """A quota that ends after two calls: those rows are committed, the rest comes with the next run."""
+
+    def backend(settings):
+        class Backend:
+            def __init__(self):
+                self.left = 2
+
+            def generate(self, prompt, images=None):
+                self.left -= 1
+                if self.left < 0:
+                    raise plugins.QuotaExhausted("429 per_day")
+                return prompt
+
+        return Backend()
+
+    docs = str(tmp_path / "docs")
+    spark.createDataFrame([(x, x) for x in "abcd"], "id string, gt string").coalesce(1).write.parquet(docs)
+    predict = lambda df: plugins.generate(df.coalesce(1).withColumn("prompt", F.col("gt")), plugins.ModelSettings("x"), factory=backend).select("id", F.col("value").alias("prediction"), "error")
+    key = {"method": "m3", "dataset": "d", "model": "x", "n_shots": 0}
+    run = lambda: incremental.evaluate_new(spark, docs, "id string, gt string", predict, str(tmp_path / "r"), str(tmp_path / "cp"), key)
+    with pytest.raises(plugins.QuotaExhausted):
+        run()
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+    run()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "r")).collect()) == list("abcd")
+
+
+def test_each_page_is_asked_once(spark, tmp_path):
+    """Model calls leave a mark in a file: a page with text gives one, a document without text none."""
+    log = str(tmp_path / "calls")
+
+    class Logged:
+        def __init__(self, settings=None):
+            pass
+
+        def generate(self, prompt, images=None):
+            with open(log, "a") as f:
+                f.write("x\n")
+            return "\n".join(images)
+
+    df = spark.createDataFrame([("1", "one two three four", ["a.png", "b.png"]), ("2", " ", ["a.png"]), ("3", "five", [])], "id string, transcription string, images array<string>")
+    got = {r["id"]: r["prediction"] for r in align.align("m1", df, plugins.ModelSettings("x"), factory=Logged).collect()}
+    assert got == {"1": "a.png\nb.png", "2": "", "3": ""} and open(log).read() == "x\n" * 2
+    pages = {r["id"]: r["prediction"] for r in plugins.transcribe_pages(df, plugins.ModelSettings("x"), factory=Logged).collect()}
+    assert pages == {"1": "a.png\nb.png", "2": "a.png", "3": ""}
+
+
+def test_recognition_cuts_merges_and_assembles(spark, tmp_path):
+    class Boxes:
+        """Two words of one line and a line below, found out of order."""
+
+        def segment_page(self, image):
+            if "blank" in image:
+                return []
+            found = [(10, 100, 60, 120), (60, 12, 100, 30), (10, 10, 50, 30)]
+            return [{"path": image, "x1": a, "y1": b, "x2": c, "y2": d, "height": 200, "confidence": None} for a, b, c, d in found]
+
+    def cutter():
+        def cut(image, jobs):
+            for box, path in jobs:
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w") as f:
+                    f.write(f"{box[0]},{box[1]},{box[2]},{box[3]}")
+
+        return cut
+
+    class Reader:
+        def recognize_lines(self, paths):
+            return [open(p).read() if os.path.exists(p) else p for p in paths]
+
+    plugins.SEGMENTERS["boxes"], plugins.CUTTERS["files"], plugins.RECOGNIZERS["reader"] = Boxes, cutter, Reader
+    pages = spark.createDataFrame([("d", 0, "/in/p1.png"), ("d", 1, "/in/blank.png"), ("d", 2, "/in/p2.png"), ("e", 0, "/in/p3.png")], "id string, page int, image string")
+    read = lambda **k: {r["id"]: (r["ocr"], r["num_pages"], r["num_lines"]) for r in plugins.recognize_documents(pages, "boxes", "reader", cache_root=str(tmp_path), cutter="files", **k).collect()}
+    one = "8,8,102,32\n8,98,62,122"
+    assert read(merge="same_line", padding=2) == {"d": (f"{one}\n\n{one}", 3, 4), "e": (one, 1, 2)}
+    assert (tmp_path / "d" / "p1" / "p1_line001.png").exists()
+    assert read(merge=None)["e"] == ("10,10,50,30\n60,12,100,30\n10,100,60,120", 1, 3)
+    done = spark.createDataFrame([("d",)], "id string")
+    assert set(read(merge="same_line", done=done)) == {"e"} and read(merge="same_line", max_pages=1)["d"][1] == 1
+    assert {r["id"]: r["num_pages"] for r in plugins.dry_run(pages, done=done).collect()} == {"e": 1}
+    crops = spark.createDataFrame([("p1", ["x", "y"])], "page string, crops array<string>")
+    got = {r["id"]: r["ocr"] for r in plugins.recognize_documents(pages, "passthrough", "reader", crops=crops).collect()}
+    assert got == {"d": "x\ny\n\n/in/blank.png\n\n/in/p2.png", "e": "/in/p3.png"}
+    docs = plugins.recognize_documents(pages, "passthrough", "reader")
+    assert sinks.write_ocr(docs, str(tmp_path / "out"), "set", "passthrough", "reader", None, "cache") == 2
+    assert (tmp_path / "out/ocr/e.txt").read_text() == "/in/p3.png"
+    assert json.loads((tmp_path / "out/ocr/e.meta.json").read_text())["num_pages"] == 1
+    assert plugins.RECOGNIZERS["trocr_printed"].model_id != plugins.RECOGNIZERS["trocr_handwritten"].model_id
+
+
+def test_folder_names_are_taken_as_they_are(spark, tmp_path):
+    root = tmp_path / "a+b(1" / "x" / "a+b(1"
+    for name in ("d1/p1.png", "d1/page/p2.png", "d1/deep/er/p3.png", "d2/images/q.jpg", "d2/other/r.jpg"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    got = {r["id"]: [p.rsplit("/", 1)[-1] for p in r["images"]] for r in corpus.page_images(spark, str(root)).collect()}
+    assert got == {"d1": ["p1.png", "p2.png"]}
+    old = {r["id"]: [p.rsplit("/", 1)[-1] for p in r["images"]] for r in corpus.legacy_page_images(spark, str(root)).collect()}
+    assert old == {"d1": ["p1.png", "p2.png"], "d2": ["q.jpg"]}
+
+
 def test_runs_and_registry(spark):
     assert runs.run_matrix(spark, "hf/x").count() == 54
     assert set(registry.oracle_sql()) <= set(registry.queries())
