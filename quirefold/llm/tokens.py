@@ -3,7 +3,7 @@
 Both vocabularies used here split a text into pieces that are encoded on their own. A cut is made only where a border between
 pieces is certain: around a single space or line break between two characters that are not white space. So the ids
 of the words in a row are the ids of the text. Arrow splits a batch of texts into words and numbers the distinct ones; each
-worker remembers the ids of words (bounded; common ones stay), and what it has not seen goes to the library in a few calls.
+worker remembers the ids of words (a bounded number; common ones stay), and what it has not seen goes to the library in a few calls.
 Texts with other white space beside a space or line break, or with a special string of the vocabulary, are encoded whole.
 
 - "before_space": byte-level pieces that carry the space before them; a line break is a piece of its own.
@@ -16,6 +16,7 @@ special_strings=False encodes them as ordinary text.
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +29,8 @@ SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 UNSAFE = rf"^[ \n]|{SPACES}[ \n]|[ \n]{SPACES}|[ \n]$|^$"
 #: A space (start of a text), a line break or nothing; letters whose normal form and lower case are one code point each; signs.
 PLAIN = r"^(?P<lead>[ \n]?)(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?]*)$"
-#: Words in a generation of a worker's memory, of which it keeps two: some 200 bytes each.
-GENERATION = 250_000
+#: Words that a worker remembers, some 40 bytes each.
+REMEMBERED = 500_000
 MARK = "~"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write bytes as characters: printable ones as themselves, the others from 256 on.
@@ -54,8 +55,8 @@ class Encoder:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         (self.mark,) = self.model.encode(MARK, add_special_tokens=False).ids
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        nothing = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.memory = dict.fromkeys(("letters", "signs", "others"), nothing)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,21 +76,24 @@ class Encoder:
                 raise ValueError("the mark is part of a word")
         return out
 
-    def _remembered(self, words: list[str], learn) -> list[bytes]:
-        """ids of distinct words; what neither generation holds is learnt."""
-        if len(self.young) > GENERATION:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = [w for w in words if w not in young]
-        if missing:
-            young.update((w, old[w]) for w in missing if w in old)
-            fresh = [w for w in missing if w not in young]
-            young.update(zip(fresh, learn(fresh), strict=True))
-        return list(map(young.__getitem__, words))
-
-    def _coded(self, words: pa.Array, learn) -> pa.Array:
+    def _coded(self, kind: str, words: pa.Array, learn: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """ids of words; what the memory of this kind does not hold is learnt. A full memory keeps what these words use."""
         d = words.dictionary_encode()
-        return pa.array(self._remembered(d.dictionary.to_pylist(), learn), pa.binary()).take(d.indices)
+        names, (known, ids) = d.dictionary, self.memory[kind]
+        place = pc.index_in(names, value_set=known)
+        absent = place.is_null()
+        missing = names.filter(absent)
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(missing):
+            held = ~absent.to_numpy(zero_copy_only=False)
+            if len(known) + len(missing) > REMEMBERED:
+                used = np.sort(place[held])
+                known, ids = known.take(pa.array(used)), ids.take(pa.array(used))
+                place[held] = np.searchsorted(used, place[held])
+            place[~held] = np.arange(len(known), len(known) + len(missing))
+            known, ids = pa.concat_arrays([known, missing]), pa.concat_arrays([ids, pa.array(learn(missing.to_pylist()), pa.binary())])
+            self.memory[kind] = known, ids
+        return ids.take(pa.array(place)).take(d.indices)
 
     def _distinct_words(self, words: pa.Array) -> pa.Array:
         """ids of distinct words: as they stand after a space, with LF in front after a line break, with a space in front at the start of a text."""
@@ -102,21 +106,17 @@ class Encoder:
             shown = pc.utf8_lower(stem)
         else:
             shown = pc.binary_join_element_wise(pc.if_else(pc.equal(lead, ""), "Ġ", ""), stem, "")
-        # In memory signs begin with a tab and other words with CR, which plain words never hold.
-        bare = lambda x: self._whole([s[1:] for s in x])
-        tail = self._coded(pc.binary_join_element_wise("\t", signs, ""), bare)
-        broken = self._remembered(["\t\n"], bare)[0]
+        tail = self._coded("signs", signs, self._whole)
+        broken = self._whole(["\n"])[0]
         head = pc.if_else(pc.equal(lead, "\n"), pa.scalar(broken, pa.binary()), pa.scalar(b"", pa.binary()))
-        ids = pc.binary_join_element_wise(head, self._coded(shown, self._pieces), tail, pa.scalar(b"", pa.binary()))
+        ids = pc.binary_join_element_wise(head, self._coded("letters", shown, self._pieces), tail, pa.scalar(b"", pa.binary()))
         if n == len(words):
             return ids
 
         def learn(rest: list[str]) -> list[bytes]:
-            if self.by_words:
-                return self._whole([w[1:] for w in rest])
-            return self._whole([w[2:] if w[1:2] == " " else w[1:] if w[1:2] == "\n" else " " + w[1:] for w in rest])
+            return self._whole(rest if self.by_words else [w[1:] if w[:1] == " " else w if w[:1] == "\n" else " " + w for w in rest])
 
-        other = self._coded(pc.binary_join_element_wise("\r", words.filter(pc.invert(plain)), ""), learn)
+        other = self._coded("others", words.filter(pc.invert(plain)), learn)
         mask = plain.to_numpy(zero_copy_only=False)
         place = np.empty(len(words), np.int64)
         place[mask], place[~mask] = np.arange(n), np.arange(n, len(words))
@@ -141,7 +141,7 @@ class Encoder:
         ends = np.frombuffer(out.buffers()[1], np.int32)[out.offset : out.offset + len(out) + 1]
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends[offsets])), out.buffers()[2]])
 
-    def encode_array(self, texts: pa.Array, part_bytes: int = 8_000_000) -> list[pa.Array]:
+    def encode_array(self, texts: pa.Array, part_bytes: int = 6_000_000) -> list[pa.Array]:
         """Binary arrays with the ids of the texts in order; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         out = []
