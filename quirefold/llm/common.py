@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +17,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where it is unset (tests) a local one is made."""
+    """The folder that spark.checkpoint.dir names. In local mode (tests) one is made where it is unset; a cluster has to name it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quirefold-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-_MADE: list[str] = []
+#: Where the tables written just now are noted; none outside made_in().
+_NOTED: ContextVar[list[str] | None] = ContextVar("_NOTED", default=None)
+
+
+@contextmanager
+def made_in(tables: list[str]) -> Iterator[None]:
+    """Notes the tables that materialize() writes in the block, for drop_tables()."""
+    before = _NOTED.set(tables)
+    try:
+        yield
+    finally:
+        _NOTED.reset(before)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -29,22 +46,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append(path)
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, but_for: DataFrame) -> None:
-    """Deletes the tables that materialize() wrote so far, but for those that a DataFrame reads."""
-    read = but_for.inputFiles()
+def drop_tables(spark: SparkSession, tables: list[str], but_for: DataFrame | None = None) -> None:
+    """Deletes noted tables, but for those that a DataFrame reads."""
+    read = but_for.inputFiles() if but_for is not None else []
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(_MADE):
+    for path in list(tables):
         if not any(path.rsplit("/", 1)[-1] in f for f in read):
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(hadoop).delete(place, True)
-            _MADE.remove(path)
+            tables.remove(path)
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 6 << 20) -> None:
     """Lowers the session's Arrow batches to `size` bytes: 10,000 long texts at once fill an executor."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))

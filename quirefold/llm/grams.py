@@ -5,44 +5,97 @@ it holds there, with counts; the shard merges the lists of all blocks and answer
 order. Rows are few and large, so a corpus of T tokens costs a few bytes a token and no row per token.
 Both numbers grow with the input, so blocks, shards and lists stay bounded.
 
-Hashes have 64 bits: 24 choose the shard, 40 are sent. Within a shard two of a million n-grams share these
-40 bits with a probability of about 1 in 2: such a pair is counted as one n-gram.
+Words are hashed by a polynomial of random values of their bytes, over whole arrays of texts at once. Hashes have 64 bits: the
+lowest 24 choose the shard and the highest ones are sent: 48 of words, whose counts have to be exact (with the shard's bits two
+of five million words collide with a probability of 1 in 1,000), 40 of shingles, of which two of a million share a hash with a
+probability of about 1 in 2.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-import xxhash
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOW = np.uint64(0xFFFFFF)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_WORDS_LIMIT = 300_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+_VALUES = np.random.default_rng(61).integers(1, 1 << 63, 256, dtype=np.uint64)[_FOLDED]
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse mod 2**64, at least n of each."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            out = np.empty(size, np.uint64)
+            out[0] = 1
+            done = 1
+            while done < size:
+                out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
+                done *= 2
+            _POWERS[k] = out
+    return _POWERS
+
+
+def _final(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(29)
+    return h
 
-_WORDS = _Hashes()
 
+def _run_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in UTF-8 bytes, and where they begin; no word crosses a place of starts."""
+    solid = ~_BLANK[data]
+    before, after = np.empty_like(solid), np.empty_like(solid)
+    before[0], after[-1] = False, False
+    before[1:], after[:-1] = solid[:-1], solid[1:]
+    inner = starts[(starts > 0) & (starts < len(data))]
+    before[inner], after[inner - 1] = False, False
+    a, b = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after)
+    up, down = _powers(len(data))
+    total = np.cumsum(_VALUES[data] * up[: len(data)])
+    h = total[b]
+    h[a > 0] -= total[a[a > 0] - 1]
+    return _final(h * down[a]), a
 
-def tokens(text: str | None) -> list[bytes]:
-    """A-Z lower-cased; maximal runs without ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
+def hashed_words(texts: pa.Array, run: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where the words of each text begin (one more place than texts).
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes, by a worker-wide memory of bounded size."""
-    known = _WORDS
-    if len(known) > _WORDS_LIMIT:
-        known.clear()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    Words are maximal runs without ASCII white space, A-Z lower-cased; null has none. Bytes go in runs that end between words.
+    """
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    _, places, body = texts.buffers()
+    edges = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(body, np.uint8)[edges[0] : edges[-1]] if body is not None else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    hashes, begins, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        end, reach = len(data), run
+        while at + reach < len(data):
+            gaps = np.flatnonzero(_BLANK[data[at : at + reach]])
+            first, last = np.searchsorted(edges, at, "right"), np.searchsorted(edges, at + reach, "right") - 1
+            cut = max(int(gaps[-1]) + 1 if len(gaps) else 0, int(edges[last]) - at if last >= first else 0)
+            if cut:
+                end = at + cut
+                break
+            reach *= 2  # a word longer than the run
+        lo, hi = np.searchsorted(edges, at, "left"), np.searchsorted(edges, end, "right")
+        h, a = _run_hashes(data[at:end], edges[lo:hi] - at)
+        hashes.append(h)
+        begins.append(a + at)
+        at = end
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), edges)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,30 +127,44 @@ def in_blocks(docs: DataFrame, block_bytes: int, shard_tokens: int) -> tuple[Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block")), min(shards, 1 << 20)
 
 
-def pack5(values: np.ndarray) -> bytes:
-    """Sorted 40-bit values as five byte planes, highest first."""
-    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(raw[:, [4, 3, 2, 1, 0]].T).tobytes()
+def sort_order(values: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """The order by shard, then value."""
+    order = np.argsort(values)
+    s = shard[order]
+    return order[np.argsort(s.astype(np.uint16) if len(s) and s.max() < 1 << 16 else s, kind="stable")]
+
+
+def pack(values: np.ndarray, width: int) -> bytes:
+    """Sorted values of `width` bytes: byte planes of the low bits, and of the steps between the highest 24, of which the upper planes are compressed."""
+    low = 8 * width - 24
+    steps = np.diff(values >> np.uint64(low), prepend=np.uint64(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    upper = zstandard.compress(np.ascontiguousarray(steps[:, 1:].T).tobytes(), 3)
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width - 3]
+    return len(upper).to_bytes(4, "little") + upper + steps[:, 0].tobytes() + np.ascontiguousarray(raw.T).tobytes()
 
 
-def unpack5(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(5, -1)
+def unpack(data: bytes, width: int) -> np.ndarray:
+    size = 4 + int.from_bytes(data[:4], "little")
+    steps, planes = np.frombuffer(zstandard.decompress(data[4:size]), np.uint8).reshape(3, -1), np.frombuffer(data, np.uint8, offset=size).reshape(width - 2, -1)
+    top = np.zeros((planes.shape[1], 4), np.uint8)
+    top[:, 0], top[:, 1:] = planes[0], steps.T
     raw = np.zeros((planes.shape[1], 8), np.uint8)
-    raw[:, [4, 3, 2, 1, 0]] = planes.T
-    return raw.view("<u8").reshape(-1)
+    raw[:, : width - 3] = planes[1:].T
+    return (np.cumsum(top.view("<u4").reshape(-1), dtype=np.uint64) << np.uint64(8 * width - 24)) | raw.view("<u8").reshape(-1)
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Small integers, mostly equal, as deflated byte planes."""
+    """Rows of small integers, mostly equal, as compressed byte planes."""
     raw = np.ascontiguousarray(values)
     planes = raw.view(np.uint8).reshape(len(raw), -1).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
 
 
-def expand(data: bytes, kind: str) -> np.ndarray:
+def expand(data: bytes, kind: str, columns: int = 1) -> np.ndarray:
     dtype = np.dtype(kind)
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(dtype.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(dtype.itemsize * columns, -1)
+    out = np.ascontiguousarray(planes.T).view(dtype)
+    return out if columns > 1 else out.reshape(-1)
 
 
 def count_code(counts: np.ndarray) -> np.ndarray:

@@ -4,11 +4,12 @@
    from the exchange of grams.py; a set's prefix is its n - ceil(t n) + 1 rarest shingles. Two sets of
    Jaccard similarity t or more share a prefix shingle, so one whose prefix has no shingle of another document is done.
 2. Documents with equal sets are one class; classes with identical prefixes and size are one group.
-3. Group pairs: the groups that hold a prefix shingle are sorted by size; where a size is below t times the next, no pair
-   crosses. The groups of an unbroken run are tied to its least group: edges in proportion to the prefixes, not pairs.
-4. Each tied set of groups is expanded to its classes. Their sets are compared exactly, in blocks of at most
-   `chunk` classes by `chunk`, by size window and by a scan of the block's shingles; pairs already joined are skipped. Only the
-   links that join something new are kept.
+3. Group pairs: sizes fall into steps of 1 / t, so that two sets that link are of one step or of neighbouring ones. The groups
+   that hold a prefix shingle in a step are tied to the least of them, and that one to the least of the next step:
+   edges in proportion to the prefixes, not pairs, made by sums that combine before the exchange. What is not tied is filtered out.
+4. Each tied set of groups is expanded to its classes, dealt by step and hash into parts of about `chunk`. Parts of one step or
+   of neighbouring ones are compared exactly, by size window and by a scan of the parts' shingles; pairs already joined are skipped.
+   Only the links that join something new are kept.
 5. Components of these links, and the smallest doc_id of each.
 
 Defined results: with fewer words than `width` the whole text is one shingle; a null text or one without words has an empty
@@ -23,27 +24,34 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import grams
-from quirefold.llm.common import materialize
+from quirefold.llm.common import materialize, small_batches
 from quirefold.llm.components import components
 
 RECORD = "doc_id long, n_shingles long, class string, grp string, prefix array<long>, shingles binary"
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    h = grams.word_hashes(grams.tokens(text))
-    if not len(h):
-        return h
-    take = min(width, len(h))
-    out = h[: len(h) - take + 1].copy()
-    for k in range(1, take):
-        out = grams.mix(out, h[k : len(h) - take + 1 + k])
-    out.sort()
-    return out[np.r_[True, out[1:] != out[:-1]]]
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    h, edges = grams.hashed_words(texts)
+    whole = h.copy()
+    for k in range(1, width):
+        whole[: len(h) - k] = grams.mix(whole[: len(h) - k], h[k:])
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        n = b - a
+        if 0 < n < width:
+            short = h[a : a + 1]
+            for k in range(1, n):
+                short = grams.mix(short, h[a + k : a + k + 1])
+            out.append(short)
+            continue
+        s = np.sort(whole[a : max(a, b - width + 1)])
+        out.append(s[np.r_[True, s[1:] != s[:-1]]] if n else s)
+    return out
 
 
 def _required(n: int, percent: int) -> int:
@@ -53,44 +61,46 @@ def _required(n: int, percent: int) -> int:
 def _split(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted hashes by shard: (order, shard, cuts)."""
     shard = grams.shard_of(values, shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
     s = shard[order]
     return order, s, np.flatnonzero(np.r_[True, s[1:] != s[:-1], True]) if len(s) else np.zeros(1, np.int64)
 
 
 def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_tokens: int) -> DataFrame:
     """RECORD rows: prefix holds the prefix shingles that another document has; shingles is null where there are none."""
+    small_batches(docs.sparkSession)
     rows, shards = grams.in_blocks(docs, block_bytes, shard_tokens)
     grouped = rows.groupBy("block")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        sets = [shingle_hashes(t, width) for t in table.column("text").to_pylist()]
+        sets = shingle_sets(table.column("text"), width)
         every = np.concatenate(sets)
         values, counts = _runs(np.sort(every))
         order, s, cuts = _split(values, shards)
         out = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             part = order[a:b]
-            out.append((int(s[a]), key[0].as_py(), grams.pack5(values[part] >> np.uint64(24)), grams.squeeze(counts[part].astype(np.uint32))))
+            out.append((int(s[a]), key[0].as_py(), grams.pack(values[part] >> np.uint64(24), 5), grams.squeeze(counts[part].astype(np.uint32))))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["shard", "block", "keys", "counts"])
 
     sent = grouped.applyInArrow(send, "shard long, block int, keys binary, counts binary")
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [grams.unpack5(d) for d in table.column("keys").to_pylist()]
+        lists = [grams.unpack(d, 5) for d in table.column("keys").to_pylist()]
         counts = np.concatenate([grams.expand(d, "<u4") for d in table.column("counts").to_pylist()]).astype(np.int64)
         every = np.concatenate(lists)
-        order = np.argsort(every, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(every[order]) != 0])
-        keys, total = every[order[first]], np.add.reduceat(counts[order], first)
+        order = np.argsort(every)
+        every = every[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        keys, total = every[first], np.add.reduceat(counts[order], first)
         codes = [grams.squeeze(grams.count_code(total[np.searchsorted(keys, k)])) for k in lists]
         return pa.table([table.column("shard"), table.column("block"), pa.array(codes, pa.binary())], names=["shard", "block", "codes"])
 
     answers = sent.groupBy("shard").applyInArrow(answer, "shard long, block int, codes binary")
 
     def combine(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
-        sets = [shingle_hashes(t, width) for t in table.column("text").to_pylist()]
+        sets = shingle_sets(table.column("text"), width)
         values, _ = _runs(np.sort(np.concatenate(sets)))
         order, s, cuts = _split(values, shards)
         replies = dict(zip(got.column("shard").to_pylist(), got.column("codes").to_pylist(), strict=True))
@@ -158,39 +168,45 @@ def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: i
     """(doc_id, n_shingles, component_id) for each row."""
     rows = records(docs, percent, width, block_bytes, shard_tokens)
     shared = rows.where("shingles is not null")
-    groups = shared.select("grp", "n_shingles", "prefix").dropDuplicates(["grp"])
-    held = groups.select(F.explode("prefix").alias("gram"), "grp", F.col("n_shingles").alias("n"))
-    line = Window.partitionBy("gram").orderBy("n", "grp")
-    gap = F.coalesce(F.lag("n").over(line) * 100 < F.col("n") * percent, F.lit(True))
-    runs = held.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(line))
-    least = F.min("grp").over(Window.partitionBy("gram", "run"))
-    ties = runs.select("grp", least.alias("least")).where("grp <> least").select(F.col("grp").alias("a"), F.col("least").alias("b"))
+    n = F.col("n_shingles")
+    step = (F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else n).cast("int")
+    groups = shared.select("grp", "prefix", step.alias("step")).dropDuplicates(["grp"])
+    held = groups.select(F.explode("prefix").alias("gram"), "step", "grp")
+    firsts = materialize(held.groupBy("gram", "step").agg(F.min("grp").alias("least"), F.count(F.lit(1)).alias("m")), "join-firsts")
+    own = held.join(firsts.where("m > 1").select("gram", "step", "least"), ["gram", "step"]).where("grp <> least").select(F.col("grp").alias("a"), F.col("least").alias("b"))
+    above = firsts.select("gram", (F.col("step") - 1).alias("step"), F.col("least").alias("next"))
+    ties = own.unionByName(firsts.join(above, ["gram", "step"]).select(F.col("least").alias("a"), F.col("next").alias("b")))
     tied = components(ties)
     # Groups of more than one class, or tied to others, are expanded; an exchange of their sets only.
-    classes = shared.select("class", "grp", "n_shingles", "shingles").dropDuplicates(["class"])
+    classes = shared.select("class", "grp", step.alias("step"), "shingles").dropDuplicates(["class"])
     g = tied.select(F.col("node").alias("grp"), "label")
     classes = classes.join(g, "grp", "left").withColumn("label", F.coalesce("label", "grp"))
-    classes = materialize(classes.select("class", "label", "n_shingles", "shingles"), "join-classes")
-    many = classes.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    numbered = classes.select("class", "label", "n_shingles").join(many, "label")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("n_shingles", "class")) - 1
-    numbered = numbered.withColumn("part", F.floor(place / chunk).cast("int")).withColumn("parts", F.ceil(F.col("m") / chunk).cast("int"))
-    # Sizes at the ends of the parts tell which two parts can have a link; a part meets those only.
-    ends = numbered.groupBy("label", "part").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    x, y = ends.alias("x"), ends.alias("y")
-    meets = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.part") <= F.col("y.part")) & (F.col("y.low") * percent <= F.col("x.high") * 100))
-    meets = meets.select(F.col("x.label").alias("label"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
-    seats = meets.select("label", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part"))
-    dealt = numbered.select("class", "label", "part").join(seats, ["label", "part"]).join(classes.select("class", "shingles"), "class")
+    classes = materialize(classes.select("class", "label", "step", "shingles"), "join-classes")
+    steps = materialize(classes.groupBy("label", "step").agg(F.count(F.lit(1)).alias("m")), "join-steps")
+    after = steps.select("label", (F.col("step") - 1).alias("step"), F.col("m").alias("m_next"))
+    steps = steps.join(after, ["label", "step"], "left").withColumn("parts", F.ceil(F.col("m") / chunk).cast("int")).withColumn("parts_next", F.ceil(F.coalesce("m_next", F.lit(0)) / chunk).cast("int"))
+    part = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    # A class sits in the pairs of its own step (p <= q) and, as the larger one, in those with the step before it.
+    here = classes.select("class", "label", "step").join(steps.where("m > 1 or m_next > 0").select("label", "step", "m", "parts", "parts_next"), ["label", "step"])
+    here = here.withColumn("p", part(F.col("parts")))
+    below = steps.where("m_next > 0").select("label", "step", "parts", F.col("parts_next").alias("own"))
+    there = classes.select("class", "label", (F.col("step") - 1).alias("step")).join(below, ["label", "step"]).withColumn("q", part(F.col("own")))
+    ring = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("p", k).alias("p"), F.greatest("p", k).alias("q"), (F.col("p") > k).cast("int").alias("side")))
+    cross = F.transform(F.sequence(F.lit(0), F.col("parts_next") - 1), lambda k: F.struct(F.col("p"), (-1 - k).alias("q"), F.lit(0).alias("side")))
+    some = lambda c, n: F.when(n > 0, c).otherwise(F.array().cast("array<struct<p:int,q:int,side:int>>"))
+    seats = here.select("class", "label", "step", F.explode(F.concat(some(ring, F.when(F.col("m") > 1, 1).otherwise(0)), some(cross, F.col("parts_next")))).alias("s"))
+    theirs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(k.alias("p"), (-1 - F.col("q")).alias("q"), F.lit(1).alias("side")))
+    seats = seats.unionByName(there.select("class", "label", "step", F.explode(theirs).alias("s")))
+    dealt = seats.select("class", "label", "step", "s.p", "s.q", "s.side").join(classes.select("class", "shingles"), "class")
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        p, q = key[1].as_py(), key[2].as_py()
+        p, q = key[2].as_py(), key[3].as_py()
         sets = [np.frombuffer(d, np.uint64) for d in table.column("shingles").to_pylist()]
-        sides = None if p == q else (table.column("part").to_numpy() == q).astype(np.int8)
+        sides = None if p == q else table.column("side").to_numpy().astype(np.int8)
         links = verified_links(table.column("class").to_pylist(), sets, percent, sides)
         return pa.table([pa.array([k[i] for k in links], pa.string()) for i in (0, 1)], names=["a", "b"])
 
-    links = dealt.groupBy("label", "p", "q").applyInArrow(verify, "a string, b string")
+    links = dealt.groupBy("label", "step", "p", "q").applyInArrow(verify, "a string, b string")
     joined = components(links).select(F.col("node").alias("class"), "label")
     out = rows.select("doc_id", "n_shingles", "class").join(joined, "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = out.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))

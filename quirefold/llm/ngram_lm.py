@@ -8,11 +8,12 @@ with training counts, T the number of distinct words after x y; the sums over th
 begin with two start marks and end with an end token, which is counted. Stored probabilities and back-off weights are
 quantised to a byte (finer near 1, reaching down to 2**-40), counts of contexts as in grams.count_code.
 
-Flow: blocks of documents send their distinct trigrams to shards by the hash of the first two words, and their distinct
-words to word shards. A trigram shard merges the training counts, builds its memory-mapped trie, looks up
+The trie has three levels: words with exact counts, pairs (the contexts, with back-off and count) and the words behind
+them, held in shards. Blocks of documents send their distinct trigrams to shards by the hash of the first two words, and
+their distinct words to word shards. A shard merges the training counts, builds its memory-mapped levels, searches them for
 what each block sent and answers with codes; then each block is read again and scored, from the same exchange of the
 documents. N and V come from a pass of their own. Every n-gram of the corpus counts; no table is sent whole to any task or to
-the driver.
+the driver. Within a shard words are known by 48 bits of their hash, contexts by 36 and a context's words by 28.
 
 Defined results: null text is empty and scores its end token; held-out texts are scored, not learnt; without training
 rows every token has probability 1 / (0 + 0.1 * 1) * 0.1 = 1; repeated rows each count; an empty table gives no rows; other
@@ -21,7 +22,6 @@ columns are ignored; a very long text is scored whole in its block.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import grams
-from quirefold.llm.common import bucket_of
-from quirefold.llm.elias_fano import TrieShard
+from quirefold.llm.common import bucket_of, small_batches
+from quirefold.llm.elias_fano import TrieShard, WordShard
 
 START, END, PAST = (np.uint64(x) for x in (0x51A7, 0xE0D, 0x9A57))
+CONTEXT_BITS, WORD_BITS = 36, 28
 REACH = 40.0
 #: Values of the codes: the negative binary logarithm grows with the square of the code; 0 is absent.
 VALUE_OF = np.concatenate([[0.0], 2.0 ** (-REACH * (np.arange(255) / 254) ** 2)])
@@ -45,35 +46,39 @@ def value_code(p: np.ndarray) -> np.ndarray:
         return np.clip(1 + np.round(254 * np.sqrt(np.maximum(0.0, -np.log2(np.maximum(p, 1e-300))) / REACH)), 1, 255).astype(np.uint8)
 
 
-def _block_grams(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes per text (with end); of the block's trigrams: first-pair hash, last word, and weight (1: training)."""
-    train = (~table.column("held_out").to_numpy(zero_copy_only=False)).tolist()
-    texts, lines, weights = [], [], []
-    for text, t in zip(table.column("text").to_pylist(), train, strict=True):
-        h = np.append(grams.word_hashes(grams.tokens(text)), END)
-        texts.append(h)
-        lines.append(np.concatenate([[START, START], h, [PAST]]))
-        weights.append(np.full(len(h) + 1, t))
-    pair = np.concatenate([grams.mix(s[:-2], s[1:-1]) for s in lines])
-    return texts, pair, np.concatenate([s[2:] for s in lines]), np.concatenate(weights)
-
-
-def _distinct(shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first, group): a sort by shard and key, starts of its groups, and the group of each input."""
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(shard[order], kind="stable")]
+def _keys(table: pa.Table, shards: int):
+    """Token hashes of a block (an end behind each text), where each text's begin, and per trigram and per token: (shard, key, 1 if learnt)."""
+    words, edges = grams.hashed_words(table.column("text"))
+    n = len(edges) - 1
+    number = np.repeat(np.arange(n), np.diff(edges) + 1)
+    tokens = np.full(len(number), END)
+    ends = edges[1:] + np.arange(n)
+    is_word = np.ones(len(number), bool)
+    is_word[ends] = False
+    tokens[is_word] = words
+    begins = edges + np.arange(n + 1)
+    # Each text as: start, start, tokens, past; its trigrams are one more than its tokens.
+    line = np.full(len(tokens) + 3 * n, START)
+    line[np.arange(len(tokens)) + 3 * number + 2] = tokens
+    line[begins[1:] + 3 * np.arange(1, n + 1) - 1] = PAST
+    first = np.arange(len(tokens) + n) + 2 * np.repeat(np.arange(n), np.diff(begins) + 1)
+    pair = grams.mix(line[first], line[first + 1])
+    learnt = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+    tri = ((pair >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (line[first + 2] >> np.uint64(64 - WORD_BITS))
+    return tokens, begins, (grams.shard_of(pair, shards), tri, np.repeat(learnt, np.diff(begins) + 1)), (grams.shard_of(tokens, shards), tokens >> np.uint64(16), learnt[number])
+
+
+def _distinct(shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sort by shard and key, and the starts of its groups."""
+    order = grams.sort_order(key, shard)
     s, k = shard[order], key[order]
-    new = np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])] if len(k) else np.zeros(0, bool)
-    group = np.empty(len(k), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), group
+    return order, np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (k[1:] != k[:-1])]) if len(k) else np.zeros(0, np.int64)
 
 
-def _keys(table: pa.Table, shards: int):
-    texts, pair, last, weight = _block_grams(table)
-    tri = ((pair >> np.uint64(24)) << np.uint64(24)) | (last & grams.LOW)
-    words = np.concatenate(texts)
-    return texts, weight, (grams.shard_of(pair, shards), tri), (grams.shard_of(words, shards), words >> np.uint64(24))
+def _cuts(shard: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of equal shards."""
+    edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else np.zeros(1, np.int64)
+    return edges[:-1].tolist(), edges[1:].tolist()
 
 
 def training_size(rows: DataFrame, shards: int) -> tuple[int, int]:
@@ -81,49 +86,44 @@ def training_size(rows: DataFrame, shards: int) -> tuple[int, int]:
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train = [t for t, held in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True) if not held]
-            if not train:
-                continue
-            h = np.concatenate([np.append(grams.word_hashes(grams.tokens(t)), END) for t in train])
-            n = len(h)
-            h.sort()
+            words, _ = grams.hashed_words(batch.column("text"))
+            n = len(words) + batch.num_rows
+            h = np.sort(np.r_[words, END])
             h = h[np.r_[True, h[1:] != h[:-1]]]
             shard = grams.shard_of(h, shards)
             order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True])
-            names = [int(shard[order[a]]) for a in cuts[:-1]]
-            keys = [grams.pack5(h[order[a:b]] >> np.uint64(24)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            begins, ends = _cuts(shard[order])
+            names = [int(shard[order[a]]) for a in begins]
+            keys = [grams.pack(h[order[a:b]] >> np.uint64(16), 6) for a, b in zip(begins, ends, strict=True)]
             yield pa.record_batch([pa.array(names, pa.int64()), pa.array(keys, pa.binary()), pa.array([n] + [0] * (len(names) - 1), pa.int64())], names=["shard", "keys", "n"])
 
     def count(table: pa.Table) -> pa.Table:
-        every = np.sort(np.concatenate([grams.unpack5(d) for d in table.column("keys").to_pylist()]))
+        every = np.sort(np.concatenate([grams.unpack(d, 6) for d in table.column("keys").to_pylist()]))
         v = 1 + int((every[1:] != every[:-1]).sum())
         return pa.table([pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([v], pa.int64())], names=["n", "v"])
 
-    sent = rows.select("text", "held_out").mapInArrow(distinct, "shard long, keys binary, n long")
+    sent = rows.where("not held_out").select("text").mapInArrow(distinct, "shard long, keys binary, n long")
     total = sent.groupBy("shard").applyInArrow(count, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     return int(total["n"] or 0), int(total["v"] or 0)
 
 
-def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight: float = 0.2, block_bytes: int = 4_000_000, shard_tokens: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight: float = 0.2, block_bytes: int = 5_000_000, shard_tokens: int = 500_000) -> DataFrame:
     """SCORED rows. held_out: a condition on doc_id and text; those rows are scored but not learnt."""
+    small_batches(docs.sparkSession)
     rows, shards = grams.in_blocks(docs, block_bytes, shard_tokens)
     rows = rows.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     grouped = rows.groupBy("block")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         block = key[0].as_py()
-        texts, weight, tri, uni = _keys(table, shards)
-        uni_weight = np.concatenate([np.full(len(h), not held) for h, held in zip(texts, table.column("held_out").to_pylist(), strict=True)]).astype(np.int64)
+        _, _, tri, uni = _keys(table, shards)
         out = []
-        for kind, (shard, k), w in ((3, tri, weight.astype(np.int64)), (1, uni, uni_weight)):
-            order, first, _ = _distinct(shard, k)
-            counts = np.add.reduceat(w[order], first).astype(np.uint32)
+        for kind, width, (shard, k, weight) in ((3, 8, tri), (1, 6, uni)):
+            order, first = _distinct(shard, k)
+            counts = np.add.reduceat(weight[order].astype(np.uint32), first, dtype=np.uint32)
             s, k = shard[order[first]], k[order[first]]
-            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                data = np.ascontiguousarray(k[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1].T).tobytes() if kind == 3 else grams.pack5(k[a:b])
-                out.append((kind, int(s[a]), block, data, grams.squeeze(counts[a:b])))
+            for a, b in zip(*_cuts(s), strict=True):
+                out.append((kind, int(s[a]), block, grams.pack(k[a:b], width), grams.squeeze(counts[a:b])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "shard", "block", "keys", "counts"])
 
     sent = grouped.applyInArrow(send, "kind int, shard long, block int, keys binary, counts binary")
@@ -131,30 +131,28 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         kind, shard = key[0].as_py(), key[1].as_py()
         blocks = table.column("block").to_pylist()
-        raw = table.column("keys").to_pylist()
-        if kind == 3:
-            lists = [np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(8, -1)[::-1].T).view("<u8").reshape(-1) for d in raw]
-        else:
-            lists = [grams.unpack5(d) for d in raw]
+        lists = [grams.unpack(d, 8 if kind == 3 else 6) for d in table.column("keys").to_pylist()]
         counts = np.concatenate([grams.expand(d, "<u4") for d in table.column("counts").to_pylist()]).astype(np.int64)
         every = np.concatenate(lists)
-        order = np.argsort(every, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(every[order]) != 0])
-        keys, total = every[order[first]], np.add.reduceat(counts[order], first)
+        order = np.argsort(every)
+        every = every[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        keys, total = every[first], np.add.reduceat(counts[order], first)
         del every, order, counts
+        learnt = total > 0
+        k, c = keys[learnt], total[learnt]
         if kind == 1:
-            codes = [grams.squeeze(total[np.searchsorted(keys, k)].astype("<u8")) for k in lists]
+            found = WordShard(k, c).look_up(keys)
         else:
-            learnt = total > 0
-            k, c = keys[learnt], total[learnt]
-            context = k >> np.uint64(24)
+            context = k >> np.uint64(WORD_BITS)
             begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(k) else np.zeros(0, np.int64)
             each = np.diff(np.r_[begin, len(k)])
             whole = np.add.reduceat(c, begin) if len(k) else np.zeros(0, np.int64)
             prob = value_code((c - discount) / np.repeat(whole, each))
-            trie = TrieShard(context[begin], begin, k & grams.LOW, value_code(discount * each / np.maximum(whole, 1)), grams.count_code(whole), prob)
-            found = np.stack(trie.look_up(keys >> np.uint64(24), keys & grams.LOW), 1)
-            codes = [grams.squeeze(found[np.searchsorted(keys, q)]) for q in lists]
+            low = np.uint64((1 << WORD_BITS) - 1)
+            trie = TrieShard(context[begin], begin, k & low, value_code(discount * each / np.maximum(whole, 1)), grams.count_code(whole), prob, CONTEXT_BITS, WORD_BITS)
+            found = np.stack(trie.look_up(keys >> np.uint64(WORD_BITS), keys & low), 1)
+        codes = [grams.squeeze(found[np.searchsorted(keys, q)]) for q in lists]
         size = len(blocks)
         return pa.table([pa.array([kind] * size, pa.int32()), pa.array([shard] * size, pa.int64()), pa.array(blocks, pa.int32()), pa.array(codes, pa.binary())], names=["kind", "shard", "block", "codes"])
 
@@ -163,32 +161,33 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
     floor = n_train + 0.1 * (v_train + 1)
 
     def combine(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
-        texts, _, tri, uni = _keys(table, shards)
+        tokens, begins, tri, uni = _keys(table, shards)
         replies = {(k, s): c for k, s, c in zip(got.column("kind").to_pylist(), got.column("shard").to_pylist(), got.column("codes").to_pylist(), strict=True)}
 
-        def gather(kind: int, shard: np.ndarray, k: np.ndarray, dtype: str, width: int) -> np.ndarray:
-            order, first, group = _distinct(shard, k)
+        def gather(kind: int, shard: np.ndarray, k: np.ndarray, read) -> np.ndarray:
+            order, first = _distinct(shard, k)
             s = shard[order[first]]
-            cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-            parts = [grams.expand(replies[kind, int(s[a])], dtype) if width == 1 else np.frombuffer(zlib.decompress(replies[kind, int(s[a])]), np.uint8).reshape(width, -1).T for a in cuts[:-1]]
-            return np.concatenate(parts)[group]
-
-        codes = gather(3, *tri, "u1", 3)
-        c1 = gather(1, *uni, "<u8", 1).astype(np.float64)
-        out, at, t = [], 0, 0
-        ids, held = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
-        for i, h in enumerate(texts):
-            n = len(h)
-            c, code = c1[at : at + n], codes[t : t + n + 1]
-            at, t = at + n, t + n + 1
-            p1 = (c + 0.1) / floor
-            before = np.r_[c[-1], c[:-1]]  # the start mark was seen as often as the end
-            pairs = grams.COUNT_OF[code[1:, 2]]
-            p2 = np.where(before > 0, pair_weight * np.minimum(1.0, pairs / np.maximum(before, 1)) + (1 - pair_weight) * p1, p1)
-            own, back = VALUE_OF[code[:-1, 0]], code[:-1, 1]
-            p3 = np.where(back > 0, own + VALUE_OF[back] * p2, p2)
-            out.append((ids[i], held[i], n, int((c > 0).sum()), n_train, float(np.log10(p1).sum()), float(np.log10(np.minimum(p3, 1.0)).sum())))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=[x.split()[0] for x in SCORED.split(", ")])
+            parts = np.concatenate([read(replies[kind, int(s[a])]) for a in _cuts(s)[0]])
+            out = np.empty((len(k), *parts.shape[1:]), parts.dtype)
+            out[order] = np.repeat(parts, np.diff(np.r_[first, len(k)]), axis=0)
+            return out
+
+        codes = gather(3, *tri[:2], lambda d: grams.expand(d, "u1", 3))
+        c = gather(1, *uni[:2], lambda d: grams.expand(d, "<i8")).astype(np.float64)
+        n = len(begins) - 1
+        size = np.diff(begins)
+        at = np.arange(len(tokens)) + np.repeat(np.arange(n), size)  # of a token's own trigram; the next one has it as second word
+        p1 = (c + 0.1) / floor
+        before = np.r_[0.0, c[:-1]]
+        before[begins[:-1]] = c[begins[1:] - 1]  # the start mark was seen as often as the end
+        pairs = grams.COUNT_OF[codes[at + 1, 2]]
+        p2 = np.where(before > 0, pair_weight * np.minimum(1.0, pairs / np.maximum(before, 1)) + (1 - pair_weight) * p1, p1)
+        own, back = VALUE_OF[codes[at, 0]], codes[at, 1]
+        p3 = np.where(back > 0, own + VALUE_OF[back] * p2, p2)
+        known, base, score = (np.add.reduceat(x, begins[:-1]) for x in ((c > 0).astype(np.int64), np.log10(p1), np.log10(np.minimum(p3, 1.0))))
+        columns = (table.column("doc_id").combine_chunks(), table.column("held_out").combine_chunks(), size, known, np.full(n, n_train), base, score)
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(x, t) if isinstance(x, np.ndarray) else x.cast(t) for x, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return grouped.cogroup(answers.select("kind", "shard", "block", "codes").groupBy("block")).applyInArrow(combine, SCORED)
 
