@@ -8,11 +8,14 @@ disclosure is
     PMI(e; t) / IC(e) = 1 - log(c_t / c_et) / log(n / c_e),
 
 the share of the entity's information content that the term gives away. A term with c_et >= `support` and disclosure
->= `threshold` for any entity is removed from every text; base spans are generalised to their kind.
-
-Defined results: null text is empty and has no spans; texts without mentions are unchanged; repeated rows get equal
-results and count once in the corpus; ties of start are in the order of the kinds; an empty table gives no rows; all
-input columns are kept, clashing ones (spans, base_spans, clean_text) replaced.
+>= `threshold` for any entity is removed from every text; base spans are generalised to their kind. An address that
+a large part of all texts carry meets many rare words in every text of theirs by chance, so the texts together must speak for
+more than chance: c_et * log(n / c_e) >= log(n * `doubt`), where exp(-c_et * log(n / c_e)) is the chance that c_et texts drawn
+at random all name the entity.
+
+Defined results: null text is empty and has no spans; texts without mentions or flagged terms are unchanged; repeated rows get
+equal results and count once in the corpus; ties of start are in the order of the kinds; an empty table gives no rows; all
+input columns are kept, of any name, but for spans and base_spans, which are replaced. The text itself is left to clean().
 """
 
 from __future__ import annotations
@@ -108,7 +111,7 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(r"\p{L}{3,}"), F.lit(0)), F.lower))
 
 
-def flagged_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9) -> DataFrame:
+def flagged_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, doubt: float = 1000.0) -> DataFrame:
     """(term, disclosure): the terms that give an entity away, with the most that each tells of any."""
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(whole.alias("text")).withColumn("text_key", F.md5(F.col("text").cast("binary")))
@@ -123,30 +126,32 @@ def flagged_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9) ->
     used = texts.dropDuplicates(["text_key"]).select(F.explode_outer(_terms(F.col("text"))).alias("term"))
     frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).where(F.col("c_t") >= support)
 
-    def share(both: Column | str) -> Column:
-        return 1 - F.log(F.col("c_t") / both) / F.log(F.lit(float(n)) / F.col("c_e"))
+    def told_by(both: Column) -> Column:
+        """Whether a term that shares `both` texts with an entity can be flagged."""
+        content = F.log(F.lit(float(n)) / F.col("c_e"))
+        return (1 - F.log(F.col("c_t") / both) / content >= threshold) & (both * content >= F.log(F.lit(n * doubt)))
 
     # c_et is c_e and c_t at most: a term too common for the most common entity of a text can be left out before pairs are made.
     near = mentions.join(held.groupBy("text_key").agg(F.max("c_e").alias("c_e")), "text_key")
     near = near.select("text_key", "c_e", F.explode_outer(_terms(F.col("text"))).alias("term")).join(frequency, "term")
-    near = near.where(share(F.least("c_e", "c_t")) >= threshold).select("text_key", "term", "c_t")
-    pairs = near.join(held, "text_key").where(share(F.least("c_e", "c_t")) >= threshold)
+    near = near.where(1 - F.log(F.col("c_t") / F.least("c_e", "c_t")) / F.log(F.lit(float(n)) / F.col("c_e")) >= threshold).select("text_key", "term", "c_t")
+    pairs = near.join(held, "text_key").where(told_by(F.least("c_e", "c_t")))
     pairs = pairs.groupBy("entity", "term", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
-    told = pairs.withColumn("disclosure", share(F.col("c_et"))).where(F.col("disclosure") >= threshold)
+    told = pairs.where(told_by(F.col("c_et"))).withColumn("disclosure", 1 - F.log(F.col("c_t") / F.col("c_et")) / F.log(F.lit(float(n)) / F.col("c_e")))
     return materialize(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-flagged")
 
 
-def find(docs: DataFrame, support: int = 3, threshold: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, support: int = 3, threshold: float = 0.9, doubt: float = 1000.0) -> DataFrame:
     """docs with base_spans and spans (base and term spans), arrays of {start, rank, end, kind, value}."""
-    flagged = flagged_terms(docs, support, threshold).select("term")
-    rows = docs.drop("spans", "base_spans", "text_key", "_terms")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    told = rows.select(F.md5(text.cast("binary")).alias("text_key"), F.explode_outer(_terms(text)).alias("term")).join(flagged, "term", "left_semi")
-    told = materialize(told.groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("_terms")), "pii-terms")
+    flagged = flagged_terms(docs.select("text"), support, threshold, doubt).select("term")
+    kept = [c for c in docs.columns if c.lower() not in ("spans", "base_spans")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    told = rows.select(F.md5(F.col("text").cast("binary")).alias("text_key"), F.explode_outer(_terms(F.col("text"))).alias("term")).join(flagged, "term", "left_semi")
+    told = materialize(told.groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "pii-terms")
     joined = with_base(rows).join(told, "text_key", "left")
-    found = _located(text, r"\p{L}{3,}+", "term", F.col("_terms").isNotNull(), lambda m: F.array_contains("_terms", F.lower(m)))
+    found = _located(F.col("text"), r"\p{L}{3,}+", "term", F.col("terms").isNotNull(), lambda m: F.array_contains("terms", F.lower(m)))
     clear = F.filter(found, lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return joined.withColumn("spans", F.sort_array(F.concat("base_spans", clear))).drop("text_key", "_terms")
+    return joined.select(*[F.col("row")[c].alias(c) for c in kept], "base_spans", F.sort_array(F.concat("base_spans", clear)).alias("spans"))
 
 
 def clean(text: Column, spans: Column) -> Column:
