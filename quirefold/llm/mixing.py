@@ -5,9 +5,11 @@
    (water filling, solved in closed form over sources sorted by cap per weight).
 2. Each source is dealt into shards of about `shard_words` words by a seeded hash, so a source with a third of
    all rows is spread over many tasks. Equal blocks of `block_words` words are seats: first sources, then
-   the shards of a source get seats by highest quotients v / (2 s + 1), giving integer quotas per shard.
-3. Inside a shard documents are laid end to end in seeded order and cut into blocks. A quota of q over n blocks
-   takes every block q // n times and q % n blocks once more, chosen by a seeded permutation of the block numbers.
+   the shards of a source get seats by highest quotients v / (2 s + 1), giving integer quotas per shard. A shard takes
+   the words of its quota, `cap` times its own at most; the words by which a source then misses its target (a part of a block,
+   or the whole target of a source too small for a seat) are put right in the shards with most room.
+3. Inside a shard documents are laid end to end in seeded order and cut into blocks. Of t words to take from n, every word
+   is taken t // n times, and t % n words once more: whole blocks in the order of a seeded permutation, the last in part.
 
 Defined results: null text has size 0 and takes 0; an all-empty table has targets of 0; a null source is a source
 of its own, last in order; repeated rows are independent documents; ties in the seeded order are broken by doc_id,
@@ -82,7 +84,7 @@ def mix(
     shard_words: int = 500_000,
     seed: int = 17,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, first_word, blocks, quota, offset, multiplier, block_words, taken).
+    """(doc_id, source, size, source_size, target, first_word, shard_size, quota, copies, extra, offset, multiplier, block_words, taken).
 
     copies_of_word() turns the layout columns into the number of times the mix takes a word of the document.
     """
@@ -97,33 +99,50 @@ def mix(
         "n.doc_id", "n.source", "n.size", "s.source_size", "s.target", F.col("s.quota").alias("source_quota"),
         F.pmod(F.xxhash64(F.lit(seed), F.col("n.doc_id")), shards).alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("n.doc_id")).alias("_draw"),
     )
-    sums = dealt.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))
-    quotas = sainte_lague(sums, ["source", "source_quota"], "shard", "shard_size", "source_quota").drop("source_quota")
+    sums = dealt.groupBy("source", "shard", "source_quota", "target").agg(F.sum("size").alias("shard_size"))
+    quotas = sainte_lague(sums, ["source", "source_quota"], "shard", "shard_size", "source_quota")
+    quotas = quotas.withColumn("_most", F.floor(F.col("shard_size") * F.lit(float(cap)))).withColumn("_words", F.least(F.col("quota") * block_words, "_most"))
+    own = Window.partitionBy("source", "source_quota")
+    quotas = quotas.withColumn("_short", F.round("target").cast("long") - F.sum("_words").over(own))
+    room = F.when(F.col("_short") > 0, F.col("_most") - F.col("_words")).otherwise(F.col("_words"))
+    quotas = quotas.withColumn("_room", room)
+    before = F.coalesce(F.sum("_room").over(own.orderBy(F.desc("_room"), "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = F.greatest(F.lit(0), F.least("_room", F.abs("_short") - before))
+    words = F.col("_words") + F.when(F.col("_short") > 0, moved).otherwise(-moved)
+    quotas = quotas.withColumn("copies", F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
+    quotas = quotas.withColumn("extra", (words - F.col("copies") * F.col("shard_size")).cast("long")).select("source", "shard", "shard_size", "quota", "copies", "extra")
     line = Window.partitionBy("source", "shard").orderBy("_draw", "doc_id", "size")
     laid = dealt.withColumn("first_word", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     d, q = laid.alias("d"), quotas.alias("q")
     # one row per document here; shards are bounded, so the join's key holds few rows
     both = d.join(q, F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("q.shard_size") / block_words)).cast("long")
     draw = F.xxhash64(F.lit(seed + 2), F.coalesce(F.col("d.source"), F.lit("")), F.col("d.shard"))
-    out = both.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", "d.first_word", blocks.alias("blocks"), "q.quota", draw.alias("_draw"))
-    out = out.withColumn("offset", F.pmod(F.col("_draw"), F.col("blocks")))
-    fit = [F.when(F.col("blocks") % p != 0, F.lit(p)) for p in PRIMES]
-    out = out.withColumn("multiplier", F.coalesce(*fit)).withColumn("block_words", F.lit(block_words).cast("long")).drop("_draw")
-    b0, b1 = F.floor(F.col("first_word") / F.col("block_words")), F.floor((F.col("first_word") + F.col("size") - 1) / F.col("block_words"))
-    words_in = lambda b: F.least(F.col("first_word") + F.col("size"), (b + 1) * F.col("block_words")) - F.greatest(F.col("first_word"), b * F.col("block_words"))
-    extra = F.aggregate(F.sequence(b0.cast("long"), b1.cast("long")), F.lit(0).cast("long"), lambda a, b: a + F.when(chosen(b), words_in(b)).otherwise(F.lit(0)).cast("long"))
-    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor(F.col("quota") / F.col("blocks")) * F.col("size") + extra)
+    out = both.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", "d.first_word", "q.shard_size", "q.quota", "q.copies", "q.extra", draw.alias("_draw"), F.lit(block_words).cast("long").alias("block_words"))
+    blocks = _blocks()
+    fit = [F.when(blocks % p != 0, F.lit(p)) for p in PRIMES]
+    out = out.withColumn("offset", F.pmod(F.col("_draw"), blocks)).withColumn("multiplier", F.coalesce(*fit)).drop("_draw")
+    size, at, end = F.col("block_words"), F.col("first_word"), F.col("first_word") + F.col("size")
+    b0, b1 = F.floor(at / size).cast("long"), F.floor((end - 1) / size).cast("long")
+    inside = lambda b: F.greatest(F.lit(0), F.least(end, b * size + taken_from(b)) - F.greatest(at, b * size)).cast("long")
+    more = F.when(F.col("extra") > 0, F.aggregate(F.sequence(b0, b1), F.lit(0).cast("long"), lambda a, b: a + inside(b))).otherwise(F.lit(0))
+    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("copies") * F.col("size") + more)
     return out.withColumn("taken", taken.cast("long"))
 
 
-def chosen(block: Column) -> Column:
-    """True where the seeded permutation puts a block among those taken once more."""
-    place = F.pmod(block * F.col("multiplier") + F.col("offset"), F.col("blocks"))
-    return place < F.pmod(F.col("quota"), F.col("blocks"))
+def _blocks() -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block_words"))).cast("long")
+
+
+def taken_from(block: Column) -> Column:
+    """How many words at the start of a block are taken once more: all of those the seeded permutation puts first, part of the last."""
+    blocks, size = _blocks(), F.col("block_words")
+    place = lambda b: F.pmod(b * F.col("multiplier") + F.col("offset"), blocks)
+    before = place(block) * size - F.when(place(block) > place(blocks - 1), blocks * size - F.col("shard_size")).otherwise(F.lit(0))
+    return F.least(F.greatest(F.col("extra") - before, F.lit(0)), size)
 
 
 def copies_of_word(word: Column) -> Column:
     """How often the mix takes the word of this 0-based index; needs the layout columns of mix()."""
-    block = F.floor((F.col("first_word") + word) / F.col("block_words")).cast("long")
-    return F.floor(F.col("quota") / F.col("blocks")).cast("long") + F.when(chosen(block), F.lit(1)).otherwise(F.lit(0))
+    at = F.col("first_word") + word
+    block = F.floor(at / F.col("block_words")).cast("long")
+    return F.col("copies") + F.when(at - block * F.col("block_words") < taken_from(block), F.lit(1)).otherwise(F.lit(0))
