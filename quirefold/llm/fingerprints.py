@@ -69,10 +69,13 @@ def with_neighbour(docs: DataFrame, buckets: int | None = None, k: int = K) -> D
     """(doc_id, text, sketch, next_text, next_sketch): each row and the next by doc_id, the last one's next being the first.
 
     Rows are dealt into `buckets` ranges of doc_id, one exchange of the texts. The first row of each range is also
-    put behind the last row of the range before, so no task sees more than its range.
+    put behind the last row of the range before, so no task sees more than its range. Unless told, a range holds about 32 MB of
+    text, and there are 4,096 at most: beyond 128 GB ranges grow, and stream through their tasks.
     """
     spark = docs.sparkSession
-    buckets = buckets or shuffle_width(spark)
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
+        buckets = min(4096, shuffle_width(spark, -(-size // (32 << 20))))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("_key"))
     edges = rows.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets).alias("e")).first()["e"] or []

@@ -10,7 +10,7 @@ rows share costs no more than another. Classes are dealt into index blocks and q
 binary rows of bounded size; every query block meets every index block, and the few best of each are merged.
 
 Defined results: neighbours are ordered by distance, then id; a row is not its own neighbour, other rows with its code are;
-null vectors are neither found nor asked for; null and NaN dimensions count as 0 bits; vectors may be shorter than `bits`;
+null vectors are neither found nor asked for; null and NaN dimensions count as 0 bits; vectors may be shorter than `bits`, longer ones fail;
 null ids are left out; repeated ids count once; fewer than k other rows give fewer neighbours; an empty table gives no rows.
 """
 
@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialize
+from quirefold.llm.common import materialize, shuffle_width, small_batches
 
 FOUND = "query_code long, code long, distance int, ids array<long>"
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
-    """The sign bits of the first 64 dimensions as a long."""
-    places = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    """The sign bits of the dimensions as a long; a vector of more than `bits` (64 at most) dimensions fails."""
+    whole = F.when(F.size(vector) > bits, F.raise_error(F.lit("a vector has more dimensions than its code has bits")).cast("array<double>")).otherwise(vector.cast("array<double>"))
+    places = F.transform(whole, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.when(vector.isNotNull(), F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
@@ -57,8 +58,8 @@ class MultiIndex:
             self._masks[r] = np.array([sum(1 << b for b in c) for c in combinations(range(self.width), r)], np.int64)
         return self._masks[r]
 
-    def search(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) of the k nearest codes, ties by first id."""
+    def search(self, query: int, k: int, bound: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(places, distances) of the k nearest codes, ties by first id; of codes beyond distance `bound` some may be missing."""
         q = np.array([query], np.int64).view(np.uint64)[0]
         k = min(k, len(self.codes))
         found, distance = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,13 +76,14 @@ class MultiIndex:
                 new = np.setdiff1d(np.concatenate(hits), found)
                 found = np.concatenate([found, new])
                 distance = np.concatenate([distance, np.bitwise_count(self.codes[new] ^ q).astype(np.int64)])
-            if len(found) >= k and k and np.partition(distance, k - 1)[k - 1] <= self.m * (r + 1) - 1:
+            reach = self.m * (r + 1) - 1
+            if reach >= bound or len(found) >= k and k and np.partition(distance, k - 1)[k - 1] <= reach:
                 break
         best = np.lexsort((self.first_ids[found], distance))[:k]
         return found[best], distance[best]
 
 
-def nearest(rows: DataFrame, id_column: str, code: Column, is_query: Column, k: int = 10, segments: int = 4, index_block: int = 200_000, query_block: int = 20_000) -> DataFrame:
+def nearest(rows: DataFrame, id_column: str, code: Column, is_query: Column, k: int = 10, segments: int = 4, index_block: int | None = None, query_block: int = 20_000) -> DataFrame:
     """(query_id, neighbour_id, distance, rank) for the rows that is_query holds for."""
     coded = rows.select(F.col(id_column).cast("long").alias("id"), code.alias("code"), F.coalesce(is_query, F.lit(False)).alias("q"))
     coded = materialize(coded.where("id is not null and code is not null").distinct(), "codes")
@@ -91,26 +93,34 @@ def nearest(rows: DataFrame, id_column: str, code: Column, is_query: Column, k:
     queries = coded.where("q").select("id", "code")
     asked = queries.select("code").distinct()
     n, m = classes.count(), asked.count()
+    # Enough blocks to keep the cluster busy, none so large that a task can't hold it; few rounds over the queries.
+    index_block = index_block or max(5_000, min(1_000_000, -(-n // (2 * shuffle_width(rows.sparkSession)))))
     n_index, n_query = max(1, -(-n // index_block)), max(1, -(-m // query_block))
     index = classes.withColumn("i", F.pmod(F.xxhash64("code"), F.lit(n_index)).cast("int")).groupBy("i").agg(F.collect_list(F.struct("code", "ids")).alias("held"))
     asks = asked.withColumn("j", F.pmod(F.xxhash64("code"), F.lit(n_query)).cast("int")).groupBy("j").agg(F.collect_list("code").alias("asked"))
     met = index.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1)))).join(asks, "j").select("held", "asked")
 
     def run(batches):
+        kth: dict[int, int] = {}  # of the queries this task has met: their k-th distance in other blocks
         for batch in batches:
+            if len(kth) > 1_000_000:
+                kth.clear()
             for held, asked_codes in zip(batch.column("held"), batch.column("asked"), strict=True):
                 codes = held.values.field("code").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ids = held.values.field("ids").to_pylist()
                 table = MultiIndex(codes, np.array([x[0] for x in ids], np.int64), segments)
                 out = []
                 for q in asked_codes.values.to_pylist():
-                    at, distance = table.search(q, k + 1)
+                    at, distance = table.search(q, k + 1, kth.get(q, 64))
+                    if len(distance) > k:
+                        kth[q] = min(kth.get(q, 64), int(distance[k]))
                     out += [(q, int(codes[p].view(np.int64)), d, ids[p]) for p, d in zip(at.tolist(), distance.tolist(), strict=True)]
                 for a in range(0, len(out), 20_000):
                     part = out[a : a + 20_000]
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
                     yield pa.record_batch([pa.array([r[c] for r in part], t) for c, t in enumerate(kinds)], names=["query_code", "code", "distance", "ids"])
 
+    small_batches(rows.sparkSession)
     found = met.mapInArrow(run, FOUND)
     best = F.row_number().over(Window.partitionBy("query_code").orderBy("distance", F.col("ids")[0]))
     kept = found.withColumn("nth", best).where(F.col("nth") <= k + 1).select("query_code", "distance", F.explode("ids").alias("neighbour_id"))

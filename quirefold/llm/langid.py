@@ -7,10 +7,11 @@ letters of the labelled text have symbols of their own, the rest share one that
 
 The automata become one dense table whose entry for (state, symbol) holds the next state after restarting where the match
 ends, and how many phrases ended. So all texts of a batch advance together, one symbol of each at a
-time. Texts are parsed in segments of `segment` symbols, which adds at most one phrase per segment and language alike.
+time. Texts over `segment` symbols are parsed in segments, which adds at most one phrase per segment and language alike.
 
-The fit reads a bounded sample: about `docs_per_lang` labelled rows a language, dealt by a hash of doc_id, at most
-`excerpt` characters of each and `total_chars` over all languages. Prediction reads whole texts and nothing but texts.
+The fit reads a bounded sample: the `max_langs` commonest languages, of each at most 2 * `docs_per_lang` labelled rows in the
+order of a hash of the row, at most `excerpt` characters of each row, and `total_chars` over all languages in equal shares,
+which bounds the table whatever the number of languages. Prediction reads whole texts and nothing but texts.
 
 Defined results: null texts and texts without a letter give `und` with score 0; ties go to the language that sorts first; without
 labelled rows everything is `und`; repeated rows get equal results; an empty table gives no rows; input columns named
@@ -26,10 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirefold.llm.common import small_batches
+
 SPACE, OTHER, FIRST = 0, 1, 2
 
 
@@ -117,7 +120,7 @@ def build(samples: dict[str, list[str]], letters: int = 46) -> Model:
     return Model(langs, np.array(bits), np.array(roots, np.int64), table, symbols)
 
 
-def entropies(model: Model, texts: list[str], segment: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def entropies(model: Model, texts: list[str], segment: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(texts, languages) bits per symbol, and which texts have a letter."""
     reads = [_read(t, model.symbols) for t in texts]
     lettered = np.array([bool((r != SPACE).any()) for r in reads])
@@ -127,6 +130,7 @@ def entropies(model: Model, texts: list[str], segment: int = 256) -> tuple[np.nd
     width, n = model.table.shape[1], len(model.langs)
     phrases = np.zeros((len(texts), n))
     if len(owner) and n:
+        segment = min(segment, int(lengths.max()))
         grid = np.zeros((len(owner), segment), np.uint8)
         size = np.full(len(owner), segment, np.int64)
         at = 0
@@ -151,28 +155,32 @@ def entropies(model: Model, texts: list[str], segment: int = 256) -> tuple[np.nd
     return phrases * model.bits[None, :] / np.maximum(lengths, 1)[:, None], lettered
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 300, excerpt: int = 1000, total_chars: int = 120_000) -> Model:
+def fit(labelled: DataFrame, docs_per_lang: int = 300, excerpt: int = 1000, total_chars: int = 120_000, max_langs: int = 200) -> Model:
     """labelled: doc_id, text, lang. Only the bounded sample described above reaches the driver."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return build({})
-    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1_000_000_007)) / 1_000_000_007
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
     held = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
-    held = held.select("lang", "draw", F.substring("text", 1, excerpt).alias("text")).where(F.length(F.trim("text")) > 0)
-    each = max(2_000, total_chars // len(counts))
+    held = held.select("lang", "draw", F.substring("text", 1, excerpt).alias("text")).where(F.length(F.trim("text")) > 0).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))  # of the sample: some docs_per_lang rows of a language
+    held = held.withColumn("nth", nth).where(F.col("nth") <= 2 * docs_per_lang)
+    each = max(1, total_chars // len(counts))
     samples: dict[str, list[str]] = {}
     used: Counter = Counter()
-    for r in held.limit(4 * docs_per_lang * len(counts)).sort("lang", "draw", "text").toLocalIterator():
+    for r in held.sort("lang", "nth").toLocalIterator():
         if used[r["lang"]] < each:
             samples.setdefault(r["lang"], []).append(r["text"][: each - used[r["lang"]]])
             used[r["lang"]] += len(r["text"])
     return build({k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)})
 
 
-def predict(docs: DataFrame, model: Model, segment: int = 256, batch_chars: int = 4_000_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, segment: int = 4096, batch_chars: int = 4_000_000) -> DataFrame:
     """docs with lang_pred and score."""
+    small_batches(docs.sparkSession)
     keep = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s total_chars
 
