@@ -2,18 +2,35 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Rows are told apart
 by a hash of all their columns, so null and repeated doc_ids are handled like any other; equal rows are copies of each other.
-A stage begins by deleting the tables that earlier stages left in the shared folder, but for what its docs read.
+A stage begins by deleting the tables that earlier stages of the same run left in the shared folder, but for what its docs read;
+tables of other queries and runs stay. Stages called outside run() count as one run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import jaccard_join, langid, mixing, packing, pii
-from quirefold.llm.common import WORD, bucket_of, drop_tables, materialize
+from quirefold.llm.common import WORD, bucket_of, drop_tables, made_in, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_OUTSIDE: list[str] = []
+_RUN: ContextVar[list[str]] = ContextVar("_RUN", default=_OUTSIDE)
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _RUN.get(), docs)
+        with made_in(_RUN.get()):
+            return f(spark, docs, sf_dir)
+
+    return call
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -21,17 +38,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told; gives documents without a language the predicted one."""
-    drop_tables(spark, docs)
+    """Drops documents in which no language can be told; the others get the language that their text has, whatever their label said."""
     model = langid.fit(docs.where(bucket_of(F.col("doc_id"), 3) != 1))
     judged = langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return judged.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of documents alike to 0.8 or more in five-word shingles the one with the smallest doc_id."""
-    drop_tables(spark, docs)
     rows = _keyed(docs)
     found = jaccard_join.join_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80, width=5)
     found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
@@ -40,24 +57,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row", *COLUMNS]).select(*COLUMNS)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Generalises personal data and removes terms that give it away."""
-    drop_tables(spark, docs)
     found = pii.find(docs.select(*COLUMNS)).withColumn("text", pii.clean(F.col("text"), F.col("spans")))
     return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with as many copies of its words as the mix takes: whole copies, then the words of further blocks.
 
     Copies are parts of one text, divided by an empty line; documents of which nothing is taken go.
     """
-    drop_tables(spark, docs)
     rows = _keyed(docs)
     plan = mixing.mix(rows.select(F.col("_row").alias("doc_id"), "text", "source"))
-    plan = plan.dropDuplicates(["doc_id"]).where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "first_word", "blocks", "quota", "offset", "multiplier", "block_words", "taken")
+    plan = plan.dropDuplicates(["doc_id"]).where("taken > 0").select(F.col("doc_id").alias("_row"), "size", "first_word", "shard_size", "copies", "extra", "offset", "multiplier", "block_words", "taken")
     both = rows.join(plan, "_row")
-    whole = F.floor(F.col("quota") / F.col("blocks")).cast("int")
+    whole = F.col("copies").cast("int")
     extra = F.col("taken") - whole * F.col("size")
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     picked = F.array_join(F.filter(words, lambda w, i: mixing.copies_of_word(i) > whole), "")
@@ -66,11 +83,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     import public_tokenizers
 
-    drop_tables(spark, docs)
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cut="before_space", end_id=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -83,6 +100,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    made: list[str] = []
+    before = _RUN.set(made)
+    try:
+        for name, stage in STAGES[:-1]:
+            done = stage(spark, docs, sf_dir)
+            with made_in(made):
+                docs = materialize(done, f"pipeline-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _RUN.reset(before)
