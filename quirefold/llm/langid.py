@@ -182,6 +182,9 @@ def predict(docs: DataFrame, model: Model, segment: int = 4096, batch_chars: int
     """docs with lang_pred and score."""
     small_batches(docs.sparkSession)
     keep = docs.drop("lang_pred", "score")
+    names = keep.columns
+    at_text = [c.lower() for c in names].index("text")
+    keep = keep.toDF(*[f"c{k}" for k in range(len(names))])  # names may hold dots
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s total_chars
 
     def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -198,7 +201,7 @@ def predict(docs: DataFrame, model: Model, segment: int = 4096, batch_chars: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(at_text).to_pylist()
             at = 0
             while at < len(texts):
                 end, chars = at, 0
@@ -210,4 +213,4 @@ def predict(docs: DataFrame, model: Model, segment: int = 4096, batch_chars: int
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
                 at = end
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")

@@ -4,7 +4,7 @@ Each document's ids get an end id and are cut into pieces of at most `length`. A
 tokens of neighbouring documents is packed at a time, so no shuffle is needed and memory is bounded.
 A group of T tokens opens ceil(T / length) sequences. Pieces go in descending length to the sequence of lowest cost
 (linear plus quadratic: a * n + b * n * n per piece of n ids) that has room; a piece that fits nowhere is
-cut to fill the sequence with most room. So only one sequence of a group can be short of `length`.
+cut to fill the sequence with most room. So the sequences of a group leave less than one `length` empty in all.
 
 Defined results: null text is empty, so it gives the end id alone; repeated rows are packed separately; a null doc_id
 stays null; ties of cost go to the lower sequence number, ties of length to the earlier piece; very long

@@ -151,7 +151,8 @@ def find(docs: DataFrame, support: int = 3, threshold: float = 0.9, doubt: float
     joined = with_base(rows).join(told, "text_key", "left")
     found = _located(F.col("text"), r"\p{L}{3,}+", "term", F.col("terms").isNotNull(), lambda m: F.array_contains("terms", F.lower(m)))
     clear = F.filter(found, lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return joined.select(*[F.col("row")[c].alias(c) for c in kept], "base_spans", F.sort_array(F.concat("base_spans", clear)).alias("spans"))
+    out = joined.select("row", "base_spans", F.sort_array(F.concat("base_spans", clear)).alias("spans"))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "base_spans", "spans")
 
 
 def clean(text: Column, spans: Column) -> Column:
