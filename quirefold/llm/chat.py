@@ -32,18 +32,13 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _merge(turns: Column) -> Column:
-    """Adjacent turns of one role become one block {role, parts}."""
-    block = "struct<role:string,parts:array<string>>"
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == t["role"])
-        extended = F.struct(t["role"].alias("role"), F.concat(last["parts"], F.array(t["text"])).alias("parts")).cast(block)
-        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("parts")).cast(block)
-        return F.when(same, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(extended))).otherwise(F.concat(done, F.array(fresh)))
-
-    return F.aggregate(turns, F.array().cast(f"array<{block}>"), step)
+def _merge(turns: str) -> Column:
+    """Adjacent turns of one role of a column become blocks {role, parts}: each block is cut out where the role changes, so every turn is copied once."""
+    n = F.size(turns)
+    starts = F.filter(F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i)), lambda i: i.isNotNull())
+    spans = lambda s: F.arrays_zip(s.alias("a"), F.concat(F.slice(s, 2, n), F.array(n)).alias("b"))
+    block = lambda x: F.struct(F.get(turns, x["a"])["role"].alias("role"), F.transform(F.slice(turns, x["a"] + 1, x["b"] - x["a"]), lambda t: t["text"]).alias("parts"))
+    return F.element_at(F.transform(F.array(starts), lambda s: F.transform(spans(s), block)), 1)
 
 
 def format_chats(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -52,7 +47,7 @@ def format_chats(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assis
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     turns = F.sort_array(F.collect_list(F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"))))
     grouped = conversations.groupBy("conv_id").agg(turns.alias("turns"))
-    merged = grouped.select("conv_id", _merge(F.col("turns")).alias("blocks"))
+    merged = grouped.select("conv_id", _merge("turns").alias("blocks"))
     safe = merged.select(
         "conv_id",
         F.transform("blocks", lambda b: F.struct(b["role"].alias("role"), escape(b["role"]).alias("shown"), F.transform(b["parts"], escape).alias("parts"))).alias("blocks"),
@@ -74,17 +69,21 @@ def format_chats(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assis
         return F.concat(F.array(head), body, F.array(tail))
 
     flat = safe.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-    state = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["m"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), F.length(p["s"]).cast("long").alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ).cast(state),
-        lambda a: a["spans"],
-    )
-    return flat.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
+    # Running lengths in runs of about the square root of the number of pieces, then over the runs: folds copy what they gather.
+    span = "array<struct<start:bigint,length:bigint>>"
+    n = F.size("pieces")
+    run = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(n / run).cast("int") - 1), lambda g: F.slice("pieces", g * run + 1, run))
+
+    def step(a: Column, p: Column) -> Column:
+        own = F.array(F.struct(a["at"].alias("start"), F.length(p["s"]).cast("long").alias("length")))
+        return F.struct((a["at"] + F.length(p["s"])).alias("at"), F.when(p["m"], F.concat(a["spans"], own)).otherwise(a["spans"]).alias("spans")).cast(f"struct<at:bigint,spans:{span}>")
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans"))
+    flat = flat.withColumn("local", F.transform(runs, lambda g: F.aggregate(g, begin, step)))
+    flat = flat.withColumn("bases", F.aggregate("local", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["at"]))))
+    moved = F.zip_with("local", F.slice("bases", F.lit(1), F.size("local")), lambda x, base: F.transform(x["spans"], lambda p: F.struct((p["start"] + base).alias("start"), p["length"].alias("length"))))
+    return flat.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), F.flatten(moved).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -26,6 +26,18 @@ def test_chat_round_trip(spark):
     assert merged.count("<|role|>") == 3 and merged.count("<|part|>") == 2
 
 
+def test_a_very_long_conversation(spark):
+    """Its work must not grow with the square of its turns."""
+    import time
+
+    n = 30_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    began = time.time()
+    out = chat.format_chats(df).select(chat.read_turns(F.col("formatted")).alias("t"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss")).first()
+    assert [x["text"] for x in out["t"]] == [f"t{k}" for k in range(n)] and out["loss"] == "".join(f"t{k}" for k in range(n) if k % 3)
+    assert time.time() - began < 60
+
+
 def shingles(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
