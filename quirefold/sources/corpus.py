@@ -184,7 +184,3 @@ def checkpoint(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], CHECKPOINT)
     return spark.read.schema(CHECKPOINT).json(path, multiLine=True, mode="DROPMALFORMED").where("processed_ids is not null")
-
-
-def image_rank(path: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in SHARED_EXTENSIONS]), F.regexp_extract(path, r"\.([^./]*)$", 1))
