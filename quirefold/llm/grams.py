@@ -66,7 +66,7 @@ def _run_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return _final(h * down[a]), a
 
 
-def hashed_words(texts: pa.Array, run: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, run: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, and where the words of each text begin (one more place than texts).
 
     Words are maximal runs without ASCII white space, A-Z lower-cased; null has none. Bytes go in runs that end between words.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import grams
-from quirefold.llm.common import materialize, small_batches
+from quirefold.llm.common import materialize, release_memory, small_batches
 from quirefold.llm.components import components
 
 RECORD = "doc_id long, n_shingles long, class string, grp string, prefix array<long>, shingles binary"
@@ -73,6 +73,7 @@ def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_t
     grouped = rows.groupBy("block")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
+        release_memory()  # what the group before has freed
         sets = shingle_sets(table.column("text"), width)
         every = np.concatenate(sets)
         values, counts = _runs(np.sort(every))
@@ -87,6 +88,7 @@ def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_t
     sent = grouped.applyInArrow(send, "shard long, block int, keys binary, counts binary")
 
     def answer(table: pa.Table) -> pa.Table:
+        release_memory()
         lists = [grams.unpack(d, 5) for d in table.column("keys").to_pylist()]
         counts = np.concatenate([grams.expand(d, "<u4") for d in table.column("counts").to_pylist()]).astype(np.int64)
         every = np.concatenate(lists)
@@ -100,6 +102,7 @@ def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_t
     answers = sent.groupBy("shard").applyInArrow(answer, "shard long, block int, codes binary")
 
     def combine(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+        release_memory()
         sets = shingle_sets(table.column("text"), width)
         values, _ = _runs(np.sort(np.concatenate(sets)))
         order, s, cuts = _split(values, shards)
@@ -208,7 +211,9 @@ def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: i
 
     links = dealt.groupBy("label", "step", "p", "q").applyInArrow(verify, "a string, b string")
     joined = components(links).select(F.col("node").alias("class"), "label")
-    out = rows.select("doc_id", "n_shingles", "class").join(joined, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    smallest = out.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    out = out.join(smallest, "label", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
+    # Smallest ids are summed up by class, then by component, so that the rows of a large class are joined once only, by Spark's skew join.
+    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(joined, "class", "left")
+    smallest = least.where("label is not null").groupBy("label").agg(F.min("least").alias("smallest"))
+    known = least.join(smallest, "label", "left").select("class", F.coalesce("smallest", "least").alias("component_id"))
+    out = rows.where("class is not null").join(known, "class", "left").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.llm.common import small_batches
+from quirefold.llm.common import release_memory, small_batches
 
 SPACE, OTHER, FIRST = 0, 1, 2
 
@@ -97,12 +97,12 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
     return go[:count]
 
 
-def build(samples: dict[str, list[str]], letters: int = 46) -> Model:
-    """A model of labelled texts by language."""
+def build(samples: dict[str, list[str]], letters: int = 64) -> Model:
+    """A model of labelled texts by language. The table is as wide as letters occur, `letters` at most."""
     langs = sorted(samples)
     lowered = {k: [t.lower() for t in samples[k]] for k in langs}
     symbols = _symbol_table([t for k in langs for t in lowered[k]], letters)
-    width = FIRST + letters
+    width = max(FIRST, int(symbols.max()) + 1)
     tables, roots, bits, base = [], [], [], 0
     for k in langs:
         read = _read(" ".join(lowered[k]), symbols)
@@ -212,5 +212,6 @@ def predict(docs: DataFrame, model: Model, segment: int = 4096, batch_chars: int
                 part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
                 at = end
+        release_memory()
 
     return keep.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")

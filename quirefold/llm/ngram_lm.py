@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm import grams
-from quirefold.llm.common import bucket_of, small_batches
+from quirefold.llm.common import bucket_of, release_memory, small_batches
 from quirefold.llm.elias_fano import TrieShard, WordShard
 
 START, END, PAST = (np.uint64(x) for x in (0x51A7, 0xE0D, 0x9A57))
@@ -107,7 +107,7 @@ def training_size(rows: DataFrame, shards: int) -> tuple[int, int]:
     return int(total["n"] or 0), int(total["v"] or 0)
 
 
-def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight: float = 0.2, block_bytes: int = 5_000_000, shard_tokens: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight: float = 0.2, block_bytes: int = 8_000_000, shard_tokens: int = 500_000) -> DataFrame:
     """SCORED rows. held_out: a condition on doc_id and text; those rows are scored but not learnt."""
     small_batches(docs.sparkSession)
     rows, shards = grams.in_blocks(docs, block_bytes, shard_tokens)
@@ -115,6 +115,7 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
     grouped = rows.groupBy("block")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
+        release_memory()  # what the group before has freed
         block = key[0].as_py()
         _, _, tri, uni = _keys(table, shards)
         out = []
@@ -129,6 +130,7 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
     sent = grouped.applyInArrow(send, "kind int, shard long, block int, keys binary, counts binary")
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
+        release_memory()
         kind, shard = key[0].as_py(), key[1].as_py()
         blocks = table.column("block").to_pylist()
         lists = [grams.unpack(d, 8 if kind == 3 else 6) for d in table.column("keys").to_pylist()]
@@ -161,6 +163,7 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
     floor = n_train + 0.1 * (v_train + 1)
 
     def combine(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+        release_memory()
         tokens, begins, tri, uni = _keys(table, shards)
         replies = {(k, s): c for k, s, c in zip(got.column("kind").to_pylist(), got.column("shard").to_pylist(), got.column("codes").to_pylist(), strict=True)}
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quirefold.llm.common import small_batches
+from quirefold.llm.common import release_memory, small_batches
 from quirefold.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -104,6 +104,7 @@ def pack(docs: DataFrame, vocabulary: str, cut: str = "before_space", end_id: in
                         yield from flush()
         if streams:
             yield from flush()
+        release_memory()
 
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     small_batches(docs.sparkSession)

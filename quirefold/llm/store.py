@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialize, shared_dir, shuffle_width, small_batches
+from quirefold.llm.common import materialize, release_memory, shared_dir, shuffle_width, small_batches
 from quirefold.llm.tokens import encoder
 
 _STAGED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("chunk_ids", pa.list_(pa.binary())), ("chunk_lengths", pa.list_(pa.int32())), ("doc_root", pa.binary()), ("fresh", pa.list_(pa.binary()))])
@@ -128,6 +128,7 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
                         at = e
                     rows.append((key, at, names, lengths, hashlib.sha256(b"".join(names)).digest(), fresh))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STAGED, strict=True)], schema=_STAGED)
+        release_memory()
 
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     small_batches(spark)

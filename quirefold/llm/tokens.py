@@ -1,12 +1,12 @@
 """Encoding by the tokenizers library, word by word, in Arrow arrays.
 
 Both vocabularies used here split a text into pieces that are encoded on their own. A cut is made only where a border between
-pieces is certain: around a single space or line break between two characters that are not white space. So the ids
-of the words in a row are the ids of the text. Arrow splits a batch of texts into words and numbers the distinct ones; each
+pieces is certain, so the ids of the words in a row are the ids of the text. Arrow splits a batch of texts into words and numbers the distinct ones; each
 worker remembers the ids of words (a bounded number; common ones stay), and what it has not seen goes to the library in a few calls.
-Texts with other white space beside a space or line break, or with a special string of the vocabulary, are encoded whole.
+Texts with a special string of the vocabulary are encoded whole.
 
-- "before_space": byte-level pieces that carry the space before them; a line break is a piece of its own.
+- "before_space": byte-level pieces that carry the space before them; one or two line breaks between characters that are not
+  white space are a piece each. Texts with other runs of white space are encoded whole.
 - "white_space": a vocabulary with word ends that drops white space; words are what stands between spaces and line breaks.
 
 Special strings of the vocabulary in a text become their ids, as the library does unless told otherwise;
@@ -23,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: White space of Unicode in RE2 syntax: fixed value.
-SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Where cuts are not certain, or a text is empty.
-UNSAFE = rf"^[ \n]|{SPACES}[ \n]|[ \n]{SPACES}|[ \n]$|^$"
+#: White space of Unicode but for LF, in RE2 syntax: fixed value.
+BLANK = r"[\t\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Where cuts of byte-level pieces are not certain, or a text is empty.
+UNSAFE = rf"^[ \n]|[ \n]$|^$|{BLANK}[ \n]|[ \n]{BLANK}|\n\n\n"
 #: A space (start of a text), a line break or nothing; letters whose normal form and lower case are one code point each; signs.
 PLAIN = r"^(?P<lead>[ \n]?)(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?]*)$"
 #: Words that a worker remembers, some 40 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 MARK = "~"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level vocabularies write bytes as characters: printable ones as themselves, the others from 256 on.
@@ -141,12 +141,12 @@ class Encoder:
         ends = np.frombuffer(out.buffers()[1], np.int32)[out.offset : out.offset + len(out) + 1]
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends[offsets])), out.buffers()[2]])
 
-    def encode_array(self, texts: pa.Array, part_bytes: int = 6_000_000) -> list[pa.Array]:
+    def encode_array(self, texts: pa.Array, part_bytes: int = 4_000_000) -> list[pa.Array]:
         """Binary arrays with the ids of the texts in order; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         out = []
         for part in slices(texts, part_bytes):
-            odd = pc.match_substring_regex(part, UNSAFE)
+            odd = pc.equal(part, "") if self.by_words else pc.match_substring_regex(part, UNSAFE)
             for s in self.special:
                 odd = pc.or_(odd, pc.match_substring(part, s))
             n = pc.sum(odd).as_py()
