@@ -41,6 +41,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def text_files(spark: SparkSession, folder: str, name: str = "text", stripped: bool = False) -> DataFrame:
     """(id, <name>) of <folder>/*.txt, newlines unified; the legacy drivers strip the text."""
     df = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")

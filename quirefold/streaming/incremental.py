@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators.evaluate import evaluation_rows
 from quirefold.operators.plugins import QuotaExhausted, raise_if_spent
-from quirefold.sources.corpus import exists
+from quirefold.sources.corpus import exists, remove
 
 KEYS = ("method", "dataset", "model", "n_shots")
 
@@ -34,7 +34,8 @@ def evaluate_new(spark: SparkSession, documents: str, schema: str, predict: Call
     """Evaluates documents (id, gt, ...) that have no result, in micro-batches, until the input is read; returns the batches run.
 
     predict maps documents to (id, prediction, error); its rows are written before they are used, so each model call is made once.
-    Finished rows are committed even where a quota ends the run: QuotaExhausted is raised after the batch that met it.
+    Finished rows are committed even where a quota ends the run: QuotaExhausted is raised after the batch that met it. Predictions are
+    deleted once their batch is committed.
     """
     ran, failures, tried = [], f"{results}_failed", f"{checkpoint}_predictions"
 
@@ -50,10 +51,13 @@ def evaluate_new(spark: SparkSession, documents: str, schema: str, predict: Call
         return got
 
     def again() -> None:
-        failed = spark.read.parquet(failures)
+        keyed = "".join(f", {k} {'int' if isinstance(v, int) else 'string'}" for k, v in key.items())
+        failed = spark.read.schema(schema + keyed).parquet(failures)  # which may hold no file
         for k, v in key.items():
             failed = failed.where(F.col(k) == v)
-        raise_if_spent(evaluate(failed.drop(*key), f"again-{uuid.uuid4().hex}"))
+        name = f"again-{uuid.uuid4().hex}"
+        raise_if_spent(evaluate(failed.drop(*key), name))
+        remove(spark, f"{tried}/{name}")
 
     def batch(df: DataFrame, number: int) -> None:
         got = evaluate(df, f"batch-{number}")
@@ -63,6 +67,7 @@ def evaluate_new(spark: SparkSession, documents: str, schema: str, predict: Call
         failed.write.mode("append").partitionBy(*key).parquet(failures)
         ran.append(number)
         stopped.extend(r["error"] for r in got.where(F.col("error").contains(QuotaExhausted.SIGN)).select("error").head(1))
+        remove(spark, f"{tried}/batch-{number}")
 
     stopped: list[str] = []
     if exists(spark, failures):

@@ -186,6 +186,9 @@ def test_incremental(spark, tmp_path):
     incremental.evaluate_new(spark, docs, "id string, gt string", whole, str(tmp_path / "r"), str(tmp_path / "cp"), key)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "r")).collect()) == ["a", "b", "c"]  # the failed one came again
     done = spark.read.parquet(str(tmp_path / "r")).where("id <> 'c'")
+    for _ in range(2):  # a run without failures, and one after it
+        incremental.evaluate_new(spark, docs, "id string, gt string", whole, str(tmp_path / "r2"), str(tmp_path / "cp2"), key)
+    assert spark.read.parquet(str(tmp_path / "r2")).count() == 3 and not list((tmp_path / "cp2_predictions").glob("*"))
     state = sinks.checkpoint_state(done).first()
     assert state["processed_ids"] == ["a", "b"] and state["sums"]["wer"] == 0.0
 
