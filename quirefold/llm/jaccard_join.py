@@ -188,6 +188,7 @@ def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: i
     steps = materialize(classes.groupBy("label", "step").agg(F.count(F.lit(1)).alias("m")), "join-steps")
     after = steps.select("label", (F.col("step") - 1).alias("step"), F.col("m").alias("m_next"))
     steps = steps.join(after, ["label", "step"], "left").withColumn("parts", F.ceil(F.col("m") / chunk).cast("int")).withColumn("parts_next", F.ceil(F.coalesce("m_next", F.lit(0)) / chunk).cast("int"))
+    steps = materialize(steps, "join-parts")  # a table, so that Spark can split a large label in the joins with it
     part = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
     # A class sits in the pairs of its own step (p <= q) and, as the larger one, in those with the step before it.
     here = classes.select("class", "label", "step").join(steps.where("m > 1 or m_next > 0").select("label", "step", "m", "parts", "parts_next"), ["label", "step"])
