@@ -108,7 +108,7 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (((h & LOW) * np.uint64(shards)) >> np.uint64(24)).astype(np.int64)
+    return (((h & LOW) * np.uint64(shards)) >> np.uint64(24)).astype(np.int32)
 
 
 def in_blocks(docs: DataFrame, block_bytes: int, shard_tokens: int) -> tuple[DataFrame, int]:

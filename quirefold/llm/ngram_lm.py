@@ -50,7 +50,7 @@ def _keys(table: pa.Table, shards: int):
     """Token hashes of a block (an end behind each text), where each text's begin, and per trigram and per token: (shard, key, 1 if learnt)."""
     words, edges = grams.hashed_words(table.column("text"))
     n = len(edges) - 1
-    number = np.repeat(np.arange(n), np.diff(edges) + 1)
+    number = np.repeat(np.arange(n, dtype=np.int32), np.diff(edges) + 1)
     tokens = np.full(len(number), END)
     ends = edges[1:] + np.arange(n)
     is_word = np.ones(len(number), bool)
@@ -64,7 +64,9 @@ def _keys(table: pa.Table, shards: int):
     first = np.arange(len(tokens) + n) + 2 * np.repeat(np.arange(n), np.diff(begins) + 1)
     pair = grams.mix(line[first], line[first + 1])
     learnt = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-    tri = ((pair >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (line[first + 2] >> np.uint64(64 - WORD_BITS))
+    last = line[first + 2]
+    del line, first, words, is_word
+    tri = ((pair >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (last >> np.uint64(64 - WORD_BITS))
     return tokens, begins, (grams.shard_of(pair, shards), tri, np.repeat(learnt, np.diff(begins) + 1)), (grams.shard_of(tokens, shards), tokens >> np.uint64(16), learnt[number])
 
 
@@ -176,7 +178,9 @@ def score(docs: DataFrame, held_out: Column, discount: float = 0.8, pair_weight:
             return out
 
         codes = gather(3, *tri[:2], lambda d: grams.expand(d, "u1", 3))
+        del tri
         c = gather(1, *uni[:2], lambda d: grams.expand(d, "<i8")).astype(np.float64)
+        del uni, replies
         n = len(begins) - 1
         size = np.diff(begins)
         at = np.arange(len(tokens)) + np.repeat(np.arange(n), size)  # of a token's own trigram; the next one has it as second word
