@@ -67,6 +67,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(_table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d
+), x AS (SELECT doc_id, unnest(g) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 90 * (len(sa.g) + len(sb.g) - n)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT sides.b, reached.c FROM reached JOIN sides ON sides.a = reached.doc_id WHERE reached.c < sides.b)
+SELECT s.doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(c) AS component_id FROM s JOIN reached ON reached.doc_id = s.doc_id GROUP BY s.doc_id
+"""
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.with_neighbour(_table(spark, sf_dir, "documents"))
     n = F.length("text")
@@ -137,4 +151,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op9_hamming_topk": OP9_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_hamming_topk": OP9_SQL}
