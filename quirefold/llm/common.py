@@ -65,12 +65,15 @@ def drop_tables(spark: SparkSession, tables: list[str], but_for: DataFrame | Non
             tables.remove(path)
 
 
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Lowers the session's Arrow batches to `size` bytes: 10,000 long texts at once fill an executor."""
+def small_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 512) -> None:
+    """Lowers the session's Arrow batches to `size` bytes and the vectors of its Parquet reader to `rows` rows: 10,000 long texts at once, or
+    the 4,096 of a vector, are tens of megabytes in one piece for each task."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if now > size or now <= 0:
         spark.conf.set(key, str(size))
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > rows:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 @lru_cache(maxsize=1)

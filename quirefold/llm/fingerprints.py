@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import shuffle_width, split_words
+from quirefold.llm.common import shuffle_width, small_batches, split_words
 
 WIDTH, K = 5, 128
 _LOW = -(2**63)
@@ -73,6 +73,7 @@ def with_neighbour(docs: DataFrame, buckets: int | None = None, k: int = K) -> D
     text, and there are 4,096 at most: beyond 128 GB ranges grow, and stream through their tasks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if buckets is None:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
         buckets = min(4096, shuffle_width(spark, -(-size // (32 << 20))))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import materialize, word_count
+from quirefold.llm.common import materialize, small_batches, word_count
 
 #: Weights dealt to the sources in turn: fixed values.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -88,6 +88,7 @@ def mix(
 
     copies_of_word() turns the layout columns into the number of times the mix takes a word of the document.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     narrow = materialize(narrow, "mix-sizes")
     sources = materialize(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), budget, cap, weights), "mix-sources")
