@@ -93,8 +93,8 @@ def nearest(rows: DataFrame, id_column: str, code: Column, is_query: Column, k:
     queries = coded.where("q").select("id", "code")
     asked = queries.select("code").distinct()
     n, m = classes.count(), asked.count()
-    # Enough blocks to keep the cluster busy, none so large that a task can't hold it; few rounds over the queries.
-    index_block = index_block or max(5_000, min(1_000_000, -(-n // (2 * shuffle_width(rows.sparkSession)))))
+    # Blocks grow with the table up to what a task can hold: each one costs every query a search of its own.
+    index_block = index_block or max(200_000, min(1_000_000, -(-n // (2 * shuffle_width(rows.sparkSession)))))
     n_index, n_query = max(1, -(-n // index_block)), max(1, -(-m // query_block))
     index = classes.withColumn("i", F.pmod(F.xxhash64("code"), F.lit(n_index)).cast("int")).groupBy("i").agg(F.collect_list(F.struct("code", "ids")).alias("held"))
     asks = asked.withColumn("j", F.pmod(F.xxhash64("code"), F.lit(n_query)).cast("int")).groupBy("j").agg(F.collect_list("code").alias("asked"))
