@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, fingerprints, hamming, jaccard_join, langid, mixing, ngram_lm, packing, pii, store
+from quirefold.llm import chat, fingerprints, hamming, jaccard_join, langid, mixing, ngram_lm, packing, phrases, pii, store
 from quirefold.llm.common import bucket_of
 
 
@@ -146,9 +146,34 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 6) AS r(m)
+), c AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM f GROUP BY ALL HAVING count(*) >= 100),
+cut AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, k, array_to_string(string_split(c.phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') AS y FROM c, range(1, 5) AS r(k) WHERE k < c.m
+), s AS (
+  SELECT cut.*, cx.f AS l, cy.f AS r, n.n, 1000 * a * n.n // (cx.f * cy.f) AS score
+  FROM cut JOIN c cx ON cx.lang = cut.lang AND cx.phrase = x JOIN c cy ON cy.lang = cut.lang AND cy.phrase = y JOIN n ON n.lang = cut.lang
+), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND c.f >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_hamming_topk": op9_hamming_topk, "op10_pack": op10_pack}
+    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_hamming_topk": op9_hamming_topk, "op10_pack": op10_pack, "op13_phrases": op13_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_hamming_topk": OP9_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_hamming_topk": OP9_SQL, "op13_phrases": OP13_SQL}
