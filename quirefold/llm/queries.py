@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, fingerprints, hamming, jaccard_join, langid, mixing, ngram_lm, packing, phrases, pii, store
+from quirefold.llm import chat, fingerprints, hamming, jaccard_join, langid, mixing, ngram_lm, packing, phrases, pii, prefix_trie, store
 from quirefold.llm.common import bucket_of
 
 
@@ -146,6 +146,48 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.numbered(_table(spark, sf_dir, "conversations"))
+    keep = F.pmod(F.crc32(F.col("c").cast("string").cast("binary")), F.lit(6))
+    trie = prefix_trie.build(*prefix_trie.splice(turns, convs, F.col("c") - F.col("c") % 100, keep, most=5))
+    out = trie.nodes.join(prefix_trie.end_digests(trie), prefix_trie.NODE, "left")
+    counts = ["depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return out.select("conv_id", *counts, F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, length(coalesce(text, '')) AS n_chars
+  FROM conversations
+), v AS (
+  SELECT c, c - c % 100 AS b, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda s, x: list_reduce(list_prepend(xor(s, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)
+),
+r AS (
+  SELECT v.c, 0 AS own, t.pos, t.said, t.n_chars FROM v JOIN t ON t.c = v.b AND t.pos <= v.h
+  UNION ALL SELECT v.c, 1, t.pos, t.said, t.n_chars FROM v JOIN t ON t.c = v.c AND t.pos > v.h
+), d AS (
+  SELECT c, row_number() OVER w AS depth, sha256(string_agg(said, '') OVER (w ROWS UNBOUNDED PRECEDING)) AS node, n_chars FROM r WINDOW w AS (PARTITION BY c ORDER BY own, pos)
+  UNION ALL SELECT c, 0, 'root', 0 FROM v
+), u AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS up, lead(node) OVER (PARTITION BY c ORDER BY depth) IS NULL AS ends FROM d),
+n AS (
+  SELECT node, any_value(depth) AS depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(n_chars) AS n_chars,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM u GROUP BY node
+), k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.node AS top, x.node FROM u AS a JOIN u AS x ON x.c = a.c AND x.depth >= a.depth),
+s AS (
+  SELECT top, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.n_chars) AS saved_tokens
+  FROM below JOIN n ON n.node = below.node LEFT JOIN k ON k.node = below.node GROUP BY top
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.top = n.node LEFT JOIN k ON k.node = n.node LEFT JOIN n AS p ON p.node = n.up
+"""
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents"))
 
@@ -172,8 +214,8 @@ SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_hamming_topk": op9_hamming_topk, "op10_pack": op10_pack, "op13_phrases": op13_phrases}
+    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_hamming_topk": op9_hamming_topk, "op10_pack": op10_pack, "op12_prefix_trie": op12_prefix_trie, "op13_phrases": op13_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_hamming_topk": OP9_SQL, "op13_phrases": OP13_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_hamming_topk": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_phrases": OP13_SQL}
