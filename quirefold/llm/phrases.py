@@ -251,12 +251,11 @@ def _part(words: Column, start: Column | int, size: Column) -> Column:
     return F.array_join(F.slice(words, F.lit(start), size), " ")
 
 
-def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 2000, **sketch: int) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 words and more.
+def scored(counts: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, a, score, k, l, r, n) of the phrases in COUNTS of 2 words and more, without those that a longer one explains.
 
     score: the least floor(1000 a n / (l r)) of the cuts; exact while 1000 n and all counts are below 10^19.
     """
-    counts = count_phrases(docs, min_count, longest, **sketch)
     words = F.split("phrase", " ")
     found = counts.where("n_words >= 2").withColumnRenamed("f", "a")
     every = counts.where("n_words >= 1")
@@ -264,15 +263,23 @@ def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 200
     cuts = cuts.select("lang", "phrase", "a", "k", _part(words, 1, F.col("k")).alias("left"), _part(words, F.col("k") + 1, F.col("n_words") - F.col("k")).alias("right"))
     cuts = cuts.join(every.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(every.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     totals = counts.where("n_words = 0").select("lang", F.col("f").alias("n"))
-    quotient = F.expr("((cast(a as decimal(19,0)) * cast(1000 * n as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))))")
+    quotient = F.expr("(cast(a as decimal(19,0)) * cast(1000 * n as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     cuts = cuts.join(totals, "lang").withColumn("score", quotient.cast("long"))
-    best = F.min(F.struct("score", "k", "l", "r", "n")).alias("cut")
-    scored = cuts.groupBy("lang", "phrase", "a").agg(best).select("lang", "phrase", "a", "cut.*")
+    out = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r", "n")).alias("cut")).select("lang", "phrase", "a", "cut.*")
     inside = [F.when(F.col("n_words") > j, F.when(F.col("n_words") >= i + j - 1, _part(words, i, F.lit(j)))) for j in range(2, longest) for i in range(1, longest - j + 2)]
-    if inside:
-        within = found.select("lang", F.explode(F.array_distinct(F.array_compact(F.array(*inside)))).alias("phrase"), "a")
-        scored = scored.join(within.groupBy("lang", "phrase").agg(F.max("a").alias("within")), ["lang", "phrase"], "left").where("within is null or within < a")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    if not inside:
+        return out
+    within = found.select("lang", F.explode(F.array_distinct(F.array_compact(F.array(*inside)))).alias("phrase"), "a")
+    within = within.groupBy("lang", "phrase").agg(F.max("a").alias("within"))
+    return out.join(within, ["lang", "phrase"], "left").where("within is null or within < a").drop("within")
+
 
+def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 2000, **sketch: int) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 words and more."""
+    found = scored(count_phrases(docs, min_count, longest, **sketch), longest)
+    # The best of 64 parts of a language first, so that no task sorts all phrases of one.
+    best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*best))).where(F.col("place") <= top)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

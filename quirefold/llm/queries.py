@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import chat, fingerprints, hamming, jaccard_join, langid, mixing, ngram_lm, packing, phrases, pii, prefix_trie, store
+from quirefold.llm import chat, fingerprints, hamming, jaccard_join, langid, license_scan, mixing, ngram_lm, packing, phrases, pii, prefix_trie, store
 from quirefold.llm.common import bucket_of
 
 
@@ -146,6 +146,36 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    """Every block of every document against every template."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in sorted(ws)) + "]"
+    templates = ", ".join(f"({k}, '{t.label}', {quoted(t.words)}, {t.span}, {t.least})" for k, t in enumerate(license_scan.templates_of(license_scan.TEMPLATES, 90)))
+    phrases = ", ".join("(" + "[" + ", ".join(f"'{w}'" for w in p.split()) + "]" + f", '{label}')" for p, label in license_scan.PHRASES)
+    return rf"""
+WITH t(k, label, toks, span, least) AS (VALUES {templates}), q(ws, label) AS (VALUES {phrases}),
+w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), p AS (SELECT doc_id, q.label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(q.ws)] = q.ws)) AS place FROM w, q),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS ls FROM p GROUP BY doc_id),
+b AS (SELECT doc_id, span, unnest(range(0, CAST(ceil(len(w) / span) AS BIGINT))) AS block, w FROM w, (SELECT DISTINCT span FROM t)),
+m AS (SELECT doc_id, b.span, block, k, label, toks, least, len(list_intersect(list_distinct(w[block * b.span + 1:(block + 2) * b.span]), toks)) AS common FROM b JOIN t ON t.span = b.span),
+g AS (SELECT * FROM m WHERE common >= least),
+u AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g AS x WHERE x.doc_id = g.doc_id AND x.span = g.span AND x.block = g.block AND len(x.toks) > len(g.toks) AND list_has_all(x.toks, g.toks))),
+found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(common / len(toks)) AS best FROM u GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(found.ls, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0) END::DOUBLE AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN found ON found.doc_id = w.doc_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, convs = prefix_trie.numbered(_table(spark, sf_dir, "conversations"))
     keep = F.pmod(F.crc32(F.col("c").cast("string").cast("binary")), F.lit(6))
@@ -214,8 +244,8 @@ SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_hamming_topk": op9_hamming_topk, "op10_pack": op10_pack, "op12_prefix_trie": op12_prefix_trie, "op13_phrases": op13_phrases}
+    return {"op1_lm_score": op1_lm_score, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_fingerprints": op4_fingerprints, "op5_id_store": op5_id_store, "op6_mix_sources": op6_mix_sources, "op7_language_id": op7_language_id, "op8_pii": op8_pii, "op9_hamming_topk": op9_hamming_topk, "op10_pack": op10_pack, "op11_license_scan": op11_license_scan, "op12_prefix_trie": op12_prefix_trie, "op13_phrases": op13_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_hamming_topk": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_phrases": OP13_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op9_hamming_topk": OP9_SQL, "op11_license_scan": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_phrases": OP13_SQL}
