@@ -133,11 +133,12 @@ class Phrases:
                 ids, pairs = pd.factorize(before[place] * max(1, len(one)) + words[place + (m - 1)])
                 h = grams.mix(h[pairs // max(1, len(one))], one[pairs % max(1, len(one))])
             count = np.bincount(ids, None if plain else weights[place], len(h)).astype(np.int64)
-            first = np.zeros(len(h), np.int64)
+            first = np.zeros(len(h), np.int32)
             first[ids[::-1]] = place[::-1]
-            prefix, suffix = (before[first], before[first + 1]) if m > 1 else (None, None)
+            prefix, suffix = (before[first].astype(np.int32), before[first + 1].astype(np.int32)) if m > 1 else (None, None)
             before = np.full(k, -1, np.int64)
             before[place] = ids
+            del ids
             self.levels.append((h, count, first, prefix, suffix))
 
     def hashes(self) -> np.ndarray:
@@ -174,7 +175,7 @@ def _squeeze(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def count_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, block_bytes: int = 6 << 20, load: int = 20) -> DataFrame:
+def count_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, block_bytes: int = 3 << 20, load: int = 20) -> DataFrame:
     """COUNTS of all phrases of 1 to `longest` words that occur min_count times or more in a language; n_words 0: all its words.
 
     load: the phrases (each time they occur) that share a counter, on average.
@@ -192,13 +193,20 @@ def count_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, block
     def sketch(found: Phrases, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Counters touched in order, where each phrase's counter stands among them, sums up to min_count, cuts between slices."""
         at = _counters(found.hashes(), row, width)
-        touched, where = np.unique(at, return_inverse=True)
+        order = np.argsort(at)
+        at = at[order]
+        new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
+        touched, where = at[new], np.empty(len(at), np.int32)
+        del at
+        where[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
         sums = np.minimum(np.bincount(where, found.counts(), len(touched)), min_count).astype(np.uint32 if min_count > 255 else np.uint8)
         return touched, where, sums, np.searchsorted(touched, np.arange(slices + 1) * piece)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch["block"].to_pylist(), batch["body"], strict=True):
+                found, out = None, None
                 release_memory()
                 found, out = Phrases(body.as_py(), longest), []
                 for row in range(ROWS):
@@ -207,6 +215,8 @@ def count_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, block
                         own = touched[cuts[s] : cuts[s + 1]]
                         steps = np.diff(own, prepend=s * piece).astype("<u4")
                         out.append((row * slices + s, block, len(own), _squeeze(steps), _squeeze(sums[cuts[s] : cuts[s + 1]])))
+                    touched = sums = own = steps = None
+                found = None
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 for i in range(0, len(out), 64):
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out[i : i + 64]], t) for j, t in enumerate(kinds)], names=["slice", "block", "n", "steps", "sums"])
