@@ -2,12 +2,12 @@
 
 1. Documents are packed, as they are read, into blocks of a few megabytes of lower-cased text, equal texts of a block once with
    their number. Blocks are a written table and follow no key, so copies and large sources weigh on no task.
-2. First pass: every block adds its phrases of 1 to 5 words to a count-min sketch of two rows. The sketch's width grows with the
-   corpus and is cut into slices; a block sends each slice the counters it touches, a slice adds up the lists of all blocks and
-   tells each block which of its counters reach the threshold. A counter is never below the count of a phrase in it, so no
-   frequent phrase is lost.
-3. Second pass: every block counts its phrases again and passes on those whose counters (and whose parts' counters) reach the
-   threshold, as text with exact counts. Sums over blocks are exact; false survivors fall out here.
+2. First pass: every block adds its phrases to count-min sketches of two rows, words and pairs to the first, longer phrases whose
+   pairs have survived that to the second. A sketch's width grows with the corpus and is cut into slices; a block sends each slice
+   the counters it touches, a slice adds up the lists of all blocks and tells each block which of its counters reach the
+   threshold. A counter is never below the count of a phrase in it, so no frequent phrase is lost.
+3. Second pass: every block counts its survivors again and passes them on as text with exact counts, in a list for each of 64
+   shards. Lists of up to 512 blocks are added up at once, their sums by Spark. False survivors fall out here.
 4. Cuts are looked up by two joins; scores are integral quotients of 38-digit numbers. Phrases inside a longer one with the same
    count go; what is left is ranked per language, only the best of each task being exchanged.
 
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from quirefold.llm import grams
 from quirefold.llm.common import materialize, release_memory, small_batches
 
-ROWS = 2  # of the sketch
+ROWS = 2  # of a sketch
+SHARDS, TOGETHER = 64, 512
 _KIND = np.zeros(256, np.uint8)  # 1: blank, 2: end of a piece
 _KIND[[0x09, 0x20]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
@@ -49,12 +50,9 @@ def _packer(block_bytes: int):
 
     def row(number: int, tables: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(tables).group_by(["lang", "text"]).aggregate([([], "count_all")])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
         block = (TaskContext.get().partitionId() << 32) | number
         size = pc.sum(pc.binary_length(table["text"])).as_py()
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "n_bytes", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([_bytes(table)], pa.binary())], names=["block", "n_bytes", "body"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, 0
@@ -80,7 +78,7 @@ def _packer(block_bytes: int):
 class Phrases:
     """The distinct phrases of a block, length by length: count, hash, first place; words of lengths follow one another."""
 
-    def __init__(self, body: bytes, longest: int):
+    def __init__(self, body: bytes):
         table = pa.ipc.open_stream(body).read_all().combine_chunks()
         texts = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]
         lang = pc.dictionary_encode(table["lang"].combine_chunks())
@@ -123,44 +121,57 @@ class Phrases:
         one = grams.mix(hashes[starts[base // n]], salt[base % n]) if k else np.zeros(0, np.uint64)
         self.total = np.bincount(of_lang, weights, len(self.langs)).astype(np.int64)
         self.lang_of_word = of_lang
-        words, self.levels = ids, []
-        plain = weights.max(initial=0) == 1
-        place, h = np.arange(k), one
-        for m in range(1, longest + 1):
-            if m > 1:
-                place = place[place + (m - 1) < k]
-                place = place[joined[place + (m - 2)]]
-                ids, pairs = pd.factorize(before[place] * max(1, len(one)) + words[place + (m - 1)])
-                h = grams.mix(h[pairs // max(1, len(one))], one[pairs % max(1, len(one))])
-            count = np.bincount(ids, None if plain else weights[place], len(h)).astype(np.int64)
-            first = np.zeros(len(h), np.int32)
-            first[ids[::-1]] = place[::-1]
-            prefix, suffix = (before[first].astype(np.int32), before[first + 1].astype(np.int32)) if m > 1 else (None, None)
-            before = np.full(k, -1, np.int64)
-            before[place] = ids
-            del ids
-            self.levels.append((h, count, first, prefix, suffix))
-
-    def hashes(self) -> np.ndarray:
-        return np.concatenate([x[0] for x in self.levels])
-
-    def counts(self) -> np.ndarray:
-        return np.concatenate([x[1] for x in self.levels])
-
-    def chosen(self, alive: np.ndarray) -> pa.Table:
-        """COUNTS of the phrases marked, if the phrases one word shorter in them are marked too; and words in all per lang, of 0 words."""
-        langs, sizes, texts, counts = [pa.array(self.langs, pa.string())], [np.zeros(len(self.langs), np.int32)], [pa.array([""] * len(self.langs), pa.string())], [self.total]
-        at, kept = 0, None
-        for m, (h, count, first, prefix, suffix) in enumerate(self.levels, 1):
-            mark = alive[at : at + len(h)]
+        self.joined, self.ids, self.at = joined, ids, ids
+        weights = None if weights.max(initial=0) == 1 else weights
+        self.weights, self.one = weights, one
+        #: For each length: hashes, counts and first places of its phrases, and the numbers of the phrases one word shorter in them.
+        self.levels = [self._level(ids, np.arange(k), one, None)]
+        self.alive: list[np.ndarray] = []
+
+    def _level(self, ids: np.ndarray, place: np.ndarray, h: np.ndarray, before: np.ndarray | None) -> tuple:
+        count = np.bincount(ids, None if self.weights is None else self.weights[place], len(h)).astype(np.int64)
+        first = np.zeros(len(h), np.int32)
+        first[ids[::-1]] = place[::-1]
+        parts = (None, None) if before is None else (before[first].astype(np.int32), before[first + 1].astype(np.int32))
+        return h, count, first, *parts
+
+    def grow(self, longest: int) -> None:
+        """Adds the phrases of up to `longest` words whose parts are there."""
+        n = max(1, len(self.one))
+        for m in range(len(self.levels) + 1, longest + 1):
+            before = self.at
+            there = (before[:-1] >= 0) & (before[1:] >= 0)
+            place = np.flatnonzero(there & self.joined if m == 2 else there)
+            ids, pairs = pd.factorize(before[place] * n + self.ids[place + (m - 1)])
+            h = grams.mix(self.levels[-1][0][pairs // n], self.one[pairs % n])
+            self.levels.append(self._level(ids, place, h, before))
+            self.at = np.full(len(before), -1, np.int64)
+            self.at[place] = ids
+
+    def narrow(self, marks: np.ndarray) -> None:
+        """Marks of the phrases of the lengths that have none yet; one stays if both of its parts do too."""
+        at = 0
+        for h, _, _, prefix, suffix in self.levels[len(self.alive) :]:
+            mark = marks[at : at + len(h)]
             at += len(h)
-            if m > 1:
-                mark = mark & kept[prefix] & kept[suffix]
-            kept = mark
+            self.alive.append(mark if prefix is None else mark & self.alive[-1][prefix] & self.alive[-1][suffix])
+        if len(self.at):
+            self.at = np.where((self.at >= 0) & np.append(self.alive[-1], False)[self.at], self.at, -1)
+
+    def unmarked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and counts of the phrases without marks."""
+        new = self.levels[len(self.alive) :]
+        return np.concatenate([x[0] for x in new]), np.concatenate([x[1] for x in new])
+
+    def chosen(self) -> pa.Table:
+        """COUNTS of the phrases that stay, and, as of 0 words, of all words of a language."""
+        names = pa.array(self.langs, pa.string())
+        langs, sizes, texts, counts = [names], [np.zeros(len(names), np.int32)], [pa.array([""] * len(names), pa.string())], [self.total]
+        for m, ((_, count, first, _, _), mark) in enumerate(zip(self.levels, self.alive, strict=True), 1):
             some = np.flatnonzero(mark)
             parts = [self.words.take(pa.array(self.code[first[some] + j])).cast(pa.string()) for j in range(m)]
             texts.append(parts[0] if m == 1 else pc.binary_join_element_wise(*parts, " "))
-            langs.append(pa.array(self.langs, pa.string()).take(pa.array(self.lang_of_word[first[some]])))
+            langs.append(names.take(pa.array(self.lang_of_word[first[some]])))
             sizes.append(np.full(len(some), m, np.int32))
             counts.append(count[some])
         return pa.table([pa.concat_arrays(langs), pa.array(np.concatenate(sizes)), pa.concat_arrays(texts), pa.array(np.concatenate(counts))], names=["lang", "n_words", "phrase", "f"])
@@ -175,7 +186,81 @@ def _squeeze(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def count_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, block_bytes: int = 3 << 20, load: int = 20) -> DataFrame:
+def _table(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
+
+
+def _bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+class Sketch:
+    """A count-min sketch of `width` counters a row, in slices, of the phrases up to a length; counters stop at the threshold."""
+
+    def __init__(self, longest: int, width: int, min_count: int):
+        self.longest, self.width, self.min_count = longest, width, min_count
+        # Lists get shorter as the corpus grows, slices larger, within 512 MB of a task.
+        self.piece = min(1 << 27, max(1 << 18, int(200 * width**0.5)))
+        self.slices = -(-width // self.piece)
+        self.kind = "<u4" if min_count > 255 else "u1"
+
+    def touched(self, found: Phrases, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Counters touched in order, where each phrase's counter stands among them, their sums, and the cuts between slices."""
+        hashes, counts = found.unmarked()
+        at = _counters(hashes, row, self.width)
+        order = np.argsort(at)
+        at = at[order]
+        new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
+        own, where = at[new], np.empty(len(at), np.int32)
+        where[order] = np.cumsum(new, dtype=np.int32) - 1
+        del at, order, new
+        sums = np.minimum(np.bincount(where, counts, len(own)), self.min_count).astype(self.kind)
+        return own, where, sums, np.searchsorted(own, np.arange(self.slices + 1) * self.piece)
+
+    def lists(self, found: Phrases, block: int) -> pa.Table:
+        """What a block sends: one row for each slice that it touches."""
+        out = []
+        for row in range(ROWS):
+            own, _, sums, cuts = self.touched(found, row)
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                part = own[cuts[s] : cuts[s + 1]]
+                steps = np.diff(part, prepend=s * self.piece).astype("<u4")
+                out.append((row * self.slices + s, block, len(part), _squeeze(steps), _squeeze(sums[cuts[s] : cuts[s + 1]])))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["slice", "block", "n", "steps", "sums"])
+
+    def merged(self, table: pa.Table) -> pa.Table:
+        """A slice's answer to each of its blocks: which of its counters reach the threshold."""
+        release_memory()
+        held, size = np.zeros(self.piece, np.uint32), np.dtype(self.kind).itemsize
+
+        def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for steps, sums in zip(table["steps"], table["sums"], strict=True):
+                raw = np.frombuffer(zstandard.decompress(steps.as_py()), np.uint8).reshape(4, -1)
+                added = np.frombuffer(zstandard.decompress(sums.as_py()), np.uint8).reshape(size, -1)
+                yield np.cumsum(np.ascontiguousarray(raw.T).view("<u4").reshape(-1), dtype=np.int64), np.ascontiguousarray(added.T).view(self.kind).reshape(-1)
+
+        for at, added in each():
+            held[at] = np.minimum(held[at] + added.astype(np.uint32), self.min_count)
+        marks = [zstandard.compress(np.packbits(held[at] >= self.min_count).tobytes(), 1) for at, _ in each()]
+        return pa.table([table["slice"], table["block"], table["n"], pa.array(marks, pa.binary())], names=["slice", "block", "n", "marks"])
+
+    def marks(self, found: Phrases, got: pa.Table) -> np.ndarray:
+        """Which unmarked phrases reach the threshold in all rows of the sketch."""
+        replies = {s: np.unpackbits(np.frombuffer(zstandard.decompress(m.as_py()), np.uint8), count=n).astype(bool) for s, n, m in zip(got["slice"].to_pylist(), got["n"].to_pylist(), got["marks"], strict=True)}
+        alive = None
+        for row in range(ROWS):
+            _, where, _, _ = self.touched(found, row)
+            mine = [replies[s] for s in range(row * self.slices, (row + 1) * self.slices) if s in replies]
+            mark = np.concatenate(mine)[where] if mine else np.zeros(len(where), bool)
+            alive = mark if alive is None else alive & mark
+        return alive
+
+
+def count_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, block_bytes: int = 6 << 20, load: int = 20) -> DataFrame:
     """COUNTS of all phrases of 1 to `longest` words that occur min_count times or more in a language; n_words 0: all its words.
 
     load: the phrases (each time they occur) that share a counter, on average.
@@ -184,77 +269,78 @@ def count_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5, block
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
     blocks = materialize(rows.mapInArrow(_packer(block_bytes), BLOCK), "phrase-blocks")
-    size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    width = max(1 << 16, size * longest // (6 * load))
-    # Lists get shorter as the corpus grows, slices larger, within 512 MB of a task.
-    piece = min(1 << 27, max(1 << 18, int(200 * width**0.5)))
-    slices = -(-width // piece)
-
-    def sketch(found: Phrases, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Counters touched in order, where each phrase's counter stands among them, sums up to min_count, cuts between slices."""
-        at = _counters(found.hashes(), row, width)
-        order = np.argsort(at)
-        at = at[order]
-        new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-        touched, where = at[new], np.empty(len(at), np.int32)
-        del at
-        where[order] = np.cumsum(new, dtype=np.int32) - 1
-        del order, new
-        sums = np.minimum(np.bincount(where, found.counts(), len(touched)), min_count).astype(np.uint32 if min_count > 255 else np.uint8)
-        return touched, where, sums, np.searchsorted(touched, np.arange(slices + 1) * piece)
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = blocks.agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    width = lambda lengths: max(1 << 16, (size["bytes"] or 0) * lengths // (6 * load))
+    short = Sketch(min(2, longest), width(min(2, longest)), min_count)
+    sketches = [short] + ([Sketch(longest, width(longest - 2), min_count)] if longest > 2 else [])
+    bodies = blocks.select("block", "body").groupBy("block")
+    lists, marks = "slice long, block long, n int, steps binary, sums binary", "slice long, block long, n int, marks binary"
+
+    def replayed(table: pa.Table, got: pa.Table, upto: int) -> Phrases:
+        """A block's phrases after the answers of the first `upto` sketches."""
+        found = Phrases(table["body"][0].as_py())
+        for k, sketch in enumerate(sketches[:upto]):
+            found.grow(sketch.longest)
+            found.narrow(sketch.marks(found, got.filter(pc.equal(got["sketch"], k))))
+        return found
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, body in zip(batch["block"].to_pylist(), batch["body"], strict=True):
-                found, out = None, None
                 release_memory()
-                found, out = Phrases(body.as_py(), longest), []
-                for row in range(ROWS):
-                    touched, _, sums, cuts = sketch(found, row)
-                    for s in np.flatnonzero(np.diff(cuts)).tolist():
-                        own = touched[cuts[s] : cuts[s + 1]]
-                        steps = np.diff(own, prepend=s * piece).astype("<u4")
-                        out.append((row * slices + s, block, len(own), _squeeze(steps), _squeeze(sums[cuts[s] : cuts[s + 1]])))
-                    touched = sums = own = steps = None
-                found = None
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                for i in range(0, len(out), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out[i : i + 64]], t) for j, t in enumerate(kinds)], names=["slice", "block", "n", "steps", "sums"])
-
-    sent = blocks.mapInArrow(first_pass, "slice long, block long, n int, steps binary, sums binary")
-
-    def merge(table: pa.Table) -> pa.Table:
-        release_memory()
-        held, kind, width_of = np.zeros(piece, np.uint32), "<u4" if min_count > 255 else "u1", 4 if min_count > 255 else 1
+                found = Phrases(body.as_py())
+                found.grow(short.longest)
+                table, found = short.lists(found, block), None
+                yield from table.to_batches(max_chunksize=64)
 
-        def lists() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for steps, sums in zip(table["steps"], table["sums"], strict=True):
-                raw = np.frombuffer(zstandard.decompress(steps.as_py()), np.uint8).reshape(4, -1)
-                added = np.frombuffer(zstandard.decompress(sums.as_py()), np.uint8).reshape(width_of, -1)
-                yield np.cumsum(np.ascontiguousarray(raw.T).view("<u4").reshape(-1), dtype=np.int64), np.ascontiguousarray(added.T).view(kind).reshape(-1)
+    def later(k: int):
+        def send(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+            release_memory()
+            found = replayed(table, got, k)
+            found.grow(sketches[k].longest)
+            return sketches[k].lists(found, key[0].as_py())
 
-        for at, added in lists():
-            held[at] = np.minimum(held[at] + added.astype(np.uint32), min_count)
-        marks = [zstandard.compress(np.packbits(held[at] >= min_count).tobytes(), 1) for at, _ in lists()]
-        return pa.table([table["slice"], table["block"], table["n"], pa.array(marks, pa.binary())], names=["slice", "block", "n", "marks"])
+        return send
+
+    def merged(sketch: Sketch):
+        return lambda table: sketch.merged(table)
+
+    answers = None
+    for k, sketch in enumerate(sketches):
+        sent = blocks.select("block", "body").mapInArrow(first, lists) if k == 0 else bodies.cogroup(answers.groupBy("block")).applyInArrow(later(k), lists)
+        got = materialize(sent.groupBy("slice").applyInArrow(merged(sketch), marks).withColumn("sketch", F.lit(k)), "phrase-answers")
+        answers = got if answers is None else answers.unionByName(got)
 
-    answers = sent.groupBy("slice").applyInArrow(merge, "slice long, block long, n int, marks binary")
+    # A block deals its counts to SHARDS lists; lists of up to TOGETHER blocks are added up at once, then rows.
+    groups = max(1, -(-size["n"] // TOGETHER))
 
-    def second_pass(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+    def second(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         release_memory()
-        found = Phrases(table["body"][0].as_py(), longest)
-        replies = {s: np.unpackbits(np.frombuffer(zstandard.decompress(m.as_py()), np.uint8), count=n).astype(bool) for s, n, m in zip(got["slice"].to_pylist(), got["n"].to_pylist(), got["marks"], strict=True)}
-        alive = np.ones(len(found.hashes()), bool)
-        for row in range(ROWS):
-            touched, where, _, _ = sketch(found, row)
-            marks = np.concatenate([replies[s] for s in range(row * slices, (row + 1) * slices) if s in replies] or [np.zeros(0, bool)])
-            alive &= marks[where]
-            del touched, where
-        return found.chosen(alive)
-
-    exact = blocks.select("block", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(second_pass, COUNTS)
-    counts = exact.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where((F.col("n_words") == 0) | (F.col("f") >= min_count))
-    return materialize(counts, "phrase-counts")
+        found = replayed(table, got, len(sketches)).chosen()
+        shard = np.array([xxhash.xxh32_intdigest(x) % SHARDS for x in found["phrase"].to_pylist()], np.int64)
+        group = hash(key[0].as_py()) % groups
+        lists = [(group * SHARDS + int(s), _bytes(found.filter(pa.array(shard == s)))) for s in np.unique(shard)]
+        return pa.table([pa.array([r[0] for r in lists], pa.int64()), pa.array([r[1] for r in lists], pa.binary())], names=["shard", "counts"])
+
+    def together(table: pa.Table) -> pa.Table:
+        release_memory()
+        held, limit = None, 1 << 18
+        for part in table["counts"]:
+            part = _table(part.as_py())
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows > limit:
+                held = _summed(held)
+                limit = 2 * held.num_rows + (1 << 18)
+        return _summed(held)
+
+    dealt = bodies.cogroup(answers.groupBy("block")).applyInArrow(second, "shard long, counts binary")
+    counts = dealt.groupBy("shard").applyInArrow(together, COUNTS).groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+    return materialize(counts.where((F.col("n_words") == 0) | (F.col("f") >= min_count)), "phrase-counts")
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    out = table.group_by(["lang", "n_words", "phrase"]).aggregate([("f", "sum")])
+    return out.rename_columns(["lang", "n_words", "phrase", "f"])
 
 
 def _part(words: Column, start: Column | int, size: Column) -> Column:
