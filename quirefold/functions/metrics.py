@@ -30,31 +30,81 @@ def error_rate(distance: Column, ref_size: Column, hyp_size: Column) -> Column:
     return F.when(ref_size == 0, empty).otherwise(distance / ref_size)
 
 
-def coded(words: Column, vocabulary: Column) -> Column:
-    """Words as single code points by their place in a vocabulary of both texts, so that levenshtein counts words."""
-    digits = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0xFFFF), 8, "0"))
-    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
+#: Widths of the bands tried before the whole table of edit distances.
+BANDS = (16, 128, 1024)
+
+
+def _named(values: dict[str, Column], then) -> Column:
+    """then(struct of values): an array of one binds the values to a name, so that each is made once."""
+    return F.element_at(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), then), 1)
+
+
+def _powers(size: Column) -> Column:
+    """Powers of two up to size, falling."""
+    top = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
+    return F.transform(F.sequence(top, F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+
+
+def _climb(size: Column, fits) -> Column:
+    """The greatest n up to size with fits(m, step) true for every step of n from m on; fits has to hold for all smaller n, too."""
+    return F.aggregate(_powers(size), F.lit(0), lambda n, step: F.when(n + step <= size, F.when(fits(n, step), n + step).otherwise(n)).otherwise(n))
+
+
+def trimmed(a: Column, b: Column, then) -> Column:
+    """then(a, b) of two texts without their common beginning and end."""
+    start = lambda x: _climb(F.least(F.length(x["a"]), F.length(x["b"])), lambda n, step: F.substring(x["a"], n + 1, step) == F.substring(x["b"], n + 1, step))
+    rest = lambda x, k: F.substring(x[k], x["n"] + 1, F.length(x[k]))
+    end = lambda x: _climb(F.least(F.length(x["a"]), F.length(x["b"])), lambda n, step: F.substring(x["a"], F.length(x["a"]) - n - step + 1, step) == F.substring(x["b"], F.length(x["b"]) - n - step + 1, step))
+    front = lambda x, k: F.substring(x[k], F.lit(1), F.length(x[k]) - x["n"])
+    cut = lambda x: _named({"a": rest(x, "a"), "b": rest(x, "b")}, lambda y: _named({"a": y["a"], "b": y["b"], "n": end(y)}, lambda z: _named({"a": front(z, "a"), "b": front(z, "b")}, lambda w: then(w["a"], w["b"]))))
+    return _named({"a": a, "b": b}, lambda x: _named({"a": x["a"], "b": x["b"], "n": start(x)}, cut))
+
+
+def _banded(a: Column, b: Column) -> Column:
+    """Edit distance by tables of a band along the diagonal, each eight times as wide, until the distance lies within."""
+    widths = F.array(*[F.lit(k) for k in BANDS], F.greatest(F.length(a), F.length(b)))
+    return F.aggregate(widths, F.lit(-1), lambda d, k: F.when(d >= 0, d).otherwise(F.call_function("levenshtein", a, b, k)))
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Edit distance, without the table for equal texts."""
-    return F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))
+    """Edit distance of texts: nothing for equal ones, else what is left between common ends, in bands."""
+    return F.when(a == b, F.lit(0)).otherwise(trimmed(a, b, _banded))
+
+
+def vocabulary(r: Column, h: Column) -> Column:
+    """The distinct words of two lists, in order."""
+    return F.array_sort(F.array_distinct(F.concat(r, h)))
+
+
+def coded(words: Column, vocabulary: Column) -> Column:
+    """Words as single code points by their place in an ordered vocabulary of both texts, so that levenshtein counts words."""
+    place = lambda w: _climb(F.size(vocabulary), lambda n, step: F.get(vocabulary, n + step - 1) <= w)
+    digits = F.transform(words, lambda w: F.lpad(F.hex(place(w) + 0xFFFF), 8, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
 
 
 def word_distance(r: Column, h: Column, vocabulary: Column) -> Column:
     """Edit distance over words; equal lists are not coded."""
-    return F.when(r == h, F.lit(0)).otherwise(F.levenshtein(coded(r, vocabulary), coded(h, vocabulary)))
+    return F.when(r == h, F.lit(0)).otherwise(trimmed(coded(r, vocabulary), coded(h, vocabulary), _banded))
+
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df dealt evenly to `parts` partitions (the cluster's cores and the session's shuffle partitions at least).
+
+    An edit distance costs the product of two lengths, which partitions cut by bytes know nothing of; dealt one by one in the order of their
+    hashes, long pairs and copies of one pair come to all tasks alike.
+    """
+    spark = df.sparkSession
+    return df.repartition(parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def cer(ref: Column, hyp: Column) -> Column:
-    r, h = X.strip(ref), X.strip(hyp)
-    return error_rate(distance(r, h), F.length(r), F.length(h))
+    return _named({"r": X.strip(ref), "h": X.strip(hyp)}, lambda x: error_rate(distance(x["r"], x["h"]), F.length(x["r"]), F.length(x["h"])))
 
 
 def wer(ref: Column, hyp: Column) -> Column:
-    r, h = X.tokens(ref), X.tokens(hyp)
-    both = F.array_distinct(F.concat(r, h))
-    return error_rate(word_distance(r, h, both), F.size(r), F.size(h))
+    rate = lambda x: error_rate(word_distance(x["r"], x["h"], x["both"]), F.size(x["r"]), F.size(x["h"]))
+    return _named({"r": X.tokens(ref), "h": X.tokens(hyp)}, lambda x: _named({"r": x["r"], "h": x["h"], "both": vocabulary(x["r"], x["h"])}, rate))
 
 
 def line_accuracy(ref: Column, hyp: Column) -> Column:
@@ -108,7 +158,7 @@ def with_metrics(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     gt, pred = F.coalesce(F.col(ref), F.lit("")), F.coalesce(F.col(hyp), F.lit(""))
     df = df.withColumns({"len_gt": F.length(gt), "len_pred": F.length(pred), "_r": X.strip(gt), "_h": X.strip(pred)})
     df = df.withColumns({"_rw": X.tokens(F.col("_r")), "_hw": X.tokens(F.col("_h")), "_rl": X.lines(F.col("_r")), "_hl": X.lines(F.col("_h"))})
-    df = df.withColumns({"_voc": F.array_distinct(F.concat("_rw", "_hw")), "_rn": F.array_join("_rw", " "), "_hn": F.array_join("_hw", " ")})
+    df = df.withColumns({"_voc": vocabulary(F.col("_rw"), F.col("_hw")), "_rn": F.array_join("_rw", " "), "_hn": F.array_join("_hw", " ")})
     df = df.withColumns({"_rln": F.transform("_rl", X.normalize), "_hln": F.transform("_hl", X.normalize)})
     df = df.withColumns({"_hits": line_hits(F.col("_rl"), F.col("_hl")), "_hits_norm": line_hits(F.col("_rln"), F.col("_hln"))})
     word = word_distance(F.col("_rw"), F.col("_hw"), F.col("_voc"))

@@ -30,10 +30,16 @@ def normalize(c: Column) -> Column:
     return F.array_join(tokens(c), " ")
 
 
+def _bare(c: Column) -> Column:
+    """strip(), without its pattern where the first and the last character are plain."""
+    plain = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(plain, c).otherwise(strip(c))
+
+
 def lines(c: Column) -> Column:
     """Stripped lines of the stripped text; inner blank lines stay as empty strings; none for blank text."""
-    whole = strip(c)
-    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(whole, NL), strip))
+    split = lambda whole: F.when(whole == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(whole, NL), _bare))
+    return F.element_at(F.transform(F.array(strip(c)), split), 1)  # an array of one: the text is stripped once
 
 
 def join_lines(parts: Column) -> Column:

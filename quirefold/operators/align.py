@@ -1,20 +1,18 @@
-"""Line-break alignment: the three prompted methods, and a deterministic one without a model."""
+"""Line-break alignment: the three prompted methods."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quirefold.functions import prompts
 from quirefold.functions import text as X
 from quirefold.operators import layout
 from quirefold.operators.fewshot import prompt_images
 from quirefold.operators.plugins import Backend, ModelSettings, generate
+from quirefold.sources.corpus import with_contents
 
 
 def prompts_for(method: str, df: DataFrame, examples: bool = False) -> DataFrame:
@@ -28,10 +26,11 @@ def prompts_for(method: str, df: DataFrame, examples: bool = False) -> DataFrame
     return rows.withColumn("images", prompt_images("examples", "image") if examples else F.array("image"))
 
 
-def align(method: str, df: DataFrame, settings: ModelSettings, backend: str | None = None, examples: bool = False, factory: Callable[[ModelSettings], Backend] | None = None) -> DataFrame:
+def align(method: str, df: DataFrame, settings: ModelSettings, backend: str | None = None, examples: bool = False, factory: Callable[[ModelSettings], Backend] | None = None, contents: DataFrame | None = None) -> DataFrame:
     """(id, prediction, error) by a model. m3 leaves a blank transcription blank without a call; pages join by one LF.
 
-    A document fails as a whole if one of its calls does.
+    A document fails as a whole if one of its calls does. contents: of sources.corpus.image_contents(); models then get the
+    images of a call, examples before the page, as bytes in place of paths.
     """
     if method == "m3":
         blank = X.strip(F.col("transcription")) == ""
@@ -39,6 +38,8 @@ def align(method: str, df: DataFrame, settings: ModelSettings, backend: str | No
         done = asked.select("id", F.col("value").alias("prediction"), "error")
         return done.unionByName(df.where(blank).select("id", F.lit("").alias("prediction"), F.lit(None).cast("string").alias("error")))
     asked = prompts_for(method, df, examples).select("id", "page", "prompt", "images")
+    if contents is not None:
+        asked = with_contents(asked, ["id", "page"], "images", contents, "contents").drop("images").withColumnRenamed("contents", "images")
     calls = generate(asked, settings, images="images", backend=backend, factory=factory)
     pages = F.sort_array(F.collect_list(F.struct("page", "value", "error")))
     docs = calls.groupBy("id").agg(pages.alias("p")).select("id", "p", F.array_join(F.filter(F.transform("p", lambda x: x["error"]), lambda e: e.isNotNull()), "; ").alias("e"))
@@ -47,58 +48,3 @@ def align(method: str, df: DataFrame, settings: ModelSettings, backend: str | No
     found = docs.select("id", F.when(error.isNull(), text).alias("prediction"), error.alias("error"))
     rest = df.select("id").join(asked.select("id"), "id", "left_anti")  # documents without any page text; no model is called for this
     return found.unionByName(rest.select("id", F.lit("").alias("prediction"), F.lit(None).cast("string").alias("error")))
-
-
-def break_lines(transcription: str, guide: str) -> str:
-    """The words of a transcription with a line break for each break of a noisy guide.
-
-    Global alignment of the two word sequences; the cost of a pair grows with the difference of their character bigrams.
-    Words keep their order, and lines that get no word are left out.
-    """
-    words = transcription.split()
-    rows = [line.split() for line in guide.splitlines()]
-    rows = [r for r in rows if r]
-    noisy = [w for r in rows for w in r]
-    if not words or len(rows) < 2:
-        return " ".join(words)
-    line_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    grams = [{w[i : i + 2] for i in range(max(1, len(w) - 1))} for w in words]
-    other = [{w[i : i + 2] for i in range(max(1, len(w) - 1))} for w in noisy]
-    n, m = len(words), len(noisy)
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0], cost[0, :] = np.arange(n + 1) * 0.7, np.arange(m + 1) * 0.7
-    step = np.zeros((n + 1, m + 1), np.int8)
-    step[1:, 0], step[0, 1:] = 1, 2
-    for i in range(1, n + 1):
-        g = grams[i - 1]
-        pair = [1 - 2 * len(g & o) / (len(g) + len(o)) for o in other]
-        for j in range(1, m + 1):
-            best = (cost[i - 1, j - 1] + pair[j - 1], cost[i - 1, j] + 0.7, cost[i, j - 1] + 0.7)
-            k = min(range(3), key=best.__getitem__)
-            cost[i, j], step[i, j] = best[k], k
-    line = np.full(n, -1)
-    i, j = n, m
-    while i or j:
-        k = step[i, j] if i and j else (1 if i else 2)
-        if k == 0:
-            line[i - 1] = line_of[j - 1]
-        elif k == 1:
-            line[i - 1] = line_of[max(0, min(j, m) - 1)]
-        i, j = i - (k != 2), j - (k != 1)
-    out = [[words[0]]]
-    for a, b, w in zip(line, line[1:], words[1:], strict=False):
-        if b > a:
-            out.append([w])
-        else:
-            out[-1].append(w)
-    return "\n".join(" ".join(x) for x in out)
-
-
-@F.pandas_udf(T.StringType())
-def break_lines_udf(transcription: pd.Series, guide: pd.Series) -> pd.Series:
-    return pd.Series([break_lines(t or "", g or "") for t, g in zip(transcription, guide, strict=True)])
-
-
-def align_offline(df: DataFrame) -> DataFrame:
-    """(id, prediction) from transcription and ocr without a model: an addition of this engine, usable where none can be reached."""
-    return df.select("id", break_lines_udf("transcription", "ocr").alias("prediction"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
-from quirefold.functions.metrics import LEGACY_METRICS, METRICS, line_hits, prf, with_metrics
+from quirefold.functions.metrics import LEGACY_METRICS, METRICS, line_hits, prf, spread, with_metrics
 
 ROW = ("id", "len_gt", "len_pred", *METRICS)
 LEGACY_ROW = ("id", "len_gt", "len_pred", *LEGACY_METRICS)
@@ -37,10 +37,10 @@ def not_processed(df: DataFrame, done: DataFrame, keys: list[str] | None = None)
 
 
 def evaluation_rows(df: DataFrame, ref: str = "gt", hyp: str = "prediction", legacy: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row of metrics per document."""
+    """One row of metrics per document, pairs spread over tasks by number, not by bytes."""
     if legacy:  # this variant measures stripped texts
         df = df.withColumns({ref: X.strip(F.coalesce(F.col(ref), F.lit(""))), hyp: X.strip(F.coalesce(F.col(hyp), F.lit("")))})
-    return with_metrics(df, ref, hyp).select(*extra, *(LEGACY_ROW if legacy else ROW))
+    return with_metrics(spread(df), ref, hyp).select(*extra, *(LEGACY_ROW if legacy else ROW))
 
 
 def macro_average(rows: DataFrame, by: tuple[str, ...] = (), metrics: tuple[str, ...] = METRICS) -> DataFrame:

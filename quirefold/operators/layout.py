@@ -70,17 +70,30 @@ def page_chunks(df: DataFrame, text: str, images: str, htr: str | None = None) -
     return out.where("chunk <> ''")
 
 
-def _merged(boxes: Column, joins) -> Column:
-    """Left fold over sorted boxes: a box joins the last group's union or opens a group."""
-    kind = f"array<{G.BOX}>"
+def _merged(boxes: Column, joins, run: int = 64) -> Column:
+    """Left fold over sorted boxes: a box joins the open group's union or closes it and opens one.
 
-    def step(done: Column, b: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        here = G.box(b["x1"], b["y1"], b["x2"], b["y2"])
-        grown = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(G.union(last, here)))
-        return F.when((F.size(done) > 0) & joins(last, here), grown).otherwise(F.concat(done, F.array(here))).cast(kind)
+    Closed groups gather in runs, so that a step copies a short list, not all groups before it.
+    """
+    state = f"struct<done:array<array<{G.BOX}>>,run:array<{G.BOX}>,open:{G.BOX}>"
+    none = F.array().cast(f"array<{G.BOX}>")
+
+    def step(a: Column, b: Column) -> Column:
+        here, open_ = G.box(b["x1"], b["y1"], b["x2"], b["y2"]), a["open"]
+        first = open_.isNull()
+        joined = ~first & joins(open_, here)
+        full = F.size(a["run"]) >= run - 1
+        closed = F.concat(a["run"], F.array(open_))
+        stays = first | joined
+        return F.struct(
+            F.when(stays | ~full, a["done"]).otherwise(F.concat(a["done"], F.array(closed))).alias("done"),
+            F.when(stays, a["run"]).when(full, none).otherwise(closed).alias("run"),
+            F.when(joined, G.union(open_, here)).otherwise(here).alias("open"),
+        ).cast(state)
 
-    return F.aggregate(boxes, F.array().cast(kind), step)
+    begin = F.struct(F.array().alias("done"), F.array().alias("run"), F.lit(None).alias("open")).cast(state)
+    end = lambda a: F.concat(F.flatten(a["done"]), a["run"], F.when(a["open"].isNull(), none).otherwise(F.array(a["open"])))
+    return F.aggregate(boxes, begin, step, end)
 
 
 def _tallest(boxes: Column) -> Column:

@@ -144,16 +144,14 @@ def _line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_acc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _line_arrays(spark, sf_dir)
-    r, h = F.col("r"), F.col("h")
-    rn, hn = F.transform(r, X.normalize), F.transform(h, X.normalize)
+    a = _line_arrays(spark, sf_dir).withColumns({"rn": F.transform("r", X.normalize), "hn": F.transform("h", X.normalize)})
+    r, h, rn, hn = (F.col(c) for c in ("r", "h", "rn", "hn"))
     return a.select("doc_id", F.round(M.line_accuracy(r, h), 6).alias("line_acc"), F.round(M.line_accuracy(rn, hn), 6).alias("line_acc_norm"))
 
 
 def rev_line_acc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _line_arrays(spark, sf_dir)
-    r, h = F.col("r"), F.col("h")
-    rn, hn = F.transform(r, X.normalize), F.transform(h, X.normalize)
+    a = _line_arrays(spark, sf_dir).withColumns({"rn": F.transform("r", X.normalize), "hn": F.transform("h", X.normalize)})
+    r, h, rn, hn = (F.col(c) for c in ("r", "h", "rn", "hn"))
     return a.select("doc_id", F.round(M.reverse_line_accuracy(r, h), 6).alias("rev_line_acc"), F.round(M.reverse_line_accuracy(rn, hn), 6).alias("rev_line_acc_norm"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.functions import images
 from quirefold.functions import text as X
 from quirefold.functions.naming import stem
 from quirefold.operators.converters import FORM, decode_xml
@@ -115,6 +116,33 @@ def legacy_page_images(spark: SparkSession, root: str) -> DataFrame:
     return df.select("id", F.array_distinct(F.transform(chosen, lambda x: x["path"])).alias("images"))
 
 
+def _place(path: Column) -> Column:
+    """A path by which two sources' names of one file agree (file:/x, file:///x and /x are the same)."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def image_contents(spark: SparkSession, root: str, longest: int = 1280) -> DataFrame:
+    """(path, width, height, content) of the images below a folder in any store that Spark reads: PNG with no side over `longest`."""
+    found = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SHARED_EXTENSIONS) + "}").load(root)
+    path = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))  # this source gives URL-encoded names
+    return images.prepared(found.select(path.alias("path"), "image.height", "image.width", "image.nChannels", "image.data"), longest)
+
+
+def with_contents(df: DataFrame, keys: list[str], paths: str, contents: DataFrame, out: str) -> DataFrame:
+    """df (keys unique) with `out`: the contents of an array of paths, in its order; a path without content gives null. Paths meet contents by one join."""
+    each = df.select(*keys, F.posexplode_outer(paths).alias("_pos", "_path")).withColumn("_place", _place(F.col("_path")))
+    held = contents.select(_place(F.col("path")).alias("_place"), "content")
+    got = each.join(held, "_place", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "content")))).alias("_c"))
+    return df.join(got.select(*keys, F.transform("_c", lambda x: x["content"]).alias(out)), keys)
+
+
+def page_contents(spark: SparkSession, root: str, longest: int = 1280) -> DataFrame:
+    """Pages (id, page, image, width, height, content) of a folder of documents, numbered as page_images() orders them."""
+    pages = page_images(spark, root).select("id", F.posexplode("images").alias("page", "image")).withColumn("_place", _place(F.col("image")))
+    held = image_contents(spark, root, longest).withColumn("_place", _place(F.col("path")))
+    return pages.join(held, "_place", "left").select("id", "page", "image", "width", "height", "content")
+
+
 def line_crops(spark: SparkSession, root: str) -> DataFrame:
     """(page, crops): existing crops in <root>/<page>/, by extension order, then name."""
     ext = F.array_position(F.array(*[F.lit(x) for x in CROP_EXTENSIONS]), F.regexp_extract("path", r"\.([^./]*)$", 1))

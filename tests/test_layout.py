@@ -131,3 +131,13 @@ def test_coded_lines(spark):
     rows = spark.createDataFrame([(0, "270-01 a-b|c"), (1, ""), (2, "lone"), (3, "271-01 d"), (4, "270-02 e")], "pos int, value string")
     got = {r["id"]: (r["gt"], r["transcription"]) for r in converters.convert_coded(rows).collect()}
     assert got == {"270": ("ab c\ne\n", "ab c e\n"), "271": ("d\n", "d\n")}
+
+
+def test_many_boxes_are_folded_in_runs(spark):
+    """Thousands of boxes of a page, of which pairs join; the order is kept and nothing is lost between runs."""
+    boxes = [(i * 10, i, k, i + 5, i * 10 + 8) for i in range(3000) for k in (0, 1)]
+    df = spark.createDataFrame([(boxes,)], f"boxes array<{layout.RAW}>")
+    got = df.select(layout.merge_same_line(F.col("boxes"), F.lit(10)).alias("l")).first()["l"]
+    assert [tuple(b) for b in got] == [(i, i * 10, i + 5, i * 10 + 8) for i in range(3000)]
+    few = spark.createDataFrame([(boxes[:n],) for n in (0, 1, 126, 127, 128, 129)], f"boxes array<{layout.RAW}>")
+    assert [r[0] for r in few.select(F.size(layout.merge_same_line(F.col("boxes"), F.lit(10)))).collect()] == [0, 1, 63, 64, 64, 65]

@@ -136,3 +136,40 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("noise\nassistant\nold\nassistant\n assistant said ", "too many requests_Per_Day")], "a string, b string")
     r = df.select(X.assistant_reply(F.col("a")), X.quota_exhausted(F.col("b")), X.join_pages(F.array(F.lit("a "), F.lit(""), F.lit(None), F.lit("b"))), X.join_lines(F.array(F.lit("a"), F.lit(None), F.lit(""), F.lit("b")))).first()
     assert tuple(r) == ("said", True, "a \n\nb", "a\n\nb")
+
+
+def test_distance_in_bands(spark):
+    """Random pairs, near and far, equal to the plain edit distance; words too."""
+    rng = random.Random(2)
+    rows = []
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh é𝄞 "])
+        a = [rng.choice(letters) for _ in range(rng.randint(0, rng.choice([3, 40, 300])))]
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 2, 5, 60])):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = [rng.choice(letters)] * rng.randint(0, 2)
+        rows.append(("".join(a), "".join(b) if rng.random() < 0.8 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 50)))))
+    rows += [("x" * 3000, "y" * 2900), ("", ""), ("", "a")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.where(M.distance(F.col("a"), F.col("b")) != F.levenshtein("a", "b")).count() == 0
+
+    def words(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            e = [i]
+            for j, y in enumerate(b, 1):
+                e.append(min(d[j] + 1, e[-1] + 1, d[j - 1] + (x != y)))
+            d = e
+        return d[-1]
+
+    r, h = F.split("a", " "), F.split("b", " ")
+    got = df.select("a", "b", M.word_distance(r, h, M.vocabulary(r, h)).alias("d")).collect()
+    assert all(x["d"] == words(x["a"].split(" "), x["b"].split(" ")) for x in got)
+
+
+def test_long_pairs_are_spread(spark):
+    rows = [(str(i), "long " * 400 + str(i), "other " * 400) for i in range(64)] + [(str(100 + i), "a", f"b{i}") for i in range(640)] + [("9", "copy " * 400, "x" * 2000)] * 64
+    dealt = M.spread(spark.createDataFrame(rows, "id string, gt string, prediction string"), parts=8)
+    long_ = [r["count"] for r in dealt.where("length(gt) > 100").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert dealt.rdd.getNumPartitions() == 8 and len(long_) == 8 and max(long_) <= 32

@@ -124,13 +124,6 @@ def test_alignment(spark):
     assert one["1"][0].endswith("three four") and one["2"] == ("", None)
     three = {r["id"]: r["prediction"] for r in align.align("m3", df, s, backend="echo").collect()}
     assert three["2"] == "" and three["1"].endswith("threa fuor")
-    off = {r["id"]: r["prediction"] for r in align.align_offline(df).collect()}
-    assert off == {"1": "one two\nthree four", "2": ""}
-    rng = random.Random(1)
-    for _ in range(20):
-        words = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(30)]
-        noisy = "\n".join(" ".join(words[k : k + 6]) for k in range(0, 30, 6))
-        assert align.break_lines(" ".join(words), noisy) == noisy
 
 
 def test_failures_retries_and_throttle(spark):
