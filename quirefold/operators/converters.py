@@ -65,10 +65,10 @@ def convert_coded(rows: DataFrame) -> DataFrame:
 
 
 def convert_cells(table: DataFrame) -> DataFrame:
-    """Rows with ID and cells _0.._k to (id, gt, transcription). Cells go in the order of their names as strings, so _10 comes
-    before _2: results that exist were made so."""
-    cells = sorted(c for c in table.columns if c.startswith("_"))
-    return gt_and_transcription(table, F.col("ID"), F.array(*[F.col(c) for c in cells]))
+    """Rows with ID and cells (a map of _0.._k, of which any may be missing) to (id, gt, transcription). Cells go in the order of their names as
+    strings, so _10 comes before _2: results that exist were made so."""
+    named = F.array_sort(F.filter(F.map_entries("cells"), lambda e: e["key"].startswith("_")))
+    return gt_and_transcription(table, F.col("ID"), F.transform(named, lambda e: e["value"]))
 
 
 def decode_xml(content: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as X
 from quirefold.functions.metrics import LEGACY_METRICS, METRICS, line_hits, prf, spread, with_metrics
+from quirefold.operators.ordered import least_before
 
 ROW = ("id", "len_gt", "len_pred", *METRICS)
 LEGACY_ROW = ("id", "len_gt", "len_pred", *LEGACY_METRICS)
@@ -75,8 +76,6 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def best_so_far(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """Is a value strictly below all before it? One run's epochs: a small table."""
-    from pyspark.sql import Window
-
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("is_best", F.coalesce(F.col(value) < F.min(value).over(before), F.lit(True)))
+    """Is a value strictly below all before it?"""
+    found = least_before(rows, order, value, "_before")
+    return found.withColumn("is_best", F.coalesce(F.col(value) < F.col("_before"), F.lit(True))).drop("_before")

@@ -398,6 +398,11 @@ def fewshot_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fewshot.hashed_examples(ids, 2, 42)
 
 
+def fewshot_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return fewshot.ring_examples(ids, 3, 42)
+
+
 def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_matrix(spark, MODEL)
 
@@ -429,7 +434,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         tokens_norm, split_lines, cer_turns, wer_turns, line_acc, rev_line_acc, exact_line_prf, exact_line_prf_norm, eval_rows, eval_rows_legacy,
         eval_macro, micro_prf, summary_long, summary_wide, resume_anti_join, page_split, page_assemble, bbox_union, line_merge_adaptive, line_merge_overlap,
-        line_numbering, gap_stats, order_stats, hash_split, split_stats, filename_parse, coded_decode, prompt_render, fewshot_pool, run_matrix,
+        line_numbering, gap_stats, order_stats, hash_split, split_stats, filename_parse, coded_decode, prompt_render, fewshot_pool, fewshot_ring, run_matrix,
         intersect_all_lines, model_parse, batch_means, best_so_far,
     )
     found = {f.__name__: f for f in plain}
@@ -488,6 +493,9 @@ def oracle_sql() -> dict[str, str]:
         "prompt_render": _prompt_sql(),
         "fewshot_pool": """WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS id, md5('42:' || doc_id) AS d FROM documents), t AS (SELECT * FROM p ORDER BY d LIMIT 3),
             j AS (SELECT p.id, t.id AS sample_id, CAST(row_number() OVER (PARTITION BY p.id ORDER BY t.d) - 1 AS INTEGER) AS position FROM p JOIN t ON p.id <> t.id) SELECT * FROM j WHERE position < 2""",
+        "fewshot_ring": """WITH p AS (SELECT id, md5('42:' || id) AS d FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents)),
+            r AS (SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS place, count(*) OVER () AS n FROM p)
+            SELECT r.id, CAST(k AS INTEGER) AS position, s.id AS sample_id FROM r CROSS JOIN range(0, 3) AS t(k) JOIN r AS s ON s.place = (r.place + k + 1) % r.n WHERE k < r.n - 1""",
         "intersect_all_lines": f"WITH a AS ({ARRAYS}), k AS (SELECT unnest(r) AS line FROM a INTERSECT ALL SELECT unnest(h) AS line FROM a) SELECT md5(line) AS line_md5, count(*) AS n FROM k GROUP BY line",
         "model_parse": """WITH m AS (SELECT ['openai', 'HF', 'other'][CAST(n_nationkey % 3 + 1 AS INTEGER)] || '/' || n_name AS model_id FROM nation)
             SELECT model_id, CASE split_part(model_id, '/', 1) WHEN 'openai' THEN 'openai' ELSE 'hf' END AS provider, CASE WHEN starts_with(model_id, 'other') THEN model_id ELSE split_part(model_id, '/', 2) END AS model,

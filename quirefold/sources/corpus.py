@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import images
@@ -173,12 +173,20 @@ def result_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cell_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Union of CSV files of different width: ID, Category, _0.._k."""
-    out = None
-    for p in sorted(paths):
-        df = spark.read.csv(p, header=True, multiLine=True)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    """(ID, Category, cells) of CSV files of different width: cells maps the other columns' names to their values, missing ones left out.
+
+    All files are one scan without a header; a file's first row names the columns of its rows.
+    """
+    wide = spark.read.text(paths).agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]  # no row has more cells than a line has commas
+    names = [f"_{i}" for i in range((wide or 0) + 1)]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(paths, multiLine=True)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.array(*names).alias("row"))
+    first = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("head", F.first("row").over(first)).withColumn("begin", F.min("pos").over(first)).where("pos > begin")
+    pairs = F.filter(F.arrays_zip(F.col("head").alias("k"), F.col("row").alias("v")), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+    one = lambda name: F.get(F.filter("pairs", lambda x: x["k"] == name), F.lit(0))["v"].alias(name)
+    cells = F.map_from_entries(F.filter("pairs", lambda x: ~x["k"].isin("ID", "Category")))
+    return rows.select(pairs.alias("pairs")).select(one("ID"), one("Category"), cells.alias("cells"))
 
 
 def line_manifest(spark: SparkSession, path: str) -> DataFrame:

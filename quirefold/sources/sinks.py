@@ -7,12 +7,12 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.metrics import METRICS
 from quirefold.operators.evaluate import LEGACY_ROW, ROW, macro_average
+from quirefold.sources.shared import written
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
@@ -96,16 +96,13 @@ def ocr_metadata(docs: DataFrame, dataset: str, segmenter: str, recognizer: str,
 def write_ocr(docs: DataFrame, root: str, dataset: str, segmenter: str, recognizer: str, model: str | None, cache_root: str) -> int:
     """<root>/ocr/<id>.txt and <id>.meta.json for recognised documents (id, ocr, num_pages, num_lines); returns the number of documents.
 
-    Recognised documents are kept for both writes, so models run once.
+    Recognised documents are a written table first, so models run once, whatever executors are lost.
     """
-    docs = docs.persist(StorageLevel.DISK_ONLY)
-    try:
-        n = write_text_per_id(docs, f"{root}/ocr", "ocr")
-        meta = ocr_metadata(docs, dataset, segmenter, recognizer, model, cache_root, root)
-        write_text_per_id(meta, f"{root}/ocr", "meta", suffix=".meta.json")
-        return n
-    finally:
-        docs.unpersist()
+    docs = written(docs, "recognised")
+    n = write_text_per_id(docs, f"{root}/ocr", "ocr")
+    meta = ocr_metadata(docs, dataset, segmenter, recognizer, model, cache_root, root)
+    write_text_per_id(meta, f"{root}/ocr", "meta", suffix=".meta.json")
+    return n
 
 
 def write_manifest(df: DataFrame, folder: str) -> None:

@@ -173,15 +173,15 @@ def test_incremental(spark, tmp_path):
     assert run() >= 1
     spark.createDataFrame([("a", "x"), ("b", "z")], "id string, gt string").write.mode("append").parquet(docs)
     run()
-    done = spark.read.parquet(str(tmp_path / "r"))
+    done = incremental.results(spark, str(tmp_path / "r"))
     assert sorted(r["id"] for r in done.collect()) == ["a", "b"]
     whole = lambda df: df.select("id", F.col("gt").alias("prediction"), F.lit(None).cast("string").alias("error"))
     incremental.evaluate_new(spark, docs, "id string, gt string", whole, str(tmp_path / "r"), str(tmp_path / "cp"), key)
-    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "r")).collect()) == ["a", "b", "c"]  # the failed one came again
-    done = spark.read.parquet(str(tmp_path / "r")).where("id <> 'c'")
+    assert sorted(r["id"] for r in incremental.results(spark, str(tmp_path / "r")).collect()) == ["a", "b", "c"]  # the failed one came again
+    done = incremental.results(spark, str(tmp_path / "r")).where("id <> 'c'")
     for _ in range(2):  # a run without failures, and one after it
         incremental.evaluate_new(spark, docs, "id string, gt string", whole, str(tmp_path / "r2"), str(tmp_path / "cp2"), key)
-    assert spark.read.parquet(str(tmp_path / "r2")).count() == 3 and not list((tmp_path / "cp2_predictions").glob("*"))
+    assert incremental.results(spark, str(tmp_path / "r2")).count() == 3 and not list((tmp_path / "cp2_predictions").glob("*"))
     state = sinks.checkpoint_state(done).first()
     assert state["processed_ids"] == ["a", "b"] and state["sums"]["wer"] == 0.0
 
@@ -209,9 +209,9 @@ def test_quota_keeps_finished_rows(spark, tmp_path):
     run = lambda: incremental.evaluate_new(spark, docs, "id string, gt string", predict, str(tmp_path / "r"), str(tmp_path / "cp"), key)
     with pytest.raises(plugins.QuotaExhausted):
         run()
-    assert spark.read.parquet(str(tmp_path / "r")).count() == 2
+    assert incremental.results(spark, str(tmp_path / "r")).count() == 2
     run()
-    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "r")).collect()) == list("abcd")
+    assert sorted(r["id"] for r in incremental.results(spark, str(tmp_path / "r")).collect()) == list("abcd")
 
 
 def test_each_page_is_asked_once(spark, tmp_path):
