@@ -2,16 +2,18 @@
 
 For each language a suffix automaton of labelled text is built. Parsing a text by longest matches against it gives
 c phrases; c * log2(n) / length (n: size of the labelled text) is the cross-parsing entropy per letter, and the
-language with the lowest wins. Letters are lower-cased; every run of other characters is one space; the commonest
-letters of the labelled text have symbols of their own, the rest share one that matches nothing.
+language with the lowest wins. Letters are lower-cased; every run of other characters is one space. The commonest letters of the labelled
+text have a symbol each, every other one of its letters a code of several symbols of its own; lengths are counted in symbols. Letters that
+the labelled text lacks share a symbol that matches nothing.
 
 The automata become one dense table whose entry for (state, symbol) holds the next state after restarting where the match
-ends, and how many phrases ended. So all texts of a batch advance together, one symbol of each at a
-time. Texts over `segment` symbols are parsed in segments, which adds at most one phrase per segment and language alike.
+ends, and how many phrases ended. So all texts of a batch advance together, one symbol of each at a time. Texts over `segment` symbols are
+parsed in pieces side by side, each as if it began a text; then every piece runs again from the state in which the one before it
+ended, until it meets its first run, and its phrases are counted anew up to there. The outcome is that of the whole text.
 
-The fit reads a bounded sample: the `max_langs` commonest languages, of each at most 2 * `docs_per_lang` labelled rows in the
-order of a hash of the row, at most `excerpt` characters of each row, and `total_chars` over all languages in equal shares,
-which bounds the table whatever the number of languages. Prediction reads whole texts and nothing but texts.
+The fit reads a bounded sample: of each language at most 2 * `docs_per_lang` labelled rows in the order of a hash of the row, at
+most `excerpt` characters of each row, and `total_chars` over all languages in equal shares (`least_chars` each where there are
+many), so that the table grows with the number of languages alone. Prediction reads whole texts and nothing but texts.
 
 Defined results: null texts and texts without a letter give `und` with score 0; ties go to the language that sorts first; without
 labelled rows everything is `und`; repeated rows get equal results; an empty table gives no rows; input columns named
@@ -36,35 +38,60 @@ from quirefold.llm.common import release_memory, small_batches
 SPACE, OTHER, FIRST = 0, 1, 2
 
 
+BASE = 16  # symbols for each digit of a letter's code; each place has its own, so that codes match as a whole or in their first digits
+
+
+@dataclass
+class Alphabet:
+    """letters: for each code point SPACE, OTHER, a symbol of its own, or, from `rare` on, the number of a code of `digits` symbols."""
+
+    letters: np.ndarray
+    rare: int
+    digits: int
+
+    @property
+    def width(self) -> int:
+        return self.rare + BASE * self.digits
+
+
 @dataclass
 class Model:
     langs: list[str]
     bits: np.ndarray  # log2 of each language's labelled size
     roots: np.ndarray
     table: np.ndarray  # (states, symbols): next state * 4 + phrases that end
-    symbols: np.ndarray  # of code points
+    alphabet: Alphabet
 
 
-def _symbol_table(texts: list[str], letters: int) -> np.ndarray:
-    """Symbol of each code point below 0x30000; letters get their lower case's symbol."""
+def _alphabet(texts: list[str], common: int) -> Alphabet:
+    """Letters get what their lower case has."""
     counts = Counter(c for t in texts for c in t if c.isalpha())
-    own = {c: FIRST + i for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:letters])}
-    table = np.zeros(0x30000, np.uint8)
-    for p in range(len(table)):
-        c = chr(p)
-        if c.isalpha():
-            low = c.lower()
-            table[p] = own.get(low, OTHER) if len(low) == 1 else OTHER
-    return table
+    own = {c: FIRST + i for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    letters = np.zeros(0x110000, np.uint32)
+    for p in range(len(letters)):
+        if (c := chr(p)).isalpha():
+            letters[p] = own.get(c.lower()[0], OTHER)
+    rare, digits = FIRST + min(common, len(own)), 0
+    while len(own) > common and BASE**digits < len(own) - common:
+        digits += 1
+    return Alphabet(letters, rare, max(digits, int(len(own) > common)))
 
 
-def _read(text: str, symbols: np.ndarray) -> np.ndarray:
+def _read(text: str, alphabet: Alphabet) -> np.ndarray:
     """Symbols of a text, each run of spaces as one."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = symbols[np.minimum(points, len(symbols) - 1)]
+    s = alphabet.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != SPACE) | (s[:-1] != SPACE)
-    return s[keep]
+    s = s[keep]
+    coded = s >= alphabet.rare
+    if not coded.any():
+        return s.astype(np.uint8)
+    sizes = np.where(coded, alphabet.digits, 1)
+    out = np.repeat(s, sizes)
+    place = np.arange(len(out)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.minimum(place, alphabet.digits - 1)
+    digit = (out.astype(np.int64) - alphabet.rare) // BASE ** (alphabet.digits - 1 - place) % BASE
+    return np.where(np.repeat(coded, sizes), alphabet.rare + BASE * place + digit, out).astype(np.uint8)
 
 
 def _automaton(symbols: list[int], width: int) -> np.ndarray:
@@ -97,15 +124,16 @@ def _automaton(symbols: list[int], width: int) -> np.ndarray:
     return go[:count]
 
 
-def build(samples: dict[str, list[str]], letters: int = 64) -> Model:
-    """A model of labelled texts by language. The table is as wide as letters occur, `letters` at most."""
+def build(samples: dict[str, list[str]], letters: int = 40) -> Model:
+    """A model of labelled texts by language; `letters` of them have a symbol each, the rest codes."""
     langs = sorted(samples)
     lowered = {k: [t.lower() for t in samples[k]] for k in langs}
-    symbols = _symbol_table([t for k in langs for t in lowered[k]], letters)
-    width = max(FIRST, int(symbols.max()) + 1)
+    alphabet = _alphabet([t for k in langs for t in lowered[k]], letters)
+    width = alphabet.width
     tables, roots, bits, base = [], [], [], 0
     for k in langs:
-        read = _read(" ".join(lowered[k]), symbols)
+        text = " ".join(lowered[k])
+        read = _read(text, alphabet)[: len(text)]  # codes do not make the table larger
         go = _automaton(read.tolist(), width)
         restart = go[0]  # after a failed match the symbol starts the next phrase
         known = restart >= 0
@@ -117,65 +145,89 @@ def build(samples: dict[str, list[str]], letters: int = 64) -> Model:
         bits.append(np.log2(max(2, len(read))))
         base += len(go)
     table = np.concatenate(tables) if tables else np.zeros((1, width), np.int32)
-    return Model(langs, np.array(bits), np.array(roots, np.int64), table, symbols)
+    return Model(langs, np.array(bits), np.array(roots, np.int64), table, alphabet)
 
 
 def entropies(model: Model, texts: list[str], segment: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(texts, languages) bits per symbol, and which texts have a letter."""
-    reads = [_read(t, model.symbols) for t in texts]
+    reads = [_read(t, model.alphabet) for t in texts]
     lettered = np.array([bool((r != SPACE).any()) for r in reads])
     lengths = np.array([len(r) for r in reads], np.int64)
     pieces = -(-lengths // segment)
     owner = np.repeat(np.arange(len(texts)), pieces)
     width, n = model.table.shape[1], len(model.langs)
     phrases = np.zeros((len(texts), n))
-    if len(owner) and n:
-        segment = min(segment, int(lengths.max()))
-        grid = np.zeros((len(owner), segment), np.uint8)
-        size = np.full(len(owner), segment, np.int64)
-        at = 0
-        for r, k in zip(reads, pieces.tolist(), strict=True):
-            if k:
-                grid[at : at + k].reshape(-1)[: len(r)] = r
-                size[at + k - 1] = len(r) - (k - 1) * segment
-                at += k
-        order = np.argsort(-size, kind="stable")
-        grid, size, owner = np.ascontiguousarray(grid[order].T), size[order], owner[order]
-        flat = model.table.reshape(-1)
-        state = np.tile(model.roots[:, None], (1, len(owner)))
-        ended = np.zeros((n, len(owner)), np.int32)
-        for k in range(int(size[0])):
-            live = int(np.searchsorted(-size, -k, side="left"))  # those longer than k
-            x = flat[state[:, :live] * width + grid[k, :live]]
-            ended[:, :live] += x & 3
-            state[:, :live] = x >> 2
-        ended += state != model.roots[:, None]
-        for j in range(n):
-            phrases[:, j] = np.bincount(owner, ended[j], len(texts))
+    if not len(owner) or not n:
+        return phrases, lettered
+    segment = min(segment, int(lengths.max()))
+    grid = np.zeros((len(owner), segment), np.uint8)
+    size = np.full(len(owner), segment, np.int64)
+    at = 0
+    for r, k in zip(reads, pieces.tolist(), strict=True):
+        if k:
+            grid[at : at + k].reshape(-1)[: len(r)] = r
+            size[at + k - 1] = len(r) - (k - 1) * segment
+            at += k
+    follows, final = np.r_[False, owner[1:] == owner[:-1]], np.r_[owner[1:] != owner[:-1], True]
+    flat, roots = model.table.reshape(-1), model.roots[:, None]
+    order = np.argsort(-size, kind="stable")
+    sorted_, by_size = np.ascontiguousarray(grid[order].T), size[order]
+    state, ended = np.tile(roots, (1, len(owner))), np.zeros((n, len(owner)), np.int64)
+    for k in range(int(by_size[0])):
+        live = int(np.searchsorted(-by_size, -k, side="left"))  # those longer than k
+        x = flat[state[:, :live] * width + sorted_[k, :live]]
+        ended[:, :live] += x & 3
+        state[:, :live] = x >> 2
+    state[:, order], ended[:, order] = state.copy(), ended.copy()
+    # Pieces that follow another begin in its last state; from where both runs are in one state they are the same.
+    first, todo, more = state.copy(), np.flatnonzero(follows), np.zeros_like(ended)
+    while len(todo):
+        a, b = np.tile(roots, (1, len(todo))), state[:, todo - 1].copy()
+        gain = np.zeros_like(a)
+        apart = np.arange(len(todo))
+        for k in range(segment):
+            apart = apart[((a[:, apart] != b[:, apart]).any(axis=0)) & (size[todo[apart]] > k)]
+            if not len(apart):
+                break
+            symbol = grid[todo[apart], k]
+            x, y = flat[a[:, apart] * width + symbol], flat[b[:, apart] * width + symbol]
+            gain[:, apart] += (y & 3) - (x & 3)
+            a[:, apart], b[:, apart] = x >> 2, y >> 2
+        more[:, todo] = gain
+        met = (a == b).all(axis=0)
+        now = np.where(met, first[:, todo], b)
+        changed = (now != state[:, todo]).any(axis=0)
+        state[:, todo] = now
+        todo = todo[changed & ~final[todo]] + 1
+    ended += more + np.where(final[None, :], state != roots, False)
+    for j in range(n):
+        phrases[:, j] = np.bincount(owner, ended[j], len(texts))
     return phrases * model.bits[None, :] / np.maximum(lengths, 1)[:, None], lettered
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 300, excerpt: int = 1000, total_chars: int = 120_000, max_langs: int = 200) -> Model:
-    """labelled: doc_id, text, lang. Only the bounded sample described above reaches the driver."""
+def sample(labelled: DataFrame, docs_per_lang: int = 300, excerpt: int = 1000, total_chars: int = 120_000, least_chars: int = 500) -> dict[str, list[str]]:
+    """Excerpts by language of labelled rows (doc_id, text, lang). Only the bounded sample described above reaches the driver."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    counts = {r["lang"]: r["n"] for r in common.collect()}
-    if not counts:
-        return build({})
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1_000_000_007)) / 1_000_000_007
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
-    held = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+    held = rows.withColumn("draw", draw).join(F.broadcast(counts), "lang")  # one row a language
+    held = held.where(F.col("draw") < F.lit(float(docs_per_lang)) / F.col("n"))
     held = held.select("lang", "draw", F.substring("text", 1, excerpt).alias("text")).where(F.length(F.trim("text")) > 0).distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))  # of the sample: some docs_per_lang rows of a language
     held = held.withColumn("nth", nth).where(F.col("nth") <= 2 * docs_per_lang)
-    each = max(1, total_chars // len(counts))
+    each = max(least_chars, total_chars // max(1, counts.count()))
     samples: dict[str, list[str]] = {}
     used: Counter = Counter()
     for r in held.sort("lang", "nth").toLocalIterator():
         if used[r["lang"]] < each:
             samples.setdefault(r["lang"], []).append(r["text"][: each - used[r["lang"]]])
             used[r["lang"]] += len(r["text"])
-    return build({k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)})
+    return {k: v for k, v in samples.items() if any(c.isalpha() for t in v for c in t)}
+
+
+def fit(labelled: DataFrame, **bounds: int) -> Model:
+    """A model of labelled rows (doc_id, text, lang), of which sample() takes a bounded part."""
+    return build(sample(labelled, **bounds))
 
 
 def predict(docs: DataFrame, model: Model, segment: int = 4096, batch_chars: int = 4_000_000) -> DataFrame:
@@ -185,7 +237,7 @@ def predict(docs: DataFrame, model: Model, segment: int = 4096, batch_chars: int
     names = keep.columns
     at_text = [c.lower() for c in names].index("text")
     keep = keep.toDF(*[f"c{k}" for k in range(len(names))])  # names may hold dots
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()'s total_chars
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as sample()'s characters allow
 
     def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
         m = shared.value
