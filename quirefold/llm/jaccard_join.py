@@ -4,13 +4,14 @@
    from the exchange of grams.py; a set's prefix is its n - ceil(t n) + 1 rarest shingles. Two sets of
    Jaccard similarity t or more share a prefix shingle, so one whose prefix has no shingle of another document is done.
 2. Documents with equal sets are one class; classes with identical prefixes and size are one group.
-3. Group pairs: sizes fall into steps of 1 / t, so that two sets that link are of one step or of neighbouring ones. The groups
-   that hold a prefix shingle in a step are tied to the least of them, and that one to the least of the next step:
-   edges in proportion to the prefixes, not pairs, made by sums that combine before the exchange. What is not tied is filtered out.
-4. Each tied set of groups is expanded to its classes, dealt by step and hash into parts of about `chunk`. Parts of one step or
-   of neighbouring ones are compared exactly, by size window and by a scan of the parts' shingles; pairs already joined are skipped.
-   Only the links that join something new are kept.
-5. Components of these links, and the smallest doc_id of each.
+3. Groups that share a prefix shingle, in one step of sizes (of 1 / t) or in neighbouring ones, are tied: edges to the least of them, in
+   proportion to the prefixes. What is not tied is filtered out. Tied sets of up to `chunk` classes are compared as a whole, each set sent once.
+4. In larger tied sets the ties are not taken as they come. A prefix shingle of at most `few` classes gives group pairs, filtered
+   by size and by position (after their first common shingle there have to be enough left on both sides), each pair once; pairs are
+   expanded to their classes and verified. Shingles of more classes tie their groups anew, by themselves: these sets are
+   dealt by step and hash into parts of about `chunk`, and parts of one step or of neighbouring ones are compared, so that no
+   pairs are emitted for hot shingles.
+5. All comparisons are exact. Components of the verified links, and the smallest doc_id of each.
 
 Defined results: with fewer words than `width` the whole text is one shingle; a null text or one without words has an empty
 set, links with nothing and is its own component; equal non-empty sets always link; repeated rows are rows of one class;
@@ -21,6 +22,7 @@ are sets like any other.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from quirefold.llm import grams
 from quirefold.llm.common import materialize, release_memory, small_batches
 from quirefold.llm.components import components
 
-RECORD = "doc_id long, n_shingles long, class string, grp string, prefix array<long>, shingles binary"
+RECORD = "doc_id long, n_shingles long, class string, grp string, prefix array<long>, places array<int>, shingles binary"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -67,7 +69,8 @@ def _split(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_tokens: int) -> DataFrame:
-    """RECORD rows: prefix holds the prefix shingles that another document has; shingles is null where there are none."""
+    """RECORD rows: prefix holds the prefix shingles that another document has, places where they stand in the set, the rarest first; shingles is null
+    where there are none."""
     small_batches(docs.sparkSession)
     rows, shards = grams.in_blocks(docs, block_bytes, shard_tokens)
     grouped = rows.groupBy("block")
@@ -114,17 +117,18 @@ def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_t
         for doc_id, h in zip(table.column("doc_id").to_pylist(), sets, strict=True):
             n = len(h)
             if not n:
-                out.append((doc_id, 0, None, None, [], None))
+                out.append((doc_id, 0, None, None, [], [], None))
                 continue
             code = codes[np.searchsorted(values, h)]
             keep = np.lexsort((h, code))[: n - _required(n, percent) + 1]
             prefix = h[keep]
-            shared = np.sort(prefix[code[keep] > 1]).view(np.int64)
+            places = np.flatnonzero(code[keep] > 1)
+            shared = prefix[places].view(np.int64)
             data = h.tobytes()
             group = hashlib.md5(np.sort(prefix).tobytes() + n.to_bytes(8, "little")).hexdigest()
-            out.append((doc_id, n, hashlib.md5(data).hexdigest(), group, shared.tolist(), data if len(shared) else None))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "n_shingles", "class", "grp", "prefix", "shingles"])
+            out.append((doc_id, n, hashlib.md5(data).hexdigest(), group, shared.tolist(), places.tolist(), data if len(shared) else None))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "n_shingles", "class", "grp", "prefix", "places", "shingles"])
 
     return materialize(grouped.cogroup(answers.groupBy("block")).applyInArrow(combine, RECORD), "join-records")
 
@@ -167,24 +171,90 @@ def verified_links(names: list[str], sets: list[np.ndarray], percent: int, sides
     return links
 
 
-def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: int = 1000, block_bytes: int = 4_000_000, shard_tokens: int = 500_000) -> DataFrame:
+def _tied(held: DataFrame) -> DataFrame:
+    """(node, label) of groups (gram, step, grp) that share a gram in one step or in neighbouring ones: edges to the least of a step, and from it to the next."""
+    firsts = materialize(held.groupBy("gram", "step").agg(F.min("grp").alias("least"), F.count(F.lit(1)).alias("m")), "join-firsts")
+    own = held.join(firsts.where("m > 1").select("gram", "step", "least"), ["gram", "step"]).where("grp <> least").select(F.col("grp").alias("a"), F.col("least").alias("b"))
+    above = firsts.select("gram", (F.col("step") - 1).alias("step"), F.col("least").alias("next"))
+    return components(own.unionByName(firsts.join(above, ["gram", "step"]).select(F.col("least").alias("a"), F.col("next").alias("b"))))
+
+
+def group_pairs(held: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of groups (gram, place, grp, n, k classes) that share a gram, once each: a <= b, a = b where a group has several classes.
+
+    Filtered by size and position. Pairs of groups with one label in hot (node, label) are left out: they are compared there.
+    """
+    labels = hot.select(F.col("node").alias("grp"), F.col("label"))
+    held = held.join(labels, "grp", "left")
+    x, y = held.alias("x"), held.alias("y")
+    least = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.grp") < F.col("y.grp")) | ((F.col("x.grp") == F.col("y.grp")) & (F.col("x.k") > 1)))
+    pairs = pairs.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).where(F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least)
+    pairs = pairs.where(~F.coalesce(F.col("x.label") == F.col("y.label"), F.lit(False)))
+    return pairs.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
+
+
+def _pair_links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the classes of group pairs, by their sets."""
+    side = lambda k: classes.select(F.col("grp").alias(k), F.col("class").alias(f"class_{k}"))
+    each = pairs.join(side("a"), "a").join(side("b"), "b").where("a <> b or class_a < class_b").select("class_a", "class_b")
+    sets = lambda k: classes.select(F.col("class").alias(f"class_{k}"), F.col("shingles").alias(f"set_{k}"))
+    each = each.join(sets("a"), "class_a").join(sets("b"), "class_b").select("class_a", "class_b", "set_a", "set_b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch["set_a"], batch["set_b"], strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            found = batch.select(["class_a", "class_b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, names=["a", "b"])
+
+    return each.mapInArrow(verify, "a string, b string")
+
+
+def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: int = 1000, few: int = 32, block_bytes: int = 4_000_000, shard_tokens: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     rows = records(docs, percent, width, block_bytes, shard_tokens)
     shared = rows.where("shingles is not null")
     n = F.col("n_shingles")
     step = (F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else n).cast("int")
-    groups = shared.select("grp", "prefix", step.alias("step")).dropDuplicates(["grp"])
-    held = groups.select(F.explode("prefix").alias("gram"), "step", "grp")
-    firsts = materialize(held.groupBy("gram", "step").agg(F.min("grp").alias("least"), F.count(F.lit(1)).alias("m")), "join-firsts")
-    own = held.join(firsts.where("m > 1").select("gram", "step", "least"), ["gram", "step"]).where("grp <> least").select(F.col("grp").alias("a"), F.col("least").alias("b"))
-    above = firsts.select("gram", (F.col("step") - 1).alias("step"), F.col("least").alias("next"))
-    ties = own.unionByName(firsts.join(above, ["gram", "step"]).select(F.col("least").alias("a"), F.col("next").alias("b")))
-    tied = components(ties)
+    groups = shared.select("grp", "prefix", "places", step.alias("step"), n.alias("n")).dropDuplicates(["grp"])
+    tied = _tied(groups.select(F.explode("prefix").alias("gram"), "step", "grp"))
     # Groups of more than one class, or tied to others, are expanded; an exchange of their sets only.
     classes = shared.select("class", "grp", step.alias("step"), "shingles").dropDuplicates(["class"])
     g = tied.select(F.col("node").alias("grp"), "label")
     classes = classes.join(g, "grp", "left").withColumn("label", F.coalesce("label", "grp"))
-    classes = materialize(classes.select("class", "label", "step", "shingles"), "join-classes")
+    classes = materialize(classes.select("class", "grp", "label", "step", "shingles"), "join-classes")
+    large = materialize(classes.groupBy("label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > chunk).select("label"), "join-large")
+    links = []
+    if large.limit(1).count():
+        inside = materialize(classes.join(large, "label", "left_semi").select("class", "grp", "shingles"), "join-inside")
+        held = inside.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).join(groups, "grp").select("grp", "n", "step", "k", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
+        held = held.select("grp", "n", "step", "k", F.col("p.prefix").alias("gram"), F.col("p.places").alias("place"))
+        crowd = held.groupBy("gram").agg(F.sum("k").alias("m")).where("m > 1")
+        held = materialize(held.join(crowd, "gram"), "join-held")
+        hot = _tied(held.where(F.col("m") > few).select("gram", "step", "grp"))
+        pairs = group_pairs(held.where(F.col("m") <= few).select("gram", "place", "grp", "n", "k"), hot, percent)
+        links.append(_pair_links(pairs, inside, percent))
+        kept = classes.join(large, "label", "left_anti").select("class", "label", "step", "shingles")
+        anew = hot.select(F.col("node").alias("grp"), F.col("label").alias("hot"))
+        classes = kept.unionByName(classes.join(large, "label", "left_semi").join(anew, "grp").select("class", F.col("hot").alias("label"), "step", "shingles"))
+        classes = materialize(classes, "join-split")
+    links.append(_block_links(classes.select("class", "label", "step", "shingles"), percent, chunk))
+    found = links[0] if len(links) == 1 else links[0].unionByName(links[1])
+    joined = components(found).select(F.col("node").alias("class"), "label")
+    # Smallest ids are summed up by class, then by component, so that the rows of a large class are joined once only, by Spark's skew join.
+    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(joined, "class", "left")
+    smallest = least.where("label is not null").groupBy("label").agg(F.min("least").alias("smallest"))
+    known = least.join(smallest, "label", "left").select("class", F.coalesce("smallest", "least").alias("component_id"))
+    out = rows.where("class is not null").join(known, "class", "left").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _block_links(classes: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Links of classes (class, label, step, shingles) of one label, part by part of about `chunk`."""
     steps = materialize(classes.groupBy("label", "step").agg(F.count(F.lit(1)).alias("m")), "join-steps")
     after = steps.select("label", (F.col("step") - 1).alias("step"), F.col("m").alias("m_next"))
     steps = steps.join(after, ["label", "step"], "left").withColumn("parts", F.ceil(F.col("m") / chunk).cast("int")).withColumn("parts_next", F.ceil(F.coalesce("m_next", F.lit(0)) / chunk).cast("int"))
@@ -210,11 +280,4 @@ def join_components(docs: DataFrame, percent: int = 90, width: int = 3, chunk: i
         links = verified_links(table.column("class").to_pylist(), sets, percent, sides)
         return pa.table([pa.array([k[i] for k in links], pa.string()) for i in (0, 1)], names=["a", "b"])
 
-    links = dealt.groupBy("label", "step", "p", "q").applyInArrow(verify, "a string, b string")
-    joined = components(links).select(F.col("node").alias("class"), "label")
-    # Smallest ids are summed up by class, then by component, so that the rows of a large class are joined once only, by Spark's skew join.
-    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(joined, "class", "left")
-    smallest = least.where("label is not null").groupBy("label").agg(F.min("least").alias("smallest"))
-    known = least.join(smallest, "label", "left").select("class", F.coalesce("smallest", "least").alias("component_id"))
-    out = rows.where("class is not null").join(known, "class", "left").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return dealt.groupBy("label", "step", "p", "q").applyInArrow(verify, "a string, b string")

@@ -158,12 +158,12 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("percent,chunk", [(90, 1000), (80, 4)])
-def test_jaccard_join(spark, docs, empty, all_rows, percent, chunk):
+@pytest.mark.parametrize("percent,chunk,few", [(90, 1000, 32), (80, 4, 1), (80, 4, 5), (90, 2, 1000)])
+def test_jaccard_join(spark, docs, empty, all_rows, percent, chunk, few):
     more = [(i + 500, t, None, None, None) for i, t in near_copies()]
     rows = [*all_rows, *more]
     df = docs.drop("extra").unionByName(spark.createDataFrame(more, docs.drop("extra").schema))
-    got = jaccard_join.join_components(df.withColumn("label", F.lit("clash")), percent=percent, chunk=chunk, block_bytes=4000, shard_tokens=500)
+    got = jaccard_join.join_components(df.withColumn("label", F.lit("clash")), percent=percent, chunk=chunk, few=few, block_bytes=4000, shard_tokens=500)
     mine = sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got.collect())
     assert mine == brute_components(rows, percent, 3)
     assert jaccard_join.join_components(empty).count() == 0
@@ -310,3 +310,22 @@ def test_pipeline_stages(spark, docs, empty, all_rows):
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, empty, "").columns == cp.COLUMNS and stage(spark, empty, "").count() == 0
     assert cp.packed(spark, before, "").columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_overlapping_paragraphs_make_pairs_in_proportion(spark, monkeypatch):
+    """Documents of ten paragraphs that share nine with the next: one tied set of all, few pairs each, no links."""
+    paragraph = lambda k: " ".join(f"p{k}w{j}" for j in range(12))
+    counted, pairs_of = [], jaccard_join.group_pairs
+
+    def counting(held, hot, percent):
+        pairs = pairs_of(held, hot, percent).cache()
+        counted.append((pairs.count(), hot.count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "group_pairs", counting)
+    for n in (150, 300):
+        df = spark.createDataFrame([(i, " ".join(paragraph(i + k) for k in range(10)), None, None, None) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long")
+        got = jaccard_join.join_components(df, chunk=50, few=32).collect()
+        assert sorted(r["component_id"] for r in got) == list(range(n))
+    assert all(hot == 0 for _, hot in counted)
+    assert counted[1][0] <= 2.2 * counted[0][0] and counted[1][0] <= 20 * 300
