@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import geometry as G
 from quirefold.functions import text as X
+from quirefold.functions.folds import fold
 
 #: Boxes as detectors give them; the field order makes array_sort order by (y1, x1, pos).
 RAW = "struct<y1:int,x1:int,pos:int,x2:int,y2:int>"
@@ -70,30 +71,17 @@ def page_chunks(df: DataFrame, text: str, images: str, htr: str | None = None) -
     return out.where("chunk <> ''")
 
 
-def _merged(boxes: Column, joins, run: int = 64) -> Column:
-    """Left fold over sorted boxes: a box joins the open group's union or closes it and opens one.
+def _merged(boxes: Column, joins) -> Column:
+    """Left fold over sorted boxes: a box joins the open group's union or closes it and opens one."""
 
-    Closed groups gather in runs, so that a step copies a short list, not all groups before it.
-    """
-    state = f"struct<done:array<array<{G.BOX}>>,run:array<{G.BOX}>,open:{G.BOX}>"
-    none = F.array().cast(f"array<{G.BOX}>")
-
-    def step(a: Column, b: Column) -> Column:
-        here, open_ = G.box(b["x1"], b["y1"], b["x2"], b["y2"]), a["open"]
-        first = open_.isNull()
-        joined = ~first & joins(open_, here)
-        full = F.size(a["run"]) >= run - 1
-        closed = F.concat(a["run"], F.array(open_))
-        stays = first | joined
-        return F.struct(
-            F.when(stays | ~full, a["done"]).otherwise(F.concat(a["done"], F.array(closed))).alias("done"),
-            F.when(stays, a["run"]).when(full, none).otherwise(closed).alias("run"),
-            F.when(joined, G.union(open_, here)).otherwise(here).alias("open"),
-        ).cast(state)
+    def step(open_: Column, b: Column) -> tuple[Column, Column]:
+        here = G.box(b["x1"], b["y1"], b["x2"], b["y2"])
+        joined = open_.isNotNull() & joins(open_, here)
+        return F.when(joined, G.union(open_, here)).otherwise(here), F.when(~joined, open_)
 
-    begin = F.struct(F.array().alias("done"), F.array().alias("run"), F.lit(None).alias("open")).cast(state)
-    end = lambda a: F.concat(F.flatten(a["done"]), a["run"], F.when(a["open"].isNull(), none).otherwise(F.array(a["open"])))
-    return F.aggregate(boxes, begin, step, end)
+    end = lambda a: F.concat(a["items"], F.when(a["carry"].isNull(), F.array().cast(f"array<{G.BOX}>")).otherwise(F.array(a["carry"])))
+    folded = F.transform(F.array(boxes), lambda all_: fold(all_, F.lit(None), G.BOX, G.BOX, step))  # an array of one binds the boxes to a name
+    return F.element_at(F.transform(folded, end), 1)
 
 
 def _tallest(boxes: Column) -> Column:
