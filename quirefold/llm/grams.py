@@ -112,7 +112,7 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def in_blocks(docs: DataFrame, block_bytes: int, shard_tokens: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) and the number of shards.
+    """(doc_id, text, block) and the number of shards. doc_id stays a string if it is one, else it becomes a long.
 
     The sizes given are least sizes. With T tokens in all, a block or shard grows to 10 * sqrt(T) tokens, so that a list from
     a block to a shard holds some 100 n-grams at any scale (16 million tokens, about 1.5 GB of a task, for 10 TB of text).
@@ -124,7 +124,8 @@ def in_blocks(docs: DataFrame, block_bytes: int, shard_tokens: int) -> tuple[Dat
     blocks, shards = max(1, -(-total // block_bytes)), max(1, -(-total // (6 * shard_tokens)))
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     block = F.pmod(key, F.lit(blocks)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block")), min(shards, 1 << 20)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(F.col("doc_id").cast("string" if kind == "string" else "long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block")), min(shards, 1 << 20)
 
 
 def sort_order(values: np.ndarray, shard: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ from quirefold.llm import grams
 from quirefold.llm.common import materialize, release_memory, small_batches
 from quirefold.llm.components import components
 
-RECORD = "doc_id long, n_shingles long, class string, grp string, prefix array<long>, places array<int>, shingles binary"
+RECORD = "doc_id {}, n_shingles long, class string, grp string, prefix array<long>, places array<int>, shingles binary"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -74,6 +74,8 @@ def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_t
     small_batches(docs.sparkSession)
     rows, shards = grams.in_blocks(docs, block_bytes, shard_tokens)
     grouped = rows.groupBy("block")
+    named = rows.schema["doc_id"].dataType.simpleString()  # bigint or string
+    id_type = pa.string() if named == "string" else pa.int64()
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         release_memory()  # what the group before has freed
@@ -127,10 +129,10 @@ def records(docs: DataFrame, percent: int, width: int, block_bytes: int, shard_t
             data = h.tobytes()
             group = hashlib.md5(np.sort(prefix).tobytes() + n.to_bytes(8, "little")).hexdigest()
             out.append((doc_id, n, hashlib.md5(data).hexdigest(), group, shared.tolist(), places.tolist(), data if len(shared) else None))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        kinds = (id_type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "n_shingles", "class", "grp", "prefix", "places", "shingles"])
 
-    return materialize(grouped.cogroup(answers.groupBy("block")).applyInArrow(combine, RECORD), "join-records")
+    return materialize(grouped.cogroup(answers.groupBy("block")).applyInArrow(combine, RECORD.format(named)), "join-records")
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

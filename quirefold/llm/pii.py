@@ -25,6 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions.folds import chunks, fold
 from quirefold.llm.common import materialize, small_batches
 
 #: Kinds in the order of ties: fixed values. Possessive quantifiers and the left border spare the regex engine
@@ -81,16 +82,32 @@ def _located(text: Column, pattern: str, kind: str, at_all: Column, valid: Calla
     both = F.when(at_all, F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, p, -1).alias("g"))).otherwise(F.arrays_zip(none.alias("m"), none.alias("g")))
     rank = KINDS.index(kind)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["g"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), _value(kind, x["m"]).alias("value")).cast(_SPAN)
         m = F.coalesce(x["m"], F.lit(""))
-        keep = x["m"].isNotNull() & (valid(m) if valid else _valid(kind, m))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+        return end, F.when(x["m"].isNotNull() & (valid(m) if valid else _valid(kind, m)), span)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    return F.aggregate(both, start, step, lambda a: a["spans"])
+    matches = lambda both: fold(both, F.lit(0), "bigint", _SPAN, step)["items"]
+    return F.element_at(F.transform(F.array(both), matches), 1)
+
+
+def _clear(base: Column, terms: Column) -> Column:
+    """The terms that overlap no base span, in one walk over both by start. Terms do not overlap each other."""
+    carry = f"struct<reach:bigint,held:{_SPAN}>"
+
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        term, held = x["kind"] == "term", a["held"]
+        hit = ~term & (x["start"] < held["end"])  # a base span that begins within the term before it
+        reach = F.when(term, a["reach"]).otherwise(F.greatest(a["reach"], x["end"]))
+        after = F.struct(reach.alias("reach"), F.when(term & (x["start"] >= a["reach"]), x).alias("held"))
+        return after, F.when(held.isNotNull() & ~hit, held)
+
+    walk = lambda both: fold(both, F.struct(F.lit(0).alias("reach"), F.lit(None).alias("held")), carry, _SPAN, step)
+    end = lambda a: F.concat(a["items"], F.when(a["carry"]["held"].isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(F.array(a["carry"]["held"])))
+    walked = F.transform(F.transform(F.array(F.sort_array(F.concat(base, terms))), walk), end)
+    return F.when(F.size(terms) == 0, terms).otherwise(F.element_at(walked, 1))
 
 
 def with_base(docs: DataFrame) -> DataFrame:
@@ -119,12 +136,14 @@ def flagged_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, dou
     entity = F.explode(F.array_distinct(F.transform("base_spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))))
     mentions = materialize(with_base(texts.select("text")).where(F.size("base_spans") > 0).dropDuplicates(["text_key"]).select("text_key", "text", "base_spans"), "pii-mentions")
     held = materialize(mentions.select("text_key", entity.alias("entity")), "pii-held")
-    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")).where((F.col("c_e") >= support) & (F.col("c_e") < n))  # in all texts: nothing to tell
-    held = materialize(held.join(entities, "entity"), "pii-entities")
+    # Entities, and terms, that stand in the same texts tell the same: each set of texts is one class, known by its size and two 64-bit sums.
+    sums = lambda k: (F.bit_xor(F.xxhash64("text_key")).alias(f"{k}1"), F.bit_xor(F.xxhash64("text_key", F.lit(1))).alias(f"{k}2"))
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"), *sums("e")).where((F.col("c_e") >= support) & (F.col("c_e") < n))  # in all texts: nothing to tell
+    held = materialize(held.join(entities, "entity").select("text_key", "c_e", "e1", "e2").distinct(), "pii-entities")
     # The exchange is of texts, one of each task's copies; terms are summed in each task before theirs.
     # explode_outer: a plain explode would be preceded by a filter that finds the terms a second time
-    used = texts.dropDuplicates(["text_key"]).select(F.explode_outer(_terms(F.col("text"))).alias("term"))
-    frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t")).where(F.col("c_t") >= support)
+    used = texts.dropDuplicates(["text_key"]).select("text_key", F.explode_outer(_terms(F.col("text"))).alias("term"))
+    frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("c_t"), *sums("t")).where(F.col("c_t") >= support)
 
     def told_by(both: Column) -> Column:
         """Whether a term that shares `both` texts with an entity can be flagged."""
@@ -134,11 +153,14 @@ def flagged_terms(docs: DataFrame, support: int = 3, threshold: float = 0.9, dou
     # c_et is c_e and c_t at most: a term too common for the most common entity of a text can be left out before pairs are made.
     near = mentions.join(held.groupBy("text_key").agg(F.max("c_e").alias("c_e")), "text_key")
     near = near.select("text_key", "c_e", F.explode_outer(_terms(F.col("text"))).alias("term")).join(frequency, "term")
-    near = near.where(1 - F.log(F.col("c_t") / F.least("c_e", "c_t")) / F.log(F.lit(float(n)) / F.col("c_e")) >= threshold).select("text_key", "term", "c_t")
-    pairs = near.join(held, "text_key").where(told_by(F.least("c_e", "c_t")))
-    pairs = pairs.groupBy("entity", "term", "c_e", "c_t").agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
+    near = near.where(1 - F.log(F.col("c_t") / F.least("c_e", "c_t")) / F.log(F.lit(float(n)) / F.col("c_e")) >= threshold).select("text_key", "term", "c_t", "t1", "t2")
+    near = materialize(near, "pii-near")
+    terms = ["c_t", "t1", "t2"]
+    pairs = near.select("text_key", *terms).distinct().join(held, "text_key").where(told_by(F.least("c_e", "c_t")))
+    pairs = pairs.groupBy("c_e", "e1", "e2", *terms).agg(F.count(F.lit(1)).alias("c_et")).where(F.col("c_et") >= support)
     told = pairs.where(told_by(F.col("c_et"))).withColumn("disclosure", 1 - F.log(F.col("c_t") / F.col("c_et")) / F.log(F.lit(float(n)) / F.col("c_e")))
-    return materialize(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-flagged")
+    told = told.groupBy(*terms).agg(F.max("disclosure").alias("disclosure"))
+    return materialize(near.select("term", *terms).distinct().join(told, terms).select("term", "disclosure"), "pii-flagged")
 
 
 def find(docs: DataFrame, support: int = 3, threshold: float = 0.9, doubt: float = 1000.0) -> DataFrame:
@@ -151,8 +173,8 @@ def find(docs: DataFrame, support: int = 3, threshold: float = 0.9, doubt: float
     told = materialize(told.groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "pii-terms")
     joined = with_base(rows).join(told, "text_key", "left")
     found = _located(F.col("text"), r"\p{L}{3,}+", "term", F.col("terms").isNotNull(), lambda m: F.array_contains("terms", F.lower(m)))
-    clear = F.filter(found, lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    out = joined.select("row", "base_spans", F.sort_array(F.concat("base_spans", clear)).alias("spans"))
+    clear = _clear(F.col("base_spans"), F.col("found"))
+    out = joined.withColumn("found", found).select("row", "base_spans", F.sort_array(F.concat("base_spans", clear)).alias("spans"))
     return out.select(*[F.col("row")[c].alias(c) for c in kept], "base_spans", "spans")
 
 
@@ -160,16 +182,26 @@ def clean(text: Column, spans: Column) -> Column:
     """The text with base spans generalised to their kind and terms removed; overlapping spans give one mark."""
     whole = F.coalesce(text, F.lit(""))
 
-    def step(a: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        kept = F.substring(whole, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        after = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(kept, mark)).alias("out"))
-        over = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        return F.when(s["start"] >= a["at"], after).otherwise(over)
+    numbers, part = chunks(spans)
+
+    def many(a: Column, k: Column) -> Column:
+        """A chunk of spans: cut out of the part of the text between its places, not out of the whole."""
+        upto = F.greatest(a["at"], F.array_max(F.transform(part(k), lambda s: s["end"])))
+        here = F.substring(whole, (a["at"] + 1).cast("int"), (upto - a["at"]).cast("int"))
+
+        def step(b: Column, s: Column) -> Column:
+            mark = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            kept = F.substring(b["here"], (b["at"] - a["at"] + 1).cast("int"), (s["start"] - b["at"]).cast("int"))
+            out = F.when(s["start"] >= b["at"], F.concat(b["out"], F.array(kept, mark))).otherwise(b["out"])
+            return F.struct(F.greatest(b["at"], s["end"]).alias("at"), b["here"].alias("here"), out.alias("out"))
+
+        begin = F.struct(a["at"].alias("at"), here.alias("here"), F.array().cast("array<string>").alias("out"))
+        done = lambda b: F.struct(b["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(b["out"], ""))).alias("out"))
+        return F.aggregate(part(k), begin, step, done)
 
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(whole, (a["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(numbers, begin, many, rest))
 
 
 def span_list(spans: Column) -> Column:

@@ -164,11 +164,11 @@ def test_pipeline_run(spark, table, vocabularies):
     out = cp.run(spark, folder).collect()
     assert lazy.count() == len(rows)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = cp.near_copies(spark, cp.language(spark, docs, folder), folder).cache()
+    kept = cp.near_copies(spark, cp.language(spark, docs, folder), folder)  # lazy, like the one made of it below
     alike = {i: c for i, _, c in brute_components([r for r in rows if any(c.isalpha() for c in r[1] or "")], 80, 5)}
     assert {r["doc_id"] for r in kept.collect()} == set(alike.values())
     told = pii.find(kept).select("doc_id", "text", pii.span_list(F.col("spans")).alias("s")).collect()
-    clean = cp.personal_data(spark, kept, folder).cache()
+    clean = cp.personal_data(spark, kept, folder)
     texts = {r["doc_id"]: r for r in clean.collect()}
     for r in told:
         want, at = [], 0
@@ -179,8 +179,8 @@ def test_pipeline_run(spark, table, vocabularies):
         assert texts[r["doc_id"]]["text"] == "".join(want) + r["text"][at:]
         assert not base_spans(texts[r["doc_id"]]["text"]) or "," in r["s"]
     mixed = {r["doc_id"]: r for r in cp.mixture(spark, clean, folder).collect()}
-    plan = {r["doc_id"]: r for r in mixing.mix(clean.withColumn("id", F.col("doc_id")).withColumn("doc_id", F.xxhash64(*cp.COLUMNS))).select(F.col("doc_id"), "taken").collect()}
-    hashed = {r["doc_id"]: r["h"] for r in clean.select("doc_id", F.xxhash64(*cp.COLUMNS).alias("h")).collect()}
+    plan = {r["doc_id"]: r for r in mixing.mix(cp._keyed(clean).select(F.col("_row").alias("doc_id"), "text", "source")).select(F.col("doc_id"), "taken").collect()}
+    hashed = {r["doc_id"]: r["h"] for r in cp._keyed(clean).select("doc_id", F.col("_row").alias("h")).collect()}
     for i, r in texts.items():
         taken, size = plan[hashed[i]]["taken"], len(words(r["text"]))
         assert (i in mixed) == (taken > 0)

@@ -1,7 +1,9 @@
 """Chat formatting, fingerprints and personal data against plain restatements."""
 
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quirefold.llm import chat, fingerprints, pii
@@ -140,3 +142,62 @@ def test_pii_terms_of_the_whole_text(spark):
         at = t.index("Zanzibarian")
         assert f"term:{at}:{at + 11}" in got[i][0] and got[i][1] == t.replace("Zanzibarian", "").replace("jo@ex.org", "[EMAIL]")
     assert all(got[i] == ("", t) for i, t in enumerate(plain, 6))
+
+
+def test_pii_disclosures_by_hand(spark):
+    """Every flagged term with its disclosure, against counts over distinct texts."""
+    import math
+
+    import regex
+
+    rng = random.Random(6)
+    people = [(f"p{k}@ex.org", f"Keeper{chr(65 + k) * 3}", f"Harbour{chr(65 + k) * 4}") for k in range(6)]
+    common = [f"word{chr(97 + k)}" for k in range(20)]
+    texts = []
+    for i in range(400):
+        said = rng.sample(common, 6)
+        if i < 60:
+            mail, name, place = people[i % 6]
+            said += [mail] + ([name] if rng.random() < 0.97 else []) + ([place] if rng.random() < 0.6 else [])
+            if i % 6 == 5:
+                said.append(people[0][0])
+        texts.append(" ".join(said) + f" no {i}")
+    texts += texts[:40] + [None, ""]
+    kinds = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),)
+    distinct = sorted({t or "" for t in texts})
+    n, entity, term = len(distinct), {}, {}
+    for k, t in enumerate(distinct):
+        for kind, p in kinds:
+            for m in re.finditer(p, t):
+                entity.setdefault(f"{kind}:{m.group().lower()}", set()).add(k)
+        for m in regex.findall(r"\p{L}{3,}", re.sub(r"\S*[@0-9]\S*", " ", t)):
+            term.setdefault(m.lower(), set()).add(k)
+    want = {}
+    for e in entity.values():
+        for w, held in term.items():
+            both = len(e & held)
+            if both >= 3 and len(e) >= 3 and len(held) >= 3 and len(e) < n:
+                content = math.log(n / len(e))
+                told = 1 - math.log(len(held) / both) / content
+                if told >= 0.9 and both * content >= math.log(n * 1000):
+                    want[w] = max(want.get(w, 0), told)
+    assert 6 <= len(want) <= 15
+    got = {r["term"]: r["disclosure"] for r in pii.flagged_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert set(got) == set(want) and all(got[w] == pytest.approx(want[w]) for w in want)
+
+
+def test_pii_of_a_directory_page(spark):
+    """Thousands of addresses and words in one text, in three copies that differ: spans and cleaning stay linear, pairs are of sets of texts."""
+    import time
+
+    def page(k, size):
+        return " ".join(f"n{chr(97 + i % 26)}{i}@ex.org Family{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(size)) + f" copy {k}"
+
+    seconds = []
+    for size in (1000, 1000, 4000):
+        df = spark.createDataFrame([(k, page(k, size)) for k in range(3)] + [(9 + k, f"other text {k}") for k in range(300)], "doc_id long, text string")
+        began = time.time()
+        got = pii.find(df).where("doc_id < 3").select(F.size("base_spans").alias("b"), F.size("spans").alias("s"), F.length(pii.clean(F.col("text"), F.col("spans"))).alias("n")).collect()
+        seconds.append(time.time() - began)
+        assert [r["b"] for r in got] == [size] * 3 and all(r["s"] >= 2 * size for r in got)
+    assert seconds[2] < 6 * seconds[1]  # four times the addresses
