@@ -1,9 +1,9 @@
 """A training corpus from documents in five stages: language, near copies, personal data, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Rows are told apart
-by a hash of all their columns, so null and repeated doc_ids are handled like any other; equal rows are copies of each other.
-A stage begins by deleting the tables that earlier stages of the same run left in the shared folder, but for what its docs read;
-tables of other queries and runs stay. Stages called outside run() count as one run.
+by 128 bits of hashes of all their columns, so null and repeated doc_ids are handled like any other; equal rows are copies of each other.
+A stage deletes the tables that it has written in the shared folder as soon as it returns, but for those that its result reads, which
+are small. So results of several stages can be held at once. run() deletes what is left, and each stage's output when the next is written.
 """
 
 from __future__ import annotations
@@ -19,23 +19,27 @@ from quirefold.llm import jaccard_join, langid, mixing, packing, pii
 from quirefold.llm.common import WORD, bucket_of, drop_tables, made_in, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-_OUTSIDE: list[str] = []
-_RUN: ContextVar[list[str]] = ContextVar("_RUN", default=_OUTSIDE)
+#: Tables left by the stages of a run; none outside run().
+_RUN: ContextVar[list[str] | None] = ContextVar("_RUN", default=None)
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _RUN.get(), docs)
-        with made_in(_RUN.get()):
-            return f(spark, docs, sf_dir)
+        made: list[str] = []
+        with made_in(made):
+            out = f(spark, docs, sf_dir)
+        drop_tables(spark, made, out)
+        if (left := _RUN.get()) is not None:
+            left += made
+        return out
 
     return call
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, a hash of the whole row."""
-    return docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
+    """docs with `_row`, two hashes of the whole row."""
+    return docs.select(*COLUMNS).withColumn("_row", F.concat(F.hex(F.xxhash64(*COLUMNS)), F.lit("."), F.hex(F.xxhash64(F.lit(1), *COLUMNS))))
 
 
 @_stage
@@ -51,9 +55,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of documents alike to 0.8 or more in five-word shingles the one with the smallest doc_id."""
     rows = _keyed(docs)
     found = jaccard_join.join_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80, width=5)
-    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    found = materialize(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component")).distinct(), "pipeline-components")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
-    stay = rows.select("_row", "doc_id").distinct().join(found.distinct(), "_row").groupBy("_component").agg(least.alias("_row")).select("_row")
+    stay = rows.select("_row", "doc_id").distinct().join(found, "_row").groupBy("_component").agg(least.alias("_row")).select("_row")
     return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row", *COLUMNS]).select(*COLUMNS)
 
 
@@ -100,13 +104,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    made: list[str] = []
-    before = _RUN.set(made)
+    left: list[str] = []
+    before = _RUN.set(left)
     try:
         for name, stage in STAGES[:-1]:
             done = stage(spark, docs, sf_dir)
-            with made_in(made):
+            with made_in(left):
                 docs = materialize(done, f"pipeline-{name}")
+            drop_tables(spark, left, docs)
         return STAGES[-1][1](spark, docs, sf_dir)
     finally:
         _RUN.reset(before)
