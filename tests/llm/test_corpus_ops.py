@@ -292,6 +292,44 @@ def test_hamming_search(spark):
     assert hamming.nearest(df.limit(0), "vec_id", hamming.sign_code(F.col("embedding")), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("segments", [4, 8])
+def test_hamming_search_of_many_queries_together(segments, monkeypatch):
+    """All distances by hand: near and far codes, ties, fewer codes than asked for, bounds, steps of few codes."""
+    monkeypatch.setattr(hamming, "_HITS", 50)
+    rng = np.random.default_rng(segments)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base, base[:20] ^ np.uint64(5), base[:20] ^ np.uint64(1 << 40), rng.integers(0, 64, 30, dtype=np.uint64)]))
+    firsts = rng.permutation(len(codes)).astype(np.int64)
+    asked = np.concatenate([codes[::9], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])
+    for held, k in ((codes, 6), (codes[:4], 6), (codes[:1], 1)):
+        index = hamming.MultiIndex(held, firsts[: len(held)], segments)
+        for bounds in (None, np.arange(len(asked)) % 30):
+            q, at, distance = index.search(asked, k, bounds)
+            got = list(zip(q.tolist(), distance.tolist(), firsts[at].tolist(), strict=True))
+            want = []
+            for j, x in enumerate(asked.tolist()):
+                d = sorted((bin(x ^ c).count("1"), int(firsts[i])) for i, c in enumerate(held.tolist()))[:k]
+                want += [(j, a, f) for a, f in d if bounds is None or a <= bounds[j]]
+            assert got == want
+
+
+def test_hamming_exchange_is_linear(spark, monkeypatch):
+    """The index is exchanged once for every group of queries; queries once a block."""
+    sent, met_of = [], hamming._blocks_met
+
+    def counting(*args):
+        met = met_of(*args)
+        sent.append({r["kind"]: r["n"] for r in met.groupBy("kind").agg(F.sum(F.size("codes")).alias("n")).collect()})
+        return met
+
+    monkeypatch.setattr(hamming, "_blocks_met", counting)
+    rng = np.random.default_rng(3)
+    for n in (2000, 4000):
+        df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(rng.integers(0, 1 << 62, n))], "vec_id long, code long")
+        hamming.nearest(df, "vec_id", F.col("code"), F.col("vec_id") % 100 == 0, k=3, index_block=500).count()
+    assert [s[0] for s in sent] == [2000, 4000] and sent[1][1] == 8 * 40
+
+
 def test_pipeline_stages(spark, docs, empty, all_rows):
     import corpus_pipeline as cp
 
