@@ -12,10 +12,12 @@ each have a next row; one row alone is its own next. Columns of the input that c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import shuffle_width, small_batches, split_words
+from quirefold.llm.common import materialize, shuffle_width, small_batches, split_words
 
 WIDTH, K = 5, 128
 _LOW = -(2**63)
@@ -65,32 +67,67 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
+def _place(edges: Column, value: Column, most: int) -> Column:
+    """How many of the ascending `edges`, `most` at most, are not above the value: a binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, most).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= value, at + step).otherwise(at))
+
+
+def _ascending(edges: list[int]) -> list[int]:
+    """Distinct edges; a value that takes more than one range of its own also ends one."""
+    return sorted(set(edges) | {e + 1 for a, e in zip(edges, edges[1:], strict=False) if a == e})
+
+
+def _quantiles(column: str, n: int) -> Column:
+    return F.percentile_approx(column, [i / n for i in range(1, n)] or [0.5], 10 * n)
+
+
+def _ranged(rows: DataFrame, coarse: list[int], fine: DataFrame, n: int) -> DataFrame:
+    """rows with _coarse and _fine, the numbers of their range; the order of ranges is that of (_key, _start)."""
+    edges = F.array(*map(F.lit, coarse)).cast("array<bigint>")
+    rows = rows.withColumn("_coarse", _place(edges, F.col("_key"), len(coarse))).join(F.broadcast(fine), "_coarse")
+    value = F.when(F.col("_one_key"), F.col("_start")).otherwise(F.col("_key"))
+    return rows.withColumn("_fine", _place(F.col("_edges"), value, n)).drop("_edges", "_one_key")
+
+
 def with_neighbour(docs: DataFrame, buckets: int | None = None, k: int = K) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): each row and the next by doc_id, the last one's next being the first.
 
-    Rows are dealt into `buckets` ranges of doc_id, one exchange of the texts. The first row of each range is also
-    put behind the last row of the range before, so no task sees more than its range. Unless told, a range holds about 32 MB of
-    text, and there are 4,096 at most: beyond 128 GB ranges grow, and stream through their tasks.
+    Rows are dealt into about `buckets` ranges of doc_id, one exchange of the texts: coarse ranges first, and each of those into as many
+    fine ones, so no list of edges is longer than the root of their number. A doc_id that fills a coarse range (null ids may) is cut
+    by its texts' first bytes. The first row of each range is also put behind the last row of the range before, so no task sees
+    more than its ranges. Unless told, a range holds about 32 MB of text at any size of the table. What is broadcast is one row of
+    numbers for each range.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    if buckets is None:
-        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
-        buckets = min(4096, shuffle_width(spark, -(-size // (32 << 20))))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("_key"))
-    edges = rows.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("_key"))) if edges else F.lit(0)
-    rows = rows.withColumn("_bucket", bucket.cast("int"))
-    heads = rows.groupBy("_bucket").agg(F.min("_key").alias("_key"))
-    ring = Window.orderBy("_bucket")  # at most one row for each bucket
-    ends = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("_key", F.coalesce(F.lag("_bucket").over(ring), F.max("_bucket").over(ends)).alias("_before"))
-    firsts = rows.join(F.broadcast(heads), "_key").groupBy("_before", "_key").agg(F.min("text").alias("text"))
-    guests = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", "_key", F.col("_before").alias("_bucket"), F.lit(1).alias("_guest"))
-    line = Window.partitionBy("_bucket").orderBy("_guest", "_key", "text")
-    both = rows.withColumn("_guest", F.lit(0)).unionByName(guests).withColumn("next_text", F.lead("text").over(line))
+    # The first seven bytes as a number: in the order of the texts.
+    rows = rows.withColumn("_start", F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"))
+    narrow = materialize(rows.select("_key", "_start", F.octet_length("text").alias("_bytes")), "neighbour-keys")
+    size = narrow.agg(F.sum("_bytes").alias("b")).first()["b"] or 0
+    buckets = buckets or shuffle_width(spark, -(-size // (32 << 20)))
+    n_coarse = math.isqrt(max(0, buckets - 1)) + 1
+    n_fine = -(-buckets // n_coarse)
+    coarse = _ascending(narrow.agg(_quantiles("_key", n_coarse).alias("e")).first()["e"] or [])
+    edges = F.array(*map(F.lit, coarse)).cast("array<bigint>")
+    fine = narrow.withColumn("_coarse", _place(edges, F.col("_key"), len(coarse))).groupBy("_coarse")
+    fine = fine.agg((F.min("_key") == F.max("_key")).alias("_one_key"), _quantiles("_key", n_fine).alias("_keys"), _quantiles("_start", n_fine).alias("_starts"))
+    fine = materialize(fine.select("_coarse", "_one_key", F.array_distinct(F.when(F.col("_one_key"), F.col("_starts")).otherwise(F.col("_keys"))).alias("_edges")), "neighbour-edges")
+    rows = _ranged(rows, coarse, fine, n_fine)
+    at = ["_coarse", "_fine"]
+    heads = _ranged(narrow.drop("_bytes"), coarse, fine, n_fine).groupBy(*at).agg(F.min(F.struct("_key", "_start")).alias("_head"))
+    ring = Window.orderBy(*at)  # one row of numbers for each range
+    ends = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = F.struct(*at)
+    heads = heads.select(*at, "_head._key", "_head._start", F.coalesce(F.lag(here).over(ring), F.last(here).over(ends)).alias("_before"))
+    heads = materialize(heads, "neighbour-heads")
+    firsts = rows.join(F.broadcast(heads), [*at, "_key", "_start"]).groupBy("_before", "_key").agg(F.min("text").alias("text"))
+    guests = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", "_key", "_before._coarse", "_before._fine", F.lit(1).alias("_guest"))
+    line = Window.partitionBy(*at).orderBy("_guest", "_key", "text")
+    both = rows.drop("_start").withColumn("_guest", F.lit(0)).unionByName(guests).repartition(shuffle_width(spark, -(-size // (128 << 20))), *at)
+    both = both.withColumn("next_text", F.lead("text").over(line))
     both = with_sketch(both, "text", "sketch", k)
     both = both.withColumn("next_sketch", F.lead("sketch").over(line))
     return both.where("_guest = 0").select("doc_id", "text", "sketch", "next_text", "next_sketch")

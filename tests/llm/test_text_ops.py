@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,17 @@ def test_fingerprints_neighbours(docs, all_rows):
     assert fingerprints.with_neighbour(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 7, 60])
+def test_neighbours_in_many_ranges(spark, buckets):
+    """One next row for each, by hand, where a third of the rows have no id and ids have gaps and repeats."""
+    rng = random.Random(buckets)
+    rows = [(None if k % 3 == 0 else rng.choice([k, 5, 10**12 + k]), "".join(rng.choice("aäb ") for _ in range(rng.randint(0, 12))) or None) for k in range(400)]
+    got = fingerprints.with_neighbour(spark.createDataFrame(rows, "doc_id long, text string"), buckets=buckets).select("doc_id", "text", "next_text").collect()
+    order = sorted(((i is not None, i or 0, (t or "").encode()) for i, t in rows))
+    want = Counter((i if known else None, t.decode(), after.decode()) for (known, i, t), (*_, after) in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter(tuple(r) for r in got) == want
+
+
 def test_sketches_merge(spark):
     rows = spark.createDataFrame([("a b c d e f g h", "h i j k l m n")], "x string, y string")
     s = fingerprints.with_sketch(fingerprints.with_sketch(rows, "x", "p", 4), "y", "q", 4)
