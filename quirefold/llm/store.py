@@ -99,8 +99,11 @@ def _wide(data: bytes, n: int) -> bytes:
     return data if len(data) == 4 * n else np.frombuffer(data, "<u2").astype("<u4").tobytes()
 
 
-def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_id: int = 2, path: str | None = None, shortest: int = 256, mask: int = 1023, longest: int = 4096, part_tokens: int = 50_000_000) -> str:
-    """Writes the store and returns its folder (in the shared folder unless named)."""
+def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_id: int = 2, path: str | None = None, shortest: int = 256, mask: int = 1023, longest: int = 4096, part_tokens: int = 50_000_000, part_chunks: int = 500_000) -> str:
+    """Writes the store and returns its folder (in the shared folder unless named).
+
+    Files of chunks and parts of recipes grow in number with the data: about part_chunks uses of chunks and part_tokens ids each.
+    """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     end = int(end_id).to_bytes(4, "little")
@@ -135,7 +138,7 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
     staged = materialize(narrow.mapInArrow(chunk, "doc_id long, n_tokens long, chunk_ids array<binary>, chunk_lengths array<int>, doc_root binary, fresh array<binary>"), "staged")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # a part of the chunks only: the exchange above spreads them by chunk_id
+        seen = set()  # some `part_chunks` addresses: the exchange has as many parts as the chunks need
         for batch in batches:
             keep = []
             for k, name in enumerate(batch.column("chunk_id").to_pylist()):
@@ -145,7 +148,9 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
             yield batch.take(pa.array(keep, pa.int64()))
 
     rows = staged.select(F.explode(F.arrays_zip("chunk_ids", "chunk_lengths", "fresh")).alias("c")).select(F.col("c.chunk_ids").alias("chunk_id"), F.col("c.chunk_lengths").alias("n"), F.col("c.fresh").alias("payload")).where("payload is not null")
-    rows.repartition(shuffle_width(spark), "chunk_id").mapInArrow(once, "chunk_id binary, n int, payload binary").write.option("compression", "none").parquet(f"{path}/chunks")
+    total = staged.agg(F.sum("n_tokens").alias("tokens"), F.sum(F.size("chunk_ids")).alias("chunks")).first()
+    tokens, used = total["tokens"] or 0, total["chunks"] or 0
+    rows.repartition(shuffle_width(spark, -(-used // part_chunks)), "chunk_id").mapInArrow(once, "chunk_id binary, n int, payload binary").write.option("compression", "none").parquet(f"{path}/chunks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, place = TaskContext.get().partitionId(), 0, 0
@@ -155,7 +160,6 @@ def write_store(docs: DataFrame, vocabulary: str, cut: str = "white_space", end_
             at, place = at + int(n.sum()), place + len(n)
             yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(places), pa.array(starts), *[batch.column(f.name).cast(f.type) for f in list(_RECIPE)[3:]]], schema=_RECIPE)
 
-    tokens = staged.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     parts = shuffle_width(spark, -(-tokens // part_tokens))
     ordered = staged.drop("fresh").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc_root")
     ordered.mapInArrow(number, "part int, place long, start_in_part long, doc_id long, n_tokens long, chunk_ids array<binary>, chunk_lengths array<int>, doc_root binary").write.parquet(f"{path}/recipes")

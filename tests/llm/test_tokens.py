@@ -162,3 +162,16 @@ def test_cuts_of_many_streams_are_those_of_each():
     gear = store._gear()
     for shortest in (8, 16, 20):
         assert store.cuts_of(streams, gear, shortest, 7, 100) == [store.cut_points(np.frombuffer(s, "<u4"), gear, shortest, 7, 100) for s in streams]
+
+
+def test_chunk_files_grow_with_the_chunks(spark, docs, vocabularies, tmp_path):
+    from pathlib import Path
+
+    files = {}
+    for n in (1, 500_000):
+        folder = store.write_store(docs, vocabularies["word_bpe_49k.json"], path=str(tmp_path / f"w{n}"), shortest=16, mask=15, longest=64, part_chunks=n)
+        files[n] = len(list(Path(folder, "chunks").glob("*.parquet")))
+        chunks = spark.read.parquet(f"{folder}/chunks")
+        assert chunks.count() == chunks.select("chunk_id").distinct().count()
+        assert store.read_checksums(spark, folder).count() == docs.count()
+    assert files[1] > 2 * files[500_000]
